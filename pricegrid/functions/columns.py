@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pricegrid import schema as S
 
 EARTH_RADIUS_KM = 6371.0
+LOCAL_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2}):(\d{1,2})$"
 
 ColumnLike = Column | str
 
@@ -36,21 +37,19 @@ def parse_decimal(value: ColumnLike) -> Column:
     return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), text.try_cast("double"))
 
 
-def local_time_to_utc_iso(value: ColumnLike, fmt: str = S.SOURCE_TIME_FORMAT, tz: str = S.SOURCE_TIME_ZONE) -> Column:
-    """Wall-clock text in ``tz`` -> ISO-8601 text in UTC with an explicit ``+00:00``; malformed text -> null."""
-    # Parsed and printed without zone so that the session time zone cannot leak in.
-    local = F.to_timestamp_ntz(_valid_local_time(value), F.lit(fmt))
-    utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
-    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-
+def local_time_to_utc_iso(value: ColumnLike, tz: str = S.SOURCE_TIME_ZONE) -> Column:
+    """``dd/MM/yyyy HH:mm:ss`` wall-clock text in ``tz`` -> ISO-8601 text in UTC with an explicit ``+00:00``.
 
-def _valid_local_time(value: ColumnLike) -> Column:
-    """The text where it is a real calendar time of the feed's format, else null."""
-    value = as_col(value)
-    part = [F.regexp_extract(value, r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2}):(\d{1,2})$", i) for i in range(1, 7)]
-    day, month, year, hour, minute, second = [p.try_cast("int") for p in part]
-    stamp = F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)"))
-    return F.date_format(stamp, S.SOURCE_TIME_FORMAT)
+    Malformed text gives null. An hour that occurs twice at the end of summer time counts as its second pass
+    (standard time). Works on zone-less time stamps, so the session time zone cannot leak in.
+    """
+    part = [F.regexp_extract(as_col(value), LOCAL_TIME, i).try_cast("int") for i in range(1, 7)]
+    day, month, year, hour, minute, second = part
+    local = F.when(second < 60, F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)")))
+    first = F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
+    second_pass = first + F.expr("INTERVAL 1 HOUR")
+    utc = F.when(F.convert_timezone(F.lit("UTC"), F.lit(tz), second_pass) == local, second_pass).otherwise(first)
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
 def observed_on(timestamp: ColumnLike = "timestamp") -> Column:

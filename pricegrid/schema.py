@@ -36,7 +36,6 @@ SOURCE_FIELDS = {
     "Precio Hidrogeno": "hydrogen_price",
 }
 SOURCE_TIME_ZONE = "Europe/Madrid"
-SOURCE_TIME_FORMAT = "dd/MM/yyyy HH:mm:ss"
 # ---------------------------------------------------------------------------------------------
 
 PRICE_COLUMNS = [name for name in SOURCE_FIELDS.values() if name.endswith("_price")]
