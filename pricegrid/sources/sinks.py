@@ -31,10 +31,10 @@ def replace_days(df: DataFrame, path: str, retention_days: int | None = None, da
     Re-running a day gives the same table, and an empty input changes nothing. Days older than the retention are
     dropped as whole partitions.
     """
-    spark = df.sparkSession
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
+    # Rebalancing by day gathers a day into few files and splits a day that is too big for one.
+    df.hint("rebalance", date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
     if retention_days is not None:
-        drop_expired_days(spark, path, retention_days, date)
+        drop_expired_days(df.sparkSession, path, retention_days, date)
 
 
 def _day_folders(spark: SparkSession, path: str, date: str) -> dict[str, object]:
