@@ -78,7 +78,7 @@ BRAND_SALE = {
     "locality": "r_name",
     "municipality": "l_returnflag",
     "diesel_a_price": "l_extendedprice / l_quantity * 10 / 104729",
-    "gasoline_95_e5_price": "l_tax * 1000 / 104729",
+    "gasoline_95_e5_price": "l_tax * l_extendedprice / 104729",
 }
 BRAND_SALE_SQL = (
     f"b AS (SELECT {_sql(BRAND_SALE)}, cast(l_shipdate as date) AS dt FROM lineitem JOIN part ON l_partkey = p_partkey "
@@ -273,6 +273,6 @@ TRIP_SQL = (
     f"SELECT p.trip_id, p.j, p.lat, p.lon, w.km + {_STEP_KM}, "
     f"CASE WHEN w.km + {_STEP_KM} - w.kept_km >= 10 THEN round(w.km + {_STEP_KM}, 2) ELSE w.kept_km END, "
     f"w.km + {_STEP_KM} - w.kept_km >= 10 FROM walk w JOIN pts p ON p.trip_id = w.trip_id AND p.j = w.j + 1), "
-    "wps AS (SELECT trip_id, lat, lon, round(km, 2) AS km, cast(row_number() OVER (PARTITION BY trip_id ORDER BY j) - 1 AS integer) AS wp_idx "
+    "wps AS MATERIALIZED (SELECT trip_id, lat, lon, round(km, 2) AS km, cast(row_number() OVER (PARTITION BY trip_id ORDER BY j) - 1 AS integer) AS wp_idx "
     f"FROM walk WHERE kept OR j = {2 * STEPS})"
 )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pricegrid import schema as S
 from pricegrid.operators import brands, rollups
 from pricegrid.sources import sinks
-from pricegrid.sources.landing import latest_snapshot_per_day
+from pricegrid.sources.landing import latest_snapshot_per_day, read_optional
 
 JOB_SCHEMA = "task string, path string, output_rows bigint, status string, error string"
 
@@ -32,12 +32,15 @@ def rebuild(snapshots: DataFrame, fuels=S.PRICE_COLUMNS) -> dict[str, DataFrame]
     return rollup_tables(latest_snapshot_per_day(snapshots).drop("date"), fuels)
 
 
-def _run(spark: SparkSession, tasks: list[tuple[str, str, Callable[[], DataFrame]]]) -> DataFrame:
+def _run(spark: SparkSession, tasks: list[tuple[str, DataFrame, Callable[[str], None]]], root: str) -> DataFrame:
     """Run writes one after the other; one that fails is reported and does not stop the rest."""
     report = []
-    for name, path, write in tasks:
+    for name, df, write in tasks:
+        path = f"{root}/{name}"
         try:
-            report.append((name, path, write().count(), "ok", None))
+            write(path)
+            stored = read_optional(spark, path, df.schema)  # also readable when nothing has ever been written
+            report.append((name, path, stored.count(), "ok", None))
         except Exception as problem:  # noqa: BLE001 - reported, not hidden
             report.append((name, path, 0, "failed", str(problem)[:500]))
     return spark.createDataFrame(report, JOB_SCHEMA)
@@ -52,16 +55,11 @@ def run_daily_rollups(snapshots: DataFrame, root: str, fuels=S.PRICE_COLUMNS) ->
     daily = rollup_tables(latest_snapshot_per_day(snapshots).drop("date"), fuels)
 
     def replace(name: str, retention: int | None = None):
-        def write() -> DataFrame:
-            sinks.replace_days(daily[name], f"{root}/{name}", retention)
-            return spark.read.parquet(f"{root}/{name}")
+        return name, daily[name], lambda path: sinks.replace_days(daily[name], path, retention)
 
-        return name, f"{root}/{name}", write
-
-    def weekdays() -> DataFrame:
+    def weekdays(path: str) -> None:
         stored = spark.read.parquet(f"{root}/province_daily_stats")
-        sinks.overwrite(rollups.weekday_stats_from_daily(stored), f"{root}/day_of_week_stats")
-        return spark.read.parquet(f"{root}/day_of_week_stats")
+        sinks.overwrite(rollups.weekday_stats_from_daily(stored), path)
 
     return _run(
         spark,
@@ -70,8 +68,9 @@ def run_daily_rollups(snapshots: DataFrame, root: str, fuels=S.PRICE_COLUMNS) ->
             replace("zip_code_daily_stats", S.ZIP_RETENTION_DAYS),
             replace("brand_daily_stats"),
             replace("daily_ingestion_stats"),
-            ("day_of_week_stats", f"{root}/day_of_week_stats", weekdays),
+            ("day_of_week_stats", daily["day_of_week_stats"], weekdays),
         ],
+        root,
     )
 
 
@@ -93,14 +92,10 @@ def run_brand_analytics(snapshots: DataFrame, root: str, as_of) -> DataFrame:
     wins = brands.market_day_wins(history).persist(StorageLevel.MEMORY_AND_DISK)
 
     def put(name: str, df: DataFrame):
-        def write() -> DataFrame:
-            sinks.overwrite(df, f"{root}/{name}")
-            return spark.read.parquet(f"{root}/{name}")
-
-        return name, f"{root}/{name}", write
+        return name, df, lambda path: sinks.overwrite(df, path)
 
     try:
-        return _run(spark, [put(name, df) for name, df in brand_tables(market, wins, as_of).items()])
+        return _run(spark, [put(name, df) for name, df in brand_tables(market, wins, as_of).items()], root)
     finally:
         market.unpersist()
         wins.unpersist()

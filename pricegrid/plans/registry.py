@@ -668,7 +668,8 @@ def _(spark, sf_dir):
         A.OBSERVATION_SQL,
         f"z AS ({ZIP_STATS})",
         body=f"SELECT zip_code, fuel_type, \"date\", {_TREND}, 'rollup' AS source FROM z WHERE zip_code < '28011' AND \"date\" >= DATE '2024-01-16' "
-        f"UNION ALL SELECT *, 'raw_history' AS source FROM ({_RAW_TREND} WHERE zip_code >= '28011' AND dt >= DATE '2024-01-16' GROUP BY ALL)",
+        f"UNION ALL SELECT *, 'raw_history' AS source FROM ({_RAW_TREND} WHERE dt >= DATE '2024-01-16' "
+        "AND (zip_code, fuel_type) NOT IN (SELECT (zip_code, fuel_type) FROM z WHERE zip_code < '28011') GROUP BY ALL)",
     ),
 )
 def _(spark, sf_dir):
@@ -1335,11 +1336,11 @@ _WP_KM = A.haversine_sql("wps.lat", "wps.lon", "p.latitude", "p.longitude")
 
 def _corridor_ctes(limit: str) -> str:
     return (
-        f"dist AS (SELECT wps.trip_id, wps.wp_idx, wps.km, p.station_id, p.price, p.label, {_WP_KM} AS d, max_detour_min FROM wps JOIN trips USING (trip_id) CROSS JOIN p "
+        f"dist AS (SELECT wps.trip_id, wps.wp_idx, wps.km, p.station_id, {_WP_KM} AS d, max_detour_min FROM wps JOIN trips USING (trip_id) CROSS JOIN p "
         f"WHERE abs(wps.lat - p.latitude) < 0.3), "
-        "near AS (SELECT trip_id, station_id, price, label, max_detour_min, round(min(d), 2) AS min_distance_km, arg_min(wp_idx, (d, wp_idx)) AS closest_waypoint_idx, "
+        "near AS MATERIALIZED (SELECT trip_id, station_id, max_detour_min, round(min(d), 2) AS min_distance_km, arg_min(wp_idx, (d, wp_idx)) AS closest_waypoint_idx, "
         f"arg_min(km, (d, wp_idx)) AS route_km FROM dist WHERE d <= {limit} GROUP BY ALL), "
-        "cand AS (SELECT *, round(min_distance_km * 2, 1) AS detour_minutes FROM near WHERE round(min_distance_km * 2, 1) <= max_detour_min)"
+        "cand AS (SELECT near.*, price, round(min_distance_km * 2, 1) AS detour_minutes FROM near JOIN p USING (station_id) WHERE round(min_distance_km * 2, 1) <= max_detour_min)"
     )
 
 
@@ -1368,11 +1369,11 @@ def _candidates(spark, sf_dir) -> DataFrame:
         *_TRIP_CTES,
         _corridor_ctes("max_detour_min * 1.5"),
         recursive=True,
-        body=f"SELECT trip_id, station_id, label, {rnd('price')} AS price, min_distance_km, detour_minutes, route_km FROM cand",
+        body=f"SELECT trip_id, station_id, {rnd('price')} AS price, min_distance_km, detour_minutes, route_km FROM cand",
     ),
 )
 def _(spark, sf_dir):
-    return rounded(_candidates(spark, sf_dir).select("trip_id", "station_id", "label", "price", "min_distance_km", "detour_minutes", "route_km"), price=6)
+    return rounded(_candidates(spark, sf_dir).select("trip_id", "station_id", "price", "min_distance_km", "detour_minutes", "route_km"), price=6)
 
 
 @query(
@@ -1381,7 +1382,7 @@ def _(spark, sf_dir):
         *_TRIP_CTES,
         _corridor_ctes("max_detour_min * 1.5"),
         recursive=True,
-        body=f"SELECT trip_id, {rnd('list_sort(list(price))[count(*) // 2 + 1]')} AS median_price FROM cand GROUP BY ALL",
+        body=f"SELECT trip_id, {rnd('price')} AS median_price FROM cand QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY price) = count(*) OVER (PARTITION BY trip_id) // 2 + 1",
     ),
 )
 def _(spark, sf_dir):

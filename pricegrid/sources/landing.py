@@ -73,8 +73,7 @@ def list_files(snapshots: DataFrame, day_column: str = "dt") -> DataFrame:
         snapshots.select(
             meta["file_path"].alias("file_name"), meta["file_size"].alias("size_bytes"), F.col(day_column).cast("date").alias("day")
         )
-        .groupBy("file_name", "size_bytes", "day")
-        .agg()
+        .distinct()
     )
 
 
