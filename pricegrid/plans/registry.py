@@ -1334,13 +1334,16 @@ _TRIP_CTES = (A.STATION_SQL, A.POINT_SQL, _PRICED, A.TRIP_SQL)
 _WP_KM = A.haversine_sql("wps.lat", "wps.lon", "p.latitude", "p.longitude")
 
 
+_DETOUR = A.VEHICLE["max_detour_min"]
+
+
 def _corridor_ctes(limit: str) -> str:
     return (
-        f"dist AS (SELECT wps.trip_id, wps.wp_idx, wps.km, p.station_id, {_WP_KM} AS d, max_detour_min FROM wps JOIN trips USING (trip_id) CROSS JOIN p "
+        f"dist AS (SELECT trip_id, wp_idx, km, station_id, price, {_WP_KM} AS d FROM wps CROSS JOIN p "
         f"WHERE abs(wps.lat - p.latitude) < 0.3), "
-        "near AS MATERIALIZED (SELECT trip_id, station_id, max_detour_min, round(min(d), 2) AS min_distance_km, arg_min(wp_idx, (d, wp_idx)) AS closest_waypoint_idx, "
+        "near AS MATERIALIZED (SELECT trip_id, station_id, price, round(min(d), 2) AS min_distance_km, arg_min(wp_idx, (d, wp_idx)) AS closest_waypoint_idx, "
         f"arg_min(km, (d, wp_idx)) AS route_km FROM dist WHERE d <= {limit} GROUP BY ALL), "
-        "cand AS (SELECT near.*, price, round(min_distance_km * 2, 1) AS detour_minutes FROM near JOIN p USING (station_id) WHERE round(min_distance_km * 2, 1) <= max_detour_min)"
+        f"cand AS (SELECT *, round(min_distance_km * 2, 1) AS detour_minutes FROM near WHERE round(min_distance_km * 2, 1) <= {_DETOUR})"
     )
 
 
@@ -1367,7 +1370,7 @@ def _candidates(spark, sf_dir) -> DataFrame:
     "trip_candidates",
     with_ctes(
         *_TRIP_CTES,
-        _corridor_ctes("max_detour_min * 1.5"),
+        _corridor_ctes(f"({_DETOUR}) * 1.5"),
         recursive=True,
         body=f"SELECT trip_id, station_id, {rnd('price')} AS price, min_distance_km, detour_minutes, route_km FROM cand",
     ),
@@ -1380,7 +1383,7 @@ def _(spark, sf_dir):
     "candidate_median_price",
     with_ctes(
         *_TRIP_CTES,
-        _corridor_ctes("max_detour_min * 1.5"),
+        _corridor_ctes(f"({_DETOUR}) * 1.5"),
         recursive=True,
         body=f"SELECT trip_id, {rnd('price')} AS median_price FROM cand QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY price) = count(*) OVER (PARTITION BY trip_id) // 2 + 1",
     ),
