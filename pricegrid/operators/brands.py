@@ -1,9 +1,8 @@
 """Brand-versus-market reports.
 
-The market of a (day, area, product) may hold any number of stations and brands. Labels outside the brands asked for
-are folded into one "rest" group while aggregating, so after the first (partially aggregated) shuffle no market has
-more than ``len(brands) + 1`` rows and the windows over it stay small however hot an area is. All areas, products and
-directions are answered by one job.
+The market of a (day, area, product) may hold any number of stations and brands, and one of them may hold a large
+share of all rows. Everything is therefore aggregated per market with partial aggregation before the shuffle; no step
+ever gathers a market's stations. All areas, products and directions are answered by one job.
 """
 
 from __future__ import annotations
@@ -14,21 +13,67 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricegrid import schema as S
-from pricegrid.functions.columns import brand_name, confidence_band, observed_on, report_fuel, weighted_mean
+from pricegrid.functions.columns import brand_name, confidence_band, is_priced, lookup, observed_on, report_fuel, weighted_mean
 from pricegrid.operators.melt import melt_geographies, melt_prices
 
 MARKET = ["dt", "geo_level", "geo_value", "fuel_type"]
 DIRECTIONS = ("cheapest", "priciest")
 
 
-def _observations(snapshots, brands, fuels, geos, positive: bool, normalize: bool) -> DataFrame:
-    """Long rows (dt, geo_level, geo_value, fuel_type, brand, price) with ``brand`` null for the rest of the market."""
+# Up to this many (brand, product) pairs the measures of a market are columns of one aggregate; the number of
+# aggregate columns is then bounded and one shuffle serves market and brands together.
+MAX_WIDE_PAIRS = 16
+MEASURES = ("total", "low", "high")
+_AGGREGATES = {"total": F.sum, "n": F.count, "low": F.min, "high": F.max}
+
+
+def _labelled(snapshots: DataFrame, brands, fuels, geos, normalize: bool) -> DataFrame:
+    """``dt``, ``brand`` (null outside the brands asked for), areas and prices of every row.
+
+    The day is the landing partition ``dt`` where the input has it, else the date of the time stamp.
+    """
+    dt = F.col("dt") if "dt" in snapshots.columns else observed_on()
     label = brand_name("label") if normalize else F.lower(F.col("label").cast("string"))
-    rows = snapshots.select(
-        observed_on().alias("dt"), F.when(label.isin(list(brands)), label).alias("brand"), *geos, *fuels
+    return snapshots.select(dt.alias("dt"), F.when(label.isin(list(brands)), label).alias("brand"), *geos, *fuels)
+
+
+def _wide_market_days(rows: DataFrame, brands, fuels, measures) -> DataFrame:
+    """One aggregate per (day, area) with a column per brand, product and measure, then one row per brand and product."""
+    prices = {f"p{i}": F.when(is_priced(f), F.col(f)) for i, f in enumerate(fuels)}
+    number = lookup("brand", {b: i for i, b in enumerate(brands)}).alias("b")
+    lean = rows.select("dt", "geo_level", "geo_value", number, *[p.alias(name) for name, p in prices.items()])
+    columns = []
+    for price in prices:
+        for m in measures:
+            columns.append(_AGGREGATES[m](price).alias(f"{price}_{m}"))
+            columns += [_AGGREGATES[m](F.when(F.col("b") == i, F.col(price))).alias(f"{price}_{i}_{m}") for i in range(len(brands))]
+    wide = lean.groupBy("dt", "geo_level", "geo_value").agg(*columns)
+    entries = [
+        F.struct(
+            F.lit(fuel).alias("fuel_type"),
+            F.lit(brand).alias("brand"),
+            *[F.col(f"{price}_{i}_{m}").alias(m) for m in measures],
+            *[F.col(f"{price}_{m}").alias(f"market_{m}") for m in measures],
+        )
+        for price, fuel in zip(prices, fuels)
+        for i, brand in enumerate(brands)
+    ]
+    return wide.select("dt", "geo_level", "geo_value", F.inline(F.array(*entries))).where(F.col("n") > 0)
+
+
+def _long_market_days(rows: DataFrame, fuels, measures) -> DataFrame:
+    """The same for many brands: one row per market and brand, the rest of the market folded into a single row.
+
+    After the aggregate a market has at most one row per brand asked for plus one, so the window over it stays small.
+    """
+    by_brand = (
+        melt_prices(rows, ["dt", "geo_level", "geo_value", "brand"], fuels)
+        .groupBy(*MARKET, "brand")
+        .agg(*[_AGGREGATES[m]("price").alias(m) for m in measures])
     )
-    priced = melt_prices(rows, ["dt", "brand", *geos], fuels, positive=positive)
-    return melt_geographies(priced, ["dt", "brand", "fuel_type", "price"], geos)
+    whole = Window.partitionBy(*MARKET)
+    over_market = {f"market_{m}": (F.sum if m == "n" else _AGGREGATES[m])(m).over(whole) for m in measures}
+    return by_brand.withColumns(over_market).where(F.col("brand").isNotNull())
 
 
 def market_days(
@@ -37,22 +82,25 @@ def market_days(
     fuels: Sequence[str] = S.REPORT_FUELS,
     geos: Sequence[str] = S.REPORT_GEOS,
     normalize: bool = False,
+    measures: Sequence[str] = MEASURES,
 ) -> DataFrame:
-    """Shared input of the comparison and win-rate reports: one row per market and brand (null = the rest)."""
-    return (
-        _observations(snapshots, brands, fuels, geos, True, normalize)
-        .groupBy(*MARKET, "brand")
-        .agg(F.sum("price").alias("total"), F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
-    )
+    """Shared input of the comparison and win-rate reports.
+
+    One row per market (day, area, product) and brand with the brand's ``n`` and ``measures`` of its positive prices,
+    and the whole market's as ``market_*``.
+    """
+    needed = ["n", *measures]
+    rows = melt_geographies(_labelled(snapshots, brands, fuels, geos, normalize), ["dt", "brand", *fuels], geos)
+    if len(brands) * len(fuels) <= MAX_WIDE_PAIRS:
+        return _wide_market_days(rows, list(brands), list(fuels), needed)
+    return _long_market_days(rows, fuels, needed)
 
 
 def price_comparison_from(market: DataFrame, min_appearances: int = S.MIN_APPEARANCES_COMPARISON) -> DataFrame:
     """Mean of a brand's daily difference from the market mean, and how often it is below."""
-    whole = Window.partitionBy(*MARKET)
     brand_avg, market_avg = F.col("brand_avg"), F.col("market_avg")
     return (
-        market.withColumn("market_avg", F.sum("total").over(whole) / F.sum("n").over(whole))
-        .where(F.col("brand").isNotNull())
+        market.withColumn("market_avg", F.col("market_total") / F.col("market_n"))
         .withColumn("brand_avg", F.col("total") / F.col("n"))
         .groupBy("brand", "geo_level", "geo_value", report_fuel("fuel_type").alias("fuel_type"))
         .agg(
@@ -77,12 +125,10 @@ def win_rate_from(
     unknown = set(directions) - set(DIRECTIONS)
     if unknown:
         raise ValueError(f"unknown directions: {sorted(unknown)}")
-    whole = Window.partitionBy(*MARKET)
-    hits = (
-        market.withColumn("cheapest", (F.col("low") == F.min("low").over(whole)).cast("int"))
-        .withColumn("priciest", (F.col("high") == F.max("high").over(whole)).cast("int"))
-        .where(F.col("brand").isNotNull())
+    hits = market.withColumn("cheapest", (F.col("low") == F.col("market_low")).cast("int")).withColumn(
+        "priciest", (F.col("high") == F.col("market_high")).cast("int")
     )
+    whole = Window.partitionBy(*MARKET)  # at most one row per brand asked for
     credits = [(F.try_divide(F.col(d).cast("double"), F.sum(d).over(whole))).alias(d) for d in directions]
     return (
         hits.select("brand", *MARKET, *credits)
@@ -102,14 +148,14 @@ def brand_price_comparison(
     snapshots, brands=S.REPORT_BRANDS, fuels=S.REPORT_FUELS, geos=S.REPORT_GEOS,
     min_appearances: int = S.MIN_APPEARANCES_COMPARISON, normalize: bool = False,
 ) -> DataFrame:
-    return price_comparison_from(market_days(snapshots, brands, fuels, geos, normalize), min_appearances)
+    return price_comparison_from(market_days(snapshots, brands, fuels, geos, normalize, ["total"]), min_appearances)
 
 
 def brand_win_rate(
     snapshots, brands=S.REPORT_BRANDS, fuels=S.REPORT_FUELS, geos=S.REPORT_GEOS, directions=DIRECTIONS,
     min_appearances: int = S.MIN_APPEARANCES_WIN_RATE, normalize: bool = False,
 ) -> DataFrame:
-    return win_rate_from(market_days(snapshots, brands, fuels, geos, normalize), directions, min_appearances)
+    return win_rate_from(market_days(snapshots, brands, fuels, geos, normalize, ["low", "high"]), directions, min_appearances)
 
 
 def market_day_wins(
@@ -120,14 +166,16 @@ def market_day_wins(
 ) -> DataFrame:
     """Per market and brand: station rows, and how many of them are at the day's lowest price.
 
-    This older report counts station rows and takes zero prices as prices. Rows are first counted per distinct price,
-    so the count at the minimum needs no second look at the stations.
+    This older report counts station rows and takes zero prices as prices. A brand's rows are first counted per distinct
+    price, so the count at its minimum needs no second look at the stations; the rest of the market only keeps its
+    minimum.
     """
-    by_price = (
-        _observations(snapshots, brands, fuels, geos, False, False).groupBy(*MARKET, "brand", "price").agg(F.count("*").alias("n"))
-    )
+    priced = melt_prices(_labelled(snapshots, brands, fuels, geos, False), ["dt", "brand", *geos], fuels, positive=False)
+    rows = melt_geographies(priced, ["dt", "brand", "fuel_type", "price"], geos)
+    own_price = F.when(F.col("brand").isNotNull(), F.col("price")).alias("own_price")
+    by_price = rows.groupBy(*MARKET, "brand", own_price).agg(F.count("*").alias("n"), F.min("price").alias("low"))
     by_brand = by_price.groupBy(*MARKET, "brand").agg(
-        F.min("price").alias("low"), F.min_by("n", "price").alias("at_low"), F.sum("n").alias("n")
+        F.min("low").alias("low"), F.min_by("n", "low").alias("at_low"), F.sum("n").alias("n")
     )
     lowest = F.min("low").over(Window.partitionBy(*MARKET))
     return by_brand.withColumn("wins", F.when(F.col("low") == lowest, F.col("at_low")).otherwise(0)).where(

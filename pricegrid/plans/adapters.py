@@ -72,7 +72,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ brand prices at volume: one line item = one row
 BRAND_SALE = {
-    "timestamp": "concat(substr(cast(l_shipdate as string), 1, 10), 'T00:00:00+00:00')",
+    "dt": "cast(l_shipdate as date)",
     "label": "lower(p_brand)",
     "zip_code": "n_name",
     "locality": "r_name",
@@ -81,7 +81,7 @@ BRAND_SALE = {
     "gasoline_95_e5_price": "l_tax * l_extendedprice / 104729",
 }
 BRAND_SALE_SQL = (
-    f"b AS (SELECT {_sql(BRAND_SALE)}, cast(l_shipdate as date) AS dt FROM lineitem JOIN part ON l_partkey = p_partkey "
+    f"b AS (SELECT {_sql(BRAND_SALE)} FROM lineitem JOIN part ON l_partkey = p_partkey "
     "JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 )
 SALE_BRANDS = ["brand#1", "brand#7", "brand#12", "brand#19", "brand#25"]
@@ -254,7 +254,9 @@ def trips(spark, sf_dir) -> DataFrame:
     a = q.selectExpr("query_id AS trip_id", "query_lat AS a_lat", "query_lon AS a_lon")
     b = q.selectExpr("query_id - 1 AS trip_id", "query_lat AS b_lat", "query_lon AS b_lon")
     c = q.selectExpr("query_id - 2 AS trip_id", "query_lat AS c_lat", "query_lon AS c_lon")
-    legs = a.join(b, "trip_id").join(c, "trip_id")
+    # Spread the short rows before the routes are built: walking a route is heavy work per row.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    legs = a.join(b, "trip_id").join(c, "trip_id").repartition(tasks, "trip_id")
     km = haversine_km("a_lat", "a_lon", "b_lat", "b_lon") + haversine_km("b_lat", "b_lon", "c_lat", "c_lon")
     return legs.withColumn("total_km", km).selectExpr(
         "trip_id", f"transform(sequence(0, {2 * STEPS}), j -> array({_LON}, {_LAT})) AS route", "total_km", *_select(VEHICLE)
