@@ -234,6 +234,12 @@ def ring_sides(ring: Column) -> Column:
     )
 
 
+def _reaches_row(side: Column, row: Column, edge_km: Column) -> Column:
+    south = row * _step(edge_km) - 90
+    low, high = F.least(side["y1"], side["y2"]), F.greatest(side["y1"], side["y2"])
+    return (low <= south + _step(edge_km) + SLACK_DEGREES) & (high >= south - SLACK_DEGREES)
+
+
 def inside_ring(lat: Column, lon: Column, sides: Column) -> Column:
     """Even-odd rule: a ray to the east crosses the boundary an odd number of times."""
 
@@ -272,6 +278,8 @@ def containment_join(
             F.array_max(xs).alias("_east"),
         )
         .withColumn("_cell", F.explode(_box_cells(F.col("_south"), F.col("_north"), F.col("_west"), F.col("_east"), edge)))
+        # A ray inside a grid row can only meet sides that reach into that row.
+        .withColumn("_sides", F.filter("_sides", lambda s: _reaches_row(s, F.shiftright("_cell", 32), edge)))
     )
     located = places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn(
         "_cell", cell_of(F.col(lat), F.col(lon), edge)

@@ -69,9 +69,13 @@ def polygon_prices(stations: DataFrame, polygons: DataFrame, fuel: str) -> DataF
 
 
 def zips_by_polygon(stations: DataFrame, polygons: DataFrame, fuel: str) -> DataFrame:
-    """Zip codes with a selling station inside each polygon. Containment decides, even where polygons overlap."""
+    """Zip codes with a selling station inside each polygon that is the first match of any station.
+
+    Beyond that condition containment decides, also where polygons overlap.
+    """
     pairs = containment_join(stations.where(is_priced(fuel)), polygons)
-    return pairs.select("feature_idx", "name", "zip_code").distinct()
+    matched = pairs.groupBy("station_id").agg(F.min("feature_idx").alias("feature_idx")).select("feature_idx").distinct()
+    return pairs.join(matched, "feature_idx", "left_semi").select("feature_idx", "name", "zip_code").distinct()
 
 
 def label_counts(stations: DataFrame, top_n: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricegrid import schema as S
 from pricegrid.operators import brands, rollups
+from pricegrid.operators import trips as planner
 from pricegrid.sources import sinks
 from pricegrid.sources.landing import latest_snapshot_per_day, read_optional
 
@@ -74,6 +75,23 @@ def run_daily_rollups(snapshots: DataFrame, root: str, fuels=S.PRICE_COLUMNS) ->
     )
 
 
+def plan_trips(trips: DataFrame, priced: DataFrame, root: str, max_detour_min: float) -> dict[str, DataFrame]:
+    """Candidates, stops and summaries of all trips as written tables.
+
+    Stops are planned in Python once; summaries and fuel curves then read the table instead of planning again.
+    """
+    spark = trips.sparkSession
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        sinks.overwrite(df, f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    candidates = stored("candidates", planner.trip_candidates(trips, priced, max_detour_min))
+    stops = stored("stops", planner.refuelling_stops(trips, candidates))
+    summary = stored("summary", planner.trip_summary(trips, stops, candidates))
+    return {"candidates": candidates, "stops": stops, "summary": summary}
+
+
 def brand_tables(market: DataFrame, wins: DataFrame, as_of) -> dict[str, DataFrame]:
     """The four brand reports from their two shared inputs."""
     return {

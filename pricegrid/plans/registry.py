@@ -1071,7 +1071,8 @@ def _(spark, sf_dir):
     with_ctes(
         A.STATION_SQL,
         A.POLYGON_SQL,
-        body="SELECT DISTINCT feature_idx, name, zip_code FROM inside JOIN s USING (station_id) WHERE diesel_a_price > 0",
+        body="SELECT DISTINCT feature_idx, name, zip_code FROM inside JOIN s USING (station_id) WHERE diesel_a_price > 0 AND feature_idx IN "
+        "(SELECT min(feature_idx) FROM inside JOIN s USING (station_id) WHERE diesel_a_price > 0 GROUP BY station_id)",
     ),
 )
 def _(spark, sf_dir):
@@ -1392,6 +1393,10 @@ def _(spark, sf_dir):
     return rounded(trips.candidate_median(_candidates(spark, sf_dir)), median_price=6)
 
 
+def _planned(spark, sf_dir) -> dict[str, DataFrame]:
+    return jobs.plan_trips(A.trips(spark, sf_dir), _priced(spark, sf_dir), A.scratch(spark, "trips"), A.MAX_DETOUR_MIN)
+
+
 @query("refuelling_stops")
 def _(spark, sf_dir):
     return trips.refuelling_stops(A.trips(spark, sf_dir), _candidates(spark, sf_dir))
@@ -1399,15 +1404,13 @@ def _(spark, sf_dir):
 
 @query("trip_summary")
 def _(spark, sf_dir):
-    found = _candidates(spark, sf_dir)
-    return trips.trip_summary(A.trips(spark, sf_dir), trips.refuelling_stops(A.trips(spark, sf_dir), found), found)
+    return _planned(spark, sf_dir)["summary"]
 
 
 @query("fuel_curve")
 def _(spark, sf_dir):
-    routes, found = A.trips(spark, sf_dir), _candidates(spark, sf_dir)
-    stops = trips.refuelling_stops(routes, found)
-    return trips.fuel_curve(routes, stops, trips.trip_summary(routes, stops, found))
+    tables = _planned(spark, sf_dir)
+    return trips.fuel_curve(A.trips(spark, sf_dir), tables["stops"], tables["summary"])
 
 
 # ================================================================================== streaming
