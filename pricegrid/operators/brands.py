@@ -39,26 +39,22 @@ def _labelled(snapshots: DataFrame, brands, fuels, geos, normalize: bool) -> Dat
 
 def _wide_market_days(rows: DataFrame, brands, fuels, measures) -> DataFrame:
     """One aggregate per (day, area) with a column per brand, product and measure, then one row per brand and product."""
-    prices = {f"p{i}": F.when(is_priced(f), F.col(f)) for i, f in enumerate(fuels)}
     number = lookup("brand", {b: i for i, b in enumerate(brands)}).alias("b")
-    lean = rows.select("dt", "geo_level", "geo_value", number, *[p.alias(name) for name, p in prices.items()])
-    columns = []
-    for price in prices:
-        for m in measures:
-            columns.append(_AGGREGATES[m](price).alias(f"{price}_{m}"))
-            columns += [_AGGREGATES[m](F.when(F.col("b") == i, F.col(price))).alias(f"{price}_{i}_{m}") for i in range(len(brands))]
-    wide = lean.groupBy("dt", "geo_level", "geo_value").agg(*columns)
-    entries = [
-        F.struct(
-            F.lit(fuel).alias("fuel_type"),
-            F.lit(brand).alias("brand"),
-            *[F.col(f"{price}_{i}_{m}").alias(m) for m in measures],
-            *[F.col(f"{price}_{m}").alias(f"market_{m}") for m in measures],
-        )
-        for price, fuel in zip(prices, fuels)
-        for i, brand in enumerate(brands)
-    ]
-    return wide.select("dt", "geo_level", "geo_value", F.inline(F.array(*entries))).where(F.col("n") > 0)
+    prices = [F.when(is_priced(f), F.col(f)).alias(f"p{i}") for i, f in enumerate(fuels)]
+    sql = {"total": "sum", "n": "count", "low": "min", "high": "max"}
+    columns, entries = [], []
+    for i in range(len(fuels)):
+        columns += [f"{sql[m]}(p{i}) AS p{i}_{m}" for m in measures]
+        for j in range(len(brands)):
+            columns += [f"{sql[m]}(CASE WHEN b = {j} THEN p{i} END) AS p{i}_{j}_{m}" for m in measures]
+            own = ", ".join(f"'{m}', p{i}_{j}_{m}, 'market_{m}', p{i}_{m}" for m in measures)
+            entries.append(f"named_struct('fuel_no', {i}, 'brand_no', {j}, {own})")
+    market = ["dt", "geo_level", "geo_value"]
+    wide = rows.select(*market, number, *prices).groupBy(*market).agg(*[F.expr(c) for c in columns])
+    found = wide.selectExpr(*market, f"inline(array({', '.join(entries)}))").where("n > 0")
+    name = lambda names, no: F.array(*[F.lit(n) for n in names])[F.col(no)]
+    both = [prefix + m for m in measures for prefix in ("", "market_")]
+    return found.select(*market, name(fuels, "fuel_no").alias("fuel_type"), name(brands, "brand_no").alias("brand"), *both)
 
 
 def _long_market_days(rows: DataFrame, fuels, measures) -> DataFrame:

@@ -57,31 +57,30 @@ def with_regimes(history: DataFrame, keys: Sequence[str]) -> DataFrame:
 def transition_counts(days: DataFrame, keys: Sequence[str], carry: Sequence[Column] = ()) -> DataFrame:
     """Per key: days, latest state, and the 3x3 counts of moves between consecutive calendar days (``n_<from>_<to>``)."""
     in_order = Window.partitionBy(*keys).orderBy("date")
-    moves = days.withColumn("_next", F.lead("regime").over(in_order)).withColumn("_next_date", F.lead("date").over(in_order))
-    consecutive = F.date_diff("_next_date", "date") == 1
-    cells = [
-        F.count_if(consecutive & (F.col("regime") == a) & (F.col("_next") == b)).alias(f"n_{a}_{b}") for a in REGIMES for b in REGIMES
-    ]
-    states = [F.max(F.when(F.col("regime") == r, 1).otherwise(0)) for r in REGIMES]
+    moves = days.withColumns(
+        {"_next": F.lead("regime").over(in_order), "_gap": F.date_diff(F.lead("date").over(in_order), F.col("date"))}
+    )
+    cells = [f"count_if(_gap = 1 AND regime = '{a}' AND _next = '{b}') AS n_{a}_{b}" for a in REGIMES for b in REGIMES]
+    states = " + ".join(f"max(CASE WHEN regime = '{r}' THEN 1 ELSE 0 END)" for r in REGIMES)
     return moves.groupBy(*keys).agg(
         F.count("*").alias("coverage_days"),
-        (states[0] + states[1] + states[2]).alias("distinct_states"),
+        F.expr(f"{states} AS distinct_states"),
         F.max("date").alias("current_date"),
         F.max_by("price", "date").alias("current_avg_price"),
         F.max_by("regime", "date").alias("current_regime"),
-        *cells,
+        *[F.expr(c) for c in cells],
         *carry,
     )
 
 
-def _row_total(state: str) -> Column:
-    a, b, c = (F.col(f"n_{state}_{to}") for to in REGIMES)
-    return a + b + c
+# The measures below read the count and probability columns by name, hence as SQL text.
+_TOTAL = {a: "(" + " + ".join(f"n_{a}_{b}" for b in REGIMES) + ")" for a in REGIMES}
+_ALL_MOVES = "(" + " + ".join(_TOTAL.values()) + ")"
 
 
 def move_probability(a: str, b: str) -> Column:
     """Estimated probability of moving from ``a`` to ``b``; a state never left stays where it is."""
-    return F.when(_row_total(a) > 0, F.col(f"n_{a}_{b}") / _row_total(a)).otherwise(1.0 if a == b else 0.0)
+    return F.expr(f"CASE WHEN {_TOTAL[a]} > 0 THEN n_{a}_{b} / {_TOTAL[a]} ELSE {1 if a == b else 0}D END")
 
 
 def cheaper_within(days: int) -> Column:
@@ -90,41 +89,32 @@ def cheaper_within(days: int) -> Column:
     Follows the probability mass that has not yet reached a cheaper state. From ``normal`` it may sit in normal or
     expensive; from ``expensive`` only in expensive, since normal already counts as cheaper. Reads ``p_<from>_<to>``.
     """
-    from_normal = F.col("current_regime") == "normal"
-    enter_normal = F.when(from_normal, 1.0).otherwise(0.0)
-    start = F.struct(enter_normal.alias("normal"), (1.0 - enter_normal).alias("expensive"))
-
-    def step(mass: Column, _: Column) -> Column:
-        into_normal = mass["normal"] * F.col("p_normal_normal") + mass["expensive"] * F.col("p_expensive_normal")
-        into_expensive = mass["normal"] * F.col("p_normal_expensive") + mass["expensive"] * F.col("p_expensive_expensive")
-        return F.struct((into_normal * enter_normal).alias("normal"), into_expensive.alias("expensive"))
-
-    left = F.aggregate(F.sequence(F.lit(1), F.lit(days)), start, step, lambda m: m["normal"] + m["expensive"])
-    reached = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - left))
-    return F.when((F.col("current_regime") == "cheap") | F.lit(days <= 0), 0.0).otherwise(reached)
+    if days <= 0:
+        return F.lit(0.0)
+    return F.expr(
+        f"""CASE WHEN current_regime = 'cheap' THEN 0D ELSE greatest(0D, least(1D, 1D - aggregate(
+              sequence(1, {days}),
+              named_struct('normal', if(current_regime = 'normal', 1D, 0D), 'dear', if(current_regime = 'normal', 0D, 1D)),
+              (mass, day) -> named_struct(
+                'normal', if(current_regime = 'normal', mass.normal * p_normal_normal + mass.dear * p_expensive_normal, 0D),
+                'dear', mass.normal * p_normal_expensive + mass.dear * p_expensive_expensive),
+              mass -> mass.normal + mass.dear))) END"""
+    )
 
 
 def expected_stay() -> Column:
     """Expected days in the current state; null when it is practically never left."""
-    stay = _of_current("p", lambda r: r)
+    stay = F.expr("CASE current_regime " + " ".join(f"WHEN '{r}' THEN p_{r}_{r}" for r in REGIMES) + " END")
     return F.when(stay < 0.9999, F.round(1.0 / F.greatest(F.lit(1e-6), 1.0 - stay), 1))
 
 
-def _of_current(prefix: str, to) -> Column:
-    expr = F.lit(None).cast("double")
-    for r in REGIMES:
-        expr = F.when(F.col("current_regime") == r, F.col(f"{prefix}_{r}_{to(r)}")).otherwise(expr)
-    return expr
-
-
 def confidence() -> Column:
     """60 % sample size (full at 90 moves), 40 % mean concentration of the rows that have moves."""
-    total = sum((_row_total(r) for r in REGIMES), F.lit(0))
-    peak = lambda r: F.greatest(*[F.col(f"n_{r}_{to}") for to in REGIMES])
-    shares = sum((F.when(_row_total(r) > 0, peak(r) / _row_total(r)).otherwise(0.0) for r in REGIMES), F.lit(0.0))
-    rows = sum((F.when(_row_total(r) > 0, 1).otherwise(0) for r in REGIMES), F.lit(0))
-    score = 0.6 * F.least(F.lit(1.0), total / 90.0) + 0.4 * shares / rows
-    return F.when(total > 0, F.round(score, 3)).otherwise(0.0)
+    peak = {a: "greatest(" + ", ".join(f"n_{a}_{b}" for b in REGIMES) + ")" for a in REGIMES}
+    shares = " + ".join(f"if({_TOTAL[a]} > 0, {peak[a]} / {_TOTAL[a]}, 0D)" for a in REGIMES)
+    rows = " + ".join(f"if({_TOTAL[a]} > 0, 1, 0)" for a in REGIMES)
+    score = f"0.6D * least(1D, {_ALL_MOVES} / 90D) + 0.4D * ({shares}) / ({rows})"
+    return F.expr(f"CASE WHEN {_ALL_MOVES} > 0 THEN round({score}, 3) ELSE 0D END")
 
 
 def recommendation(regime: Column, in_3d: Column, in_7d: Column) -> Column:
@@ -147,14 +137,14 @@ def forecast(days: DataFrame, area: str, area_type: str, carry: Sequence[Column]
     """One row per (area, product) from :func:`daily_history`; thin histories come back with ``insufficient_data``."""
     keys = [area, "fuel_type"]
     counted = transition_counts(with_regimes(days, keys), keys, carry)
-    total = sum((_row_total(r) for r in REGIMES), F.lit(0))
+    total = F.expr(_ALL_MOVES)
     enough = (F.col("coverage_days") >= MIN_DAYS) & (F.col("distinct_states") >= 2) & (total >= MIN_TRANSITIONS)
     modeled = (
         counted.withColumns({f"p_{a}_{b}": move_probability(a, b) for a in REGIMES for b in REGIMES})
         .withColumns({"_in_3d": cheaper_within(3), "_in_7d": cheaper_within(7), "_conf": confidence(), "_ok": enough})
     )
-    row = lambda a: F.create_map(*[x for b in REGIMES for x in (F.lit(b), F.round(f"p_{a}_{b}", 4))])
-    matrix = F.create_map(*[x for a in REGIMES for x in (F.lit(a), row(a))])
+    row = {a: "map(" + ", ".join(f"'{b}', round(p_{a}_{b}, 4)" for b in REGIMES) + ")" for a in REGIMES}
+    matrix = F.expr("map(" + ", ".join(f"'{a}', {row[a]}" for a in REGIMES) + ")")
     regime, in_3d, in_7d, conf = F.col("current_regime"), F.col("_in_3d"), F.col("_in_7d"), F.col("_conf")
     ok = lambda c: F.when(F.col("_ok"), c)
     return modeled.select(
