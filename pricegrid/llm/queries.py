@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrid.llm import exactdup, mixing, shards
+from pricegrid.llm import decontam, exactdup, mixing, shards
 from pricegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,14 @@ def _(spark, sf_dir):
     )
 
 
+@query("op5_benchmark_decontamination")
+def _(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contamination(texts, table(spark, sf_dir, "benchmark"))
+    named = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", named, "contaminated")
+
+
 @query("op7_source_mix")
 def _(spark, sf_dir):
     rows = mixing.measured(table(spark, sf_dir, "documents")).drop("text", "lang", "n_chars")
