@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrid.llm import decontam, exactdup, mixing, shards
+from pricegrid.llm import decontam, exactdup, mixing, neardup, repeats, shards
 from pricegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_near_duplicates")
+def _(spark, sf_dir):
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
 @query("op4_byte_shards")
 def _(spark, sf_dir):
     cut = shards.byte_shards(table(spark, sf_dir, "documents"), 24)
@@ -49,3 +55,9 @@ def _(spark, sf_dir):
 @query("op8_exact_duplicates", exactdup.ORACLE)
 def _(spark, sf_dir):
     return exactdup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_repeated_strings")
+def _(spark, sf_dir):
+    cut = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
