@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrid.llm import decontam, exactdup, mixing, neardup, repeats, shards
+from pricegrid.llm import decontam, exactdup, mixing, neardup, repeats, shards, tokens
 from pricegrid.llm.common import table
 
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -61,3 +68,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     cut = repeats.without_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_token_blocks")
+def _(spark, sf_dir):
+    return tokens.token_rows(table(spark, sf_dir, "documents"), tokenizer_path())
