@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrid.llm import decontam, exactdup, mixing, neardup, repeats, shards, tokens
+from pricegrid.llm import decontam, exactdup, mixing, neardup, quality, repeats, secrets, shards, tokens
 from pricegrid.llm.common import table
 
 
@@ -31,6 +31,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_linked_secrets")
+def _(spark, sf_dir):
+    return secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op2_quality_classifier")
+def _(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(texts, table(spark, sf_dir, "labels")).drop("text")
+
+
 @query("op3_near_duplicates")
 def _(spark, sf_dir):
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
