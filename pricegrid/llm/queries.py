@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrid.llm import decontam, exactdup, mixing, neardup, quality, repeats, secrets, shards, tokens
+from pricegrid.llm import decontam, exactdup, htmltext, mixing, neardup, quality, repeats, secrets, shards, tokens
 from pricegrid.llm.common import table
 
 
@@ -75,6 +75,11 @@ def _(spark, sf_dir):
     return exactdup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op9_main_text")
+def _(spark, sf_dir):
+    return htmltext.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op10_repeated_strings")
 def _(spark, sf_dir):
     cut = repeats.without_repeats(table(spark, sf_dir, "documents"))
