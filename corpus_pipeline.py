@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricegrid.llm import decontam, mixing, neardup, quality, tokens
-from pricegrid.llm.common import shared_folder, table
+from pricegrid.llm.common import aside, restored, shared_folder, table
 from pricegrid.llm.queries import tokenizer_path
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the labels that are not held out."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 1").select(docs.columns)
+    scored = quality.classify(aside(docs, "doc_id", "text"), table(spark, sf_dir, "labels"))
+    return restored(scored.filter("predicted = 1"), docs.columns, "doc_id", "text")
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +34,10 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document that the end of a source's target cuts is there if at least half of its words are taken. One without
     words takes part once.
     """
-    mix = mixing.mix(mixing.measured(docs))
+    mix = mixing.mix(mixing.measured(aside(docs, "doc_id", "text", "source")))
     times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size")).cast("int"))
     repeats = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))
-    return mix.select(*docs.columns, repeats.alias("_time")).drop("_time")
+    return restored(mix.select("*", repeats.alias("_time")), docs.columns, "doc_id", "text", "source")
 
 
 def token_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

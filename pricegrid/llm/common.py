@@ -60,6 +60,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(df: DataFrame, *needed: str) -> DataFrame:
+    """``df`` with its columns renamed, but those needed, so that none clashes with what an operator adds."""
+    return df.select(*[F.col(f"`{c}`").alias(c if c in needed else f"_c{i}") for i, c in enumerate(df.columns)])
+
+
+def restored(df: DataFrame, columns: list[str], *needed: str) -> DataFrame:
+    """The columns that were put ``aside``, under their own names again."""
+    return df.select(*[F.col(c if c in needed else f"_c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricegrid.llm.common import Prefixes, byte_column, chunks, mixed, sent_by_value, stored, word_hashes, words
+from pricegrid.llm.common import Prefixes, aside, byte_column, chunks, mixed, restored, sent_by_value, stored, word_hashes, words
 
 sent_by_value(__name__)
 
@@ -184,9 +184,9 @@ def without_hits(text: str, ranges: list[int]) -> str:
 
 def clean(documents: DataFrame, benchmark: DataFrame, spans: bool = False) -> DataFrame:
     """``documents`` without contaminated rows; with ``spans`` all rows stay and their hit words are cut out instead."""
-    found = contamination(documents, benchmark)
+    found = contamination(aside(documents, "text"), benchmark)
     if not spans:
-        return found.filter(~F.col("contaminated")).select(documents.columns)
+        return restored(found.filter(~F.col("contaminated")), documents.columns, "text")
     at, out = documents.columns.index("text"), documents.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,4 +196,4 @@ def clean(documents: DataFrame, benchmark: DataFrame, spans: bool = False) -> Da
             columns = [new if i == at else batch.column(i) for i in range(len(out))]
             yield pa.RecordBatch.from_arrays(columns, out.names)
 
-    return found.select(*documents.columns, "hit_ranges").mapInArrow(cut, out)
+    return found.select(*aside(documents, "text").columns, "hit_ranges").mapInArrow(cut, out)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricegrid.llm.common import Prefixes, byte_column, chunks, mixed, sent_by_value, stored, word_hashes, words
+from pricegrid.llm.common import Prefixes, aside, byte_column, chunks, mixed, restored, sent_by_value, stored, word_hashes, words
 
 sent_by_value(__name__)
 
@@ -250,6 +250,6 @@ def deduplicated(documents: DataFrame, similarity: float = SIMILARITY) -> DataFr
     kept = near_duplicates(documents, similarity).filter("kept").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("_rows"))
     kept = stored(kept.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "_rows"), "kept")
     node = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = documents.join(kept, documents["doc_id"].eqNullSafe(kept["_id"]) & (node == kept["_node"]))
-    single = rows.filter("_rows = 1").select(documents.columns)
-    return single.union(rows.filter("_rows > 1").dropDuplicates(["_id", "_node"]).select(documents.columns))
+    rows = aside(documents, "doc_id", "text").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (node == F.col("_node")))
+    rows = rows.filter("_rows = 1").unionByName(rows.filter("_rows > 1").dropDuplicates(["_id", "_node"]))
+    return restored(rows, documents.columns, "doc_id", "text")
