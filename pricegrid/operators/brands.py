@@ -20,9 +20,6 @@ MARKET = ["dt", "geo_level", "geo_value", "fuel_type"]
 DIRECTIONS = ("cheapest", "priciest")
 
 
-# Up to this many (brand, product) pairs the measures of a market are columns of one aggregate; the number of
-# aggregate columns is then bounded and one shuffle serves market and brands together.
-MAX_WIDE_PAIRS = 16
 MEASURES = ("total", "low", "high")
 _AGGREGATES = {"total": F.sum, "n": F.count, "low": F.min, "high": F.max}
 
@@ -79,15 +76,18 @@ def market_days(
     geos: Sequence[str] = S.REPORT_GEOS,
     normalize: bool = False,
     measures: Sequence[str] = MEASURES,
+    wide: bool = True,
 ) -> DataFrame:
     """Shared input of the comparison and win-rate reports.
 
     One row per market (day, area, product) and brand with the brand's ``n`` and ``measures`` of its positive prices,
-    and the whole market's as ``market_*``.
+    and the whole market's as ``market_*``. ``wide`` makes one aggregate with a column for each brand, product and
+    measure, which suits a few brands; without it a market has a row a brand and a window over them, which suits any
+    number. Both give the same rows.
     """
     needed = ["n", *measures]
     rows = melt_geographies(_labelled(snapshots, brands, fuels, geos, normalize), ["dt", "brand", *fuels], geos)
-    if len(brands) * len(fuels) <= MAX_WIDE_PAIRS:
+    if wide:
         return _wide_market_days(rows, list(brands), list(fuels), needed)
     return _long_market_days(rows, fuels, needed)
 
@@ -142,16 +142,16 @@ def win_rate_from(
 
 def brand_price_comparison(
     snapshots, brands=S.REPORT_BRANDS, fuels=S.REPORT_FUELS, geos=S.REPORT_GEOS,
-    min_appearances: int = S.MIN_APPEARANCES_COMPARISON, normalize: bool = False,
+    min_appearances: int = S.MIN_APPEARANCES_COMPARISON, normalize: bool = False, wide: bool = True,
 ) -> DataFrame:
-    return price_comparison_from(market_days(snapshots, brands, fuels, geos, normalize, ["total"]), min_appearances)
+    return price_comparison_from(market_days(snapshots, brands, fuels, geos, normalize, ["total"], wide), min_appearances)
 
 
 def brand_win_rate(
     snapshots, brands=S.REPORT_BRANDS, fuels=S.REPORT_FUELS, geos=S.REPORT_GEOS, directions=DIRECTIONS,
-    min_appearances: int = S.MIN_APPEARANCES_WIN_RATE, normalize: bool = False,
+    min_appearances: int = S.MIN_APPEARANCES_WIN_RATE, normalize: bool = False, wide: bool = True,
 ) -> DataFrame:
-    return win_rate_from(market_days(snapshots, brands, fuels, geos, normalize, ["low", "high"]), directions, min_appearances)
+    return win_rate_from(market_days(snapshots, brands, fuels, geos, normalize, ["low", "high"], wide), directions, min_appearances)
 
 
 def market_day_wins(

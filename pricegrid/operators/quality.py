@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,14 +68,19 @@ def data_inventory(ingestion_stats: DataFrame, files: DataFrame) -> DataFrame:
     return days.withColumn("total_size_bytes", size)
 
 
-def missing_days(dates: DataFrame, first=None, last=None) -> DataFrame:
-    """Calendar days without data between two days (by default the first and last with data)."""
-    have = dates.select(F.col("date").cast("date").alias("date")).distinct()
+def available_dates(ingestion_stats: DataFrame) -> DataFrame:
+    """The days with data, in order."""
+    return ingestion_stats.where(F.col("record_count") > 0).select(F.col("date").cast("date").alias("date")).distinct().orderBy("date")
+
+
+def missing_days(dates: DataFrame, first=None, last=None, keys: Sequence[str] = ()) -> DataFrame:
+    """Calendar days without data between two days (by default the first and last with data), for each of ``keys``."""
+    have = dates.select(*keys, F.col("date").cast("date").alias("date")).distinct()
     low = F.min("date") if first is None else F.lit(str(first)).cast("date")
     high = F.max("date") if last is None else F.lit(str(last)).cast("date")
-    span = have.agg(low.alias("low"), high.alias("high")).where(F.col("low") <= F.col("high"))
-    calendar = span.select(F.explode(F.sequence("low", "high", F.expr("INTERVAL 1 DAY"))).alias("date"))
-    return calendar.join(have, "date", "left_anti")
+    span = have.groupBy(*keys).agg(low.alias("low"), high.alias("high")).where(F.col("low") <= F.col("high"))
+    calendar = span.select(*keys, F.explode(F.sequence("low", "high", F.expr("INTERVAL 1 DAY"))).alias("date"))
+    return calendar.join(have, [*keys, "date"], "left_anti")
 
 
 def latest_day_stats(ingestion_stats: DataFrame, max_date=None) -> DataFrame:

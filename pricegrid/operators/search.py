@@ -24,7 +24,6 @@ DEFAULT_CONSUMPTION = 7.0
 DEFAULT_REFILL_LITERS = 30.0
 ROAD_RADIUS_FACTOR = 1.3
 ROAD_OVERSAMPLING = 3
-SALTS = 16
 
 
 def priced_stations(
@@ -117,33 +116,18 @@ def best_total_cost(
 ) -> DataFrame:
     """The ``k`` stations with the lowest refill-plus-drive cost, scored 10 (cheapest reachable) to 0 (dearest).
 
-    The score needs the dearest station of a query as well as its best ones. Salted slices of each query first keep
-    their own best ``k`` rows and their maximum, so the per-query step sees a bounded number of rows.
+    The best ``k`` of a query are cut by a group limit before the shuffle; the cheapest and dearest costs, which the
+    score needs, are a partially aggregated minimum and maximum joined to them.
     """
     cost = F.col("estimated_total_cost")
     order = [cost.asc(), F.col("distance_km").asc(), F.col("station_id").asc()]
-    slice_key = ["query_id", "_salt"]
-    costed = (
-        _reachable(points, priced, radius_km, road)
-        .withColumn("estimated_total_cost", C.total_cost("price", "distance_km", tank_liters, consumption))
-        .withColumn("_salt", F.pmod(F.xxhash64("station_id"), F.lit(SALTS)))
+    costed = _reachable(points, priced, radius_km, road).withColumn(
+        "estimated_total_cost", C.total_cost("price", "distance_km", tank_liters, consumption)
     )
-    slices = (
-        costed.withColumn("_rank", F.row_number().over(Window.partitionBy(*slice_key).orderBy(*order)))
-        .withColumn("_dearest", F.max(cost).over(Window.partitionBy(*slice_key)))
-        .where(F.col("_rank") <= k)
-    )
-    query = Window.partitionBy("query_id")
+    ends = costed.groupBy("query_id").agg(F.min(cost).alias("_cheapest"), F.max(cost).alias("_dearest"))
     spread = F.col("_dearest") - F.col("_cheapest")
     score = F.when(spread > 0, F.round((F.col("_dearest") - cost) / spread * 10.0, 1)).otherwise(10.0)
-    return (
-        slices.withColumn("_dearest", F.max("_dearest").over(query))
-        .withColumn("_cheapest", F.min(cost).over(query))
-        .withColumn("_rank", F.row_number().over(query.orderBy(*order)))
-        .where(F.col("_rank") <= k)
-        .withColumn("score", score)
-        .drop("_salt", "_rank", "_dearest", "_cheapest")
-    )
+    return top_k(costed, ["query_id"], order, k).join(ends, "query_id").withColumn("score", score).drop("_dearest", "_cheapest")
 
 
 def listing_kpis(results: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ KM_PER_DEGREE = math.pi * EARTH_RADIUS_KM / 180
 HALF_TURN_KM = math.pi * EARTH_RADIUS_KM
 SLACK_DEGREES = 1e-6  # covers are widened by about 10 cm so that rounding never loses a boundary cell
 MIN_EDGE_KM = 0.05
+DEFAULT_EDGE_KM = 5.0
 
 # Cell edges for nearest-neighbour search, 8x apart; at the last one the whole globe is a single cell.
 SEARCH_EDGES_KM = [0.05 * 8**level for level in range(8)]
@@ -86,29 +87,34 @@ def _suffix_free(df: DataFrame, names: Sequence[str]) -> None:
 def radius_join(
     points: DataFrame,
     places: DataFrame,
-    radius_km: float,
+    radius_km: float | str,
     *,
+    edge_km: float = DEFAULT_EDGE_KM,
     point_lat: str = "query_lat",
     point_lon: str = "query_lon",
     lat: str = "latitude",
     lon: str = "longitude",
     distance: str = "distance_km",
 ) -> DataFrame:
-    """All (point, place) pairs at most ``radius_km`` apart, with their distance."""
-    edge = F.lit(float(max(radius_km, MIN_EDGE_KM)))
+    """All (point, place) pairs at most ``radius_km`` apart, with their distance.
+
+    The radius is a number, or the name of a column of ``points`` with one for each of them (null: no place). Cells
+    are as wide as a given number; with a column they are ``edge_km`` wide, and a point covers as many as it needs.
+    """
+    own = isinstance(radius_km, str)
+    radius = F.col(radius_km) if own else F.lit(float(radius_km))
+    edge = F.lit(float(max(edge_km if own else radius_km, MIN_EDGE_KM)))
     _suffix_free(points, [distance, "_cell"])
-    covered = points.withColumn(
-        "_cell", F.explode(circle_cells(F.col(point_lat), F.col(point_lon), F.lit(float(radius_km)), edge))
-    )
+    reaching = points.where(radius >= 0) if own else points
+    covered = reaching.withColumn("_cell", F.explode(circle_cells(F.col(point_lat), F.col(point_lon), radius, edge)))
     located = places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn(
         "_cell", cell_of(F.col(lat), F.col(lon), edge)
     )
-    reach = radius_km / KM_PER_DEGREE + SLACK_DEGREES
     return (
         covered.join(located, "_cell")
-        .where(F.abs(F.col(lat) - F.col(point_lat)) <= reach)
+        .where(F.abs(F.col(lat) - F.col(point_lat)) <= radius / KM_PER_DEGREE + SLACK_DEGREES)
         .withColumn(distance, haversine_km(point_lat, point_lon, lat, lon))
-        .where(F.col(distance) <= radius_km)
+        .where(F.col(distance) <= radius)
         .drop("_cell")
     )
 
@@ -199,25 +205,26 @@ def nearest_join(
     ``points`` needs ``query_lat``/``query_lon`` and a unique ``key``. Places that share one coordinate are thinned to
     the ``k`` that can win the tie before anything is joined, so a pile of copies costs ``k`` rows.
     """
-    located = places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    located = places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(place_id, lat, lon)
     located = top_k(located, [lat, lon], [F.col(place_id).asc()], k)
-    targets = _search_radius(points, located, k, key, lat, lon)
+    targets = _search_radius(points.select(key, "query_lat", "query_lon"), located, k, key, lat, lon)
     covered = targets.withColumn(
         "_cell", F.explode(circle_cells(F.col("query_lat"), F.col("query_lon"), F.col("radius"), F.col("edge")))
     )
+    wanted = covered.select("level", "_cell").distinct()
     leveled = (
         located.withColumn("_l", F.explode(_levels(SEARCH_EDGES_KM)))
-        .withColumn("level", F.col("_l.level"))
-        .withColumn("_cell", cell_of(F.col(lat), F.col(lon), F.col("_l.edge")))
-        .drop("_l")
+        .select(place_id, lat, lon, F.col("_l.level").alias("level"), cell_of(F.col(lat), F.col(lon), F.col("_l.edge")).alias("_cell"))
+        .join(wanted, ["level", "_cell"], "left_semi")
     )
     pairs = (
         covered.join(leveled, ["level", "_cell"])
         .withColumn(distance, haversine_km("query_lat", "query_lon", lat, lon))
         .where(F.col(distance) <= F.col("radius"))
-        .drop("level", "_cell", "radius", "edge")
+        .select(key, place_id, distance)
     )
-    return top_k(pairs, [key], [F.col(distance).asc(), F.col(place_id).asc()], k)
+    found = top_k(pairs, [key], [F.col(distance).asc(), F.col(place_id).asc()], k)
+    return points.join(found, key).join(places, place_id).select(*points.columns, *places.columns, distance)
 
 
 # ------------------------------------------------------------------------------------------------- polygons

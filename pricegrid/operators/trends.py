@@ -82,6 +82,12 @@ def brand_trend(rollup: DataFrame, days_back: int, brands: Sequence[str], as_of=
     return rows.select("date", "brand", "fuel_type", "avg_price")
 
 
+def in_order(trend: DataFrame) -> DataFrame:
+    """A trend as it is shown: by product, then date; a brand trend by date, then brand. A range sort, for the last step."""
+    order = ["date", "brand", "fuel_type"] if "brand" in trend.columns else ["fuel_type", "date", "zip_code"]
+    return trend.orderBy(*[c for c in order if c in trend.columns])
+
+
 def trend_kpis(trend: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Latest, lowest and highest daily mean of every trend, and its change from the first day in percent."""
     first, current = F.min_by("avg_price", "date"), F.max_by("avg_price", "date")

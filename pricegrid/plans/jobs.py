@@ -75,7 +75,7 @@ def run_daily_rollups(snapshots: DataFrame, root: str, fuels=S.PRICE_COLUMNS) ->
     )
 
 
-def plan_trips(trips: DataFrame, priced: DataFrame, root: str, max_detour_min: float) -> dict[str, DataFrame]:
+def plan_trips(trips: DataFrame, priced: DataFrame, root: str) -> dict[str, DataFrame]:
     """Candidates, stops and summaries of all trips as written tables.
 
     Stops are planned in Python once; summaries and fuel curves then read the table instead of planning again.
@@ -86,7 +86,7 @@ def plan_trips(trips: DataFrame, priced: DataFrame, root: str, max_detour_min: f
         sinks.overwrite(df, f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    candidates = stored("candidates", planner.trip_candidates(trips, priced, max_detour_min))
+    candidates = stored("candidates", planner.trip_candidates(trips, priced))
     stops = stored("stops", planner.refuelling_stops(trips, candidates))
     summary = stored("summary", planner.trip_summary(trips, stops, candidates))
     return {"candidates": candidates, "stops": stops, "summary": summary}

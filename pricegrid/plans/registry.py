@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pricegrid import schema as S
 from pricegrid.functions import columns as C
 from pricegrid.operators import brands, forecast, normalize, quality, rankings, rollups, search, spatial, trends, trips, zones
+from pricegrid.operators.melt import melt_prices
 from pricegrid.plans import adapters as A
 from pricegrid.plans import jobs
 from pricegrid.sources import geojson, landing, sinks
@@ -271,14 +272,14 @@ def _(spark, sf_dir):
     "merge_days_with_retention",
     with_ctes(
         A.PROVINCE_HISTORY_SQL,
-        body="SELECT \"date\", province, fuel_type, station_count FROM hp WHERE \"date\" BETWEEN DATE '2000-06-02' AND DATE '2001-05-20' "
-        "UNION ALL SELECT \"date\", province, fuel_type, station_count * 2 FROM hp WHERE \"date\" BETWEEN DATE '2001-05-21' AND DATE '2001-06-01'",
+        body="SELECT \"date\", province, fuel_type, CASE WHEN \"date\" >= DATE '2001-05-21' THEN station_count * 2 ELSE station_count END AS station_count "
+        "FROM hp WHERE \"date\" >= (SELECT max(\"date\") FROM hp) - 364",
     ),
 )
 def _(spark, sf_dir):
     history = A.province_history(spark, sf_dir).select("date", "province", "fuel_type", "station_count")
     existing = history.where("date <= '2001-05-25'")
-    new = history.where("date BETWEEN '2001-05-21' AND '2001-06-01'").withColumn("station_count", F.col("station_count") * 2)
+    new = history.where("date >= '2001-05-21'").withColumn("station_count", F.col("station_count") * 2)
     return sinks.merge_days(existing, new, retention_days=365)
 
 
@@ -287,16 +288,15 @@ def _(spark, sf_dir):
     with_ctes(
         A.PROVINCE_HISTORY_SQL,
         body="SELECT \"date\", province, fuel_type, CASE WHEN \"date\" >= DATE '2001-07-01' THEN station_count * 2 ELSE station_count END AS station_count "
-        "FROM hp WHERE \"date\" BETWEEN (SELECT max(\"date\") FROM hp) - 364 AND DATE '2001-08-01'",
+        "FROM hp WHERE \"date\" >= (SELECT max(\"date\") FROM hp) - 364",
     ),
 )
 def _(spark, sf_dir):
     path = A.scratch(spark, "rollup")
     history = A.province_history(spark, sf_dir).select("date", "province", "fuel_type", "station_count")
-    recent = history.where("date >= '2000-01-01'")
-    sinks.replace_days(recent, path)
+    sinks.replace_days(history, path)
     for _again in range(2):  # the second run must not change anything
-        late = recent.where("date >= '2001-07-01'").withColumn("station_count", F.col("station_count") * 2)
+        late = history.where("date >= '2001-07-01'").withColumn("station_count", F.col("station_count") * 2)
         sinks.replace_days(late, path, retention_days=365)
     return spark.read.parquet(path).select("date", "province", "fuel_type", "station_count")
 
@@ -500,6 +500,19 @@ def _(spark, sf_dir):
     return brands.brand_win_rate(A.brand_sales(spark, sf_dir), A.SALE_BRANDS, FUELS, A.SALE_GEOS)
 
 
+ALL_BRANDS = [f"brand#{i}" for i in range(1, 26)]
+
+
+@query("brand_price_comparison_all", with_ctes(A.BRAND_SALE_SQL, body=comparison_sql("b", ALL_BRANDS, A.SALE_GEOS)))
+def _(spark, sf_dir):
+    return brands.brand_price_comparison(A.brand_sales(spark, sf_dir), ALL_BRANDS, FUELS, A.SALE_GEOS, wide=False)
+
+
+@query("brand_win_rate_all", with_ctes(A.BRAND_SALE_SQL, body=win_rate_sql("b", ALL_BRANDS, A.SALE_GEOS)))
+def _(spark, sf_dir):
+    return brands.brand_win_rate(A.brand_sales(spark, sf_dir), ALL_BRANDS, FUELS, A.SALE_GEOS, wide=False)
+
+
 @query(
     "brand_competitiveness",
     with_ctes(
@@ -595,19 +608,19 @@ def _(spark, sf_dir):
     "loyalty_prices",
     with_ctes(
         A.OBSERVATION_SQL,
-        f"l AS (SELECT label, diesel_a_price AS price, {NORMAL_BRAND} AS brand FROM e WHERE diesel_a_price > 0)",
-        body="SELECT label, program, count(*) AS n, " + rnd("sum(price)", 4) + " AS list_total, " + rnd("sum(loyal)", 3) + " AS loyalty_total FROM "
-        "(SELECT label, price, CASE brand WHEN 'repsol' THEN 'Waylet' WHEN 'bp' THEN 'Mi BP' WHEN 'shell' THEN 'Shell' END AS program, "
+        f"l AS (SELECT label, fuel_type, price, {NORMAL_BRAND} AS brand FROM {melt_sql('e', 'label', FUELS)})",
+        body="SELECT label, fuel_type, program, count(*) AS n, " + rnd("sum(price)", 4) + " AS list_total, " + rnd("sum(loyal)", 3) + " AS loyalty_total FROM "
+        "(SELECT label, fuel_type, price, CASE brand WHEN 'repsol' THEN 'Waylet' WHEN 'bp' THEN 'Mi BP' WHEN 'shell' THEN 'Shell' END AS program, "
         "CASE brand WHEN 'repsol' THEN round(price - 0.03e0, 3) WHEN 'bp' THEN round(price - 0.03e0, 3) WHEN 'shell' THEN round(price - 0.05e0, 3) END AS loyal FROM l) "
         "GROUP BY ALL",
     ),
 )
 def _(spark, sf_dir):
-    priced = A.observations(spark, sf_dir).where(C.is_priced("diesel_a_price"))
-    rows = priced.select(
-        "label", F.col("diesel_a_price").alias("price"), C.loyalty_program("label").alias("program"), C.loyalty_price("label", "diesel_a_price").alias("loyal")
+    priced = melt_prices(A.observations(spark, sf_dir), ["label"], FUELS)
+    rows = priced.withColumns({"program": C.loyalty_program("label"), "loyal": C.loyalty_price("label", "price")})
+    total = rows.groupBy("label", "fuel_type", "program").agg(
+        F.count("*").alias("n"), F.sum("price").alias("list_total"), F.sum("loyal").alias("loyalty_total")
     )
-    total = rows.groupBy("label", "program").agg(F.count("*").alias("n"), F.sum("price").alias("list_total"), F.sum("loyal").alias("loyalty_total"))
     return rounded(total, list_total=4, loyalty_total=3)
 
 
@@ -643,11 +656,12 @@ _TREND = ", ".join(f"{rnd(c)} AS {c}" for c in TREND_DIGITS)
     "zip_trend",
     with_ctes(
         A.ZIP_HISTORY_SQL,
-        body=f"SELECT zip_code, fuel_type, \"date\", {_TREND} FROM hz WHERE \"date\" >= DATE '{A.AS_OF}' - 365 AND fuel_type IN ('diesel_a_price', 'diesel_b_price')",
+        body=f"SELECT zip_code, fuel_type, \"date\", {_TREND} FROM hz WHERE \"date\" >= DATE '{A.AS_OF}' - 365 AND fuel_type IN ('diesel_a_price', 'gasoline_95_e5_price') ORDER BY fuel_type, \"date\", zip_code",
     ),
 )
 def _(spark, sf_dir):
-    return rounded(trends.zip_trend(A.zip_history(spark, sf_dir), S.PERIOD_DAYS["year"], A.AS_OF, fuels=S.FUEL_GROUPS["diesel"][:2]), **TREND_DIGITS)
+    trend = trends.zip_trend(A.zip_history(spark, sf_dir), S.PERIOD_DAYS["year"], A.AS_OF, fuels=FUELS)
+    return trends.in_order(rounded(trend, **TREND_DIGITS))
 
 
 _RAW_TREND = (
@@ -909,7 +923,8 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    road = _road(spark, sf_dir, 800.0)
+    near = search.nearest(A.points(spark, sf_dir), _priced(spark, sf_dir), 5 * search.ROAD_OVERSAMPLING)
+    road = A.road_distances(near)
     found = search.nearest(A.points(spark, sf_dir), _priced(spark, sf_dir), 5, road)
     return rounded(found.select(*_SHOWN), distance_km=6, price=6)
 
@@ -953,6 +968,26 @@ def _(spark, sf_dir):
     return found.select("query_id", "station_id", "estimated_total_cost", "score")
 
 
+@query(
+    "cheapest_within_radius_group",
+    with_ctes(*_SEARCH_CTES, body=_top_sql("pairs", "price, distance_km, station_id", 3, f"distance_km <= {RADIUS_KM}", ", coalesce(diesel_premium_price, 0) > 0 AS premium")),
+)
+def _(spark, sf_dir):
+    found = search.cheapest_within_radius(A.points(spark, sf_dir), _priced(spark, sf_dir, group="diesel"), RADIUS_KM, 3)
+    premium = F.try_element_at("variant_prices", F.lit("diesel_premium_price")).isNotNull().alias("premium")
+    return rounded(found.select(*_SHOWN, premium), distance_km=6, price=6)
+
+
+@query(
+    "best_total_cost_group",
+    with_ctes(*_SEARCH_CTES, _COST_SQL, body="SELECT query_id, station_id, cost AS estimated_total_cost, coalesce(diesel_b_price, 0) > 0 AS heating FROM d WHERE rn <= 3"),
+)
+def _(spark, sf_dir):
+    found = search.best_total_cost(A.points(spark, sf_dir), _priced(spark, sf_dir, group="diesel"), RADIUS_KM, 3, tank_liters=40)
+    heating = F.try_element_at("variant_prices", F.lit("diesel_b_price")).isNotNull().alias("heating")
+    return found.select("query_id", "station_id", "estimated_total_cost", heating)
+
+
 @query(
     "listing_kpis",
     with_ctes(
@@ -1194,12 +1229,20 @@ def _(spark, sf_dir):
 
 @query(
     "missing_days",
-    "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '1-URGENT') "
-    "SELECT CAST(c AS DATE) AS \"date\" FROM range((SELECT CAST(min(d) AS TIMESTAMP) FROM d), (SELECT CAST(max(d) AS TIMESTAMP) + INTERVAL 1 DAY FROM d), INTERVAL 1 DAY) AS r(c) "
-    "WHERE CAST(c AS DATE) NOT IN (SELECT d FROM d)",
+    with_ctes(
+        A.BRAND_HISTORY_SQL,
+        "k AS (SELECT brand, fuel_type, min(\"date\") AS lo, max(\"date\") AS hi FROM hb GROUP BY ALL)",
+        body="SELECT brand, fuel_type, CAST(d AS DATE) AS \"date\" FROM (SELECT brand, fuel_type, unnest(range(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d FROM k) "
+        "EXCEPT ALL SELECT brand, fuel_type, \"date\" FROM hb",
+    ),
 )
 def _(spark, sf_dir):
-    return quality.missing_days(A.province_history(spark, sf_dir).where("province = 'madrid'").select("date"))
+    return quality.missing_days(A.brand_history(spark, sf_dir), keys=["brand", "fuel_type"])
+
+
+@query("available_dates", 'SELECT DISTINCT CAST(o_orderdate AS DATE) AS "date" FROM orders ORDER BY 1')
+def _(spark, sf_dir):
+    return quality.available_dates(A.province_history(spark, sf_dir).select("date", F.col("station_count").alias("record_count")))
 
 
 @query(
@@ -1341,7 +1384,7 @@ _DETOUR = A.VEHICLE["max_detour_min"]
 def _corridor_ctes(limit: str) -> str:
     return (
         f"dist AS (SELECT trip_id, wp_idx, km, station_id, price, {_WP_KM} AS d FROM wps CROSS JOIN p "
-        f"WHERE abs(wps.lat - p.latitude) < 0.3), "
+        f"WHERE abs(wps.lat - p.latitude) <= ({limit}) / 111.0), "
         "near AS MATERIALIZED (SELECT trip_id, station_id, price, round(min(d), 2) AS min_distance_km, arg_min(wp_idx, (d, wp_idx)) AS closest_waypoint_idx, "
         f"arg_min(km, (d, wp_idx)) AS route_km FROM dist WHERE d <= {limit} GROUP BY ALL), "
         f"cand AS (SELECT *, round(min_distance_km * 2, 1) AS detour_minutes FROM near WHERE round(min_distance_km * 2, 1) <= {_DETOUR})"
@@ -1363,8 +1406,25 @@ def _(spark, sf_dir):
     return found.select("trip_id", "station_id", "min_distance_km", "closest_waypoint_idx", "route_km")
 
 
+@query(
+    "waypoint_lookup",
+    with_ctes(
+        A.POINT_SQL,
+        A.TRIP_SQL,
+        "asked AS (SELECT DISTINCT trip_id, wp_idx * 2 AS closest_waypoint_idx FROM wps)",
+        recursive=True,
+        body="SELECT a.trip_id, a.closest_waypoint_idx, w.km AS route_km FROM asked a JOIN wps w ON w.trip_id = a.trip_id "
+        "AND w.wp_idx = least(a.closest_waypoint_idx, (SELECT max(m.wp_idx) FROM wps m WHERE m.trip_id = a.trip_id))",
+    ),
+)
+def _(spark, sf_dir):
+    waypoints = trips.route_waypoints(A.trips(spark, sf_dir))
+    asked = waypoints.select("trip_id", (F.col("wp_idx") * 2).alias("closest_waypoint_idx"))
+    return trips.waypoint_km(asked, waypoints).select("trip_id", "closest_waypoint_idx", "route_km")
+
+
 def _candidates(spark, sf_dir) -> DataFrame:
-    return trips.trip_candidates(A.trips(spark, sf_dir), _priced(spark, sf_dir), A.MAX_DETOUR_MIN)
+    return trips.trip_candidates(A.trips(spark, sf_dir), _priced(spark, sf_dir))
 
 
 @query(
@@ -1394,7 +1454,7 @@ def _(spark, sf_dir):
 
 
 def _planned(spark, sf_dir) -> dict[str, DataFrame]:
-    return jobs.plan_trips(A.trips(spark, sf_dir), _priced(spark, sf_dir), A.scratch(spark, "trips"), A.MAX_DETOUR_MIN)
+    return jobs.plan_trips(A.trips(spark, sf_dir), _priced(spark, sf_dir), A.scratch(spark, "trips"))
 
 
 @query("refuelling_stops")
