@@ -31,7 +31,7 @@ SCHEMAS = {
 }
 
 #: Bytes of text that a Python task works on at once; a longer single text is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,12 +107,12 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, null as empty, and the offsets of its rows (one more than rows)."""
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()
-    offs = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offs = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     if data is None or not len(column):
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
-    return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]
+    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
