@@ -6,7 +6,7 @@ import hashlib
 import os
 import re
 import struct
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,49 +28,96 @@ LEVEL = 3
 #: Bytes of frames in a block, about: the unit that is written, read and searched.
 BLOCK_BYTES = 4 << 20
 
-#: Words that a Python worker keeps the ids of.
-KEPT_WORDS = 300_000
+#: Words and parts of words that a Python worker keeps the ids of.
+KEPT_WORDS = 600_000
 
 _MAGIC = b"TIDS0001"
 _HEAD = "<8s32sIQ"  # then the index and the frames
 _HEAD_BYTES = struct.calcsize(_HEAD)
 
 _SPACE = re.compile(r"[ \t-\r]+")
+_NOT_UNICODE_SPACE = re.compile("[\x1c-\x1f]")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CACHE = Kept()
 
 
-def _tokenizer(path: str):
-    if path not in _CACHE:
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 bytes are their own letters, the others are numbered from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+class _Words:
+    """Ids of words by a tokenizer of words, each distinct one encoded once."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        _CACHE[path] = Tokenizer.from_file(path), {}
-    return _CACHE[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> None:
+        """Letters below U+0130, with marks after them or not, go to the model of the tokenizer as they are after its
+        normaliser and splitter: lower-cased, apart from the marks, in the byte-level alphabet. What may be more
+        involved (digits, other scripts, special tokens) goes through all of it."""
+        hard, words, parts = [], self.words, self.parts
+        for word in new:
+            stem = word.rstrip(_MARKS)
+            if not stem.isalpha() or not stem.isascii() and max(stem) >= "\u0130":
+                hard.append(word)
+                continue
+            low, tail = stem.lower(), word[len(stem) :]
+            ids = parts.get(low)
+            if ids is None:
+                plain = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+                ids = parts[low] = array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
+            if tail:
+                marks = parts.get(tail)
+                if marks is None:
+                    marks = parts[tail] = array("I", self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
+                ids += marks
+            words[word] = ids
+        for word, e in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)):
+            words[word] = array("I", e.ids).tobytes()
+
+    def of(self, texts: list[list[str]]) -> list[bytes]:
+        words = self.words
+        if len(self.parts) > KEPT_WORDS:
+            self.parts.clear()
+        if len(words) > KEPT_WORDS:
+            words.clear()
+        self.learn(list(set().union(*texts).difference(words)))
+        return [b"".join(map(words.__getitem__, text)) for text in texts]
+
+
+def split(text: str) -> list[str]:
+    """Blank-separated words; Python's blanks are the tokenizer's but for four control characters."""
+    return _SPACE.split(text) if _NOT_UNICODE_SPACE.search(text) else text.split()
 
 
 def encoded(texts: list[str], path: str, end_id: int) -> list[bytes]:
     """Ids of each text and the end id, as little-endian unsigned 32-bit integers.
 
-    The vocabulary is one of words: neither its normaliser nor its splitter joins anything across ASCII white space, so
-    that a text's ids are those of its blank-separated words, and each distinct word is encoded once.
+    The vocabulary is one of words: neither its normaliser nor its splitter joins anything across white space, so that
+    a text's ids are those of its blank-separated words, and each distinct word is encoded once.
     """
-    tokenizer, known = _tokenizer(path)
-    end, split, out = struct.pack("<I", end_id), [_SPACE.split(t) for t in texts], []
-    new = list({w for ws in split for w in ws if w not in known})
-    if len(known) + len(new) > KEPT_WORDS:
-        known.clear()
-        new = list({w for ws in split for w in ws})
-    for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    for ws in split:
-        out.append(b"".join([known[w] for w in ws]) + end)
-    return out
+    if path not in _CACHE:
+        _CACHE[path] = _Words(path)
+    end = struct.pack("<I", end_id)
+    return [ids + end for ids in _CACHE[path].of([split(t) for t in texts])]
 
 
 def train_dictionary(documents: DataFrame, path: str, end_id: int, limit: int = DICTIONARY_DOCUMENTS) -> bytes:
     """A zstandard dictionary for the id arrays of short documents, from a bounded sample in the order of a hash."""
     short = documents.filter(F.octet_length("text").between(1, DICTIONARY_TEXT_BYTES)).select("text", F.xxhash64("doc_id", "text").alias("_h"))
-    sample = [r["text"] for r in short.orderBy("_h", "text").limit(limit).collect()]
+    # About twice as many as needed are below this hash, so that few texts beside the sample leave their tasks.
+    share = min(1.0, 2 * limit / max(1, short.count()))
+    bound = min(int(share * 2.0**64) - (1 << 63), (1 << 63) - 1)
+    sample = [r["text"] for r in short.filter(F.col("_h") <= bound).orderBy("_h", "text").limit(limit).collect()]
     arrays = encoded(sample, path, end_id)
     if sum(map(len, arrays)) < 64 * 1024:
         return b""  # too little to train on: frames stand alone
