@@ -6,7 +6,6 @@ SQL (``*_SQL``, as common table expressions) is built from the same text.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder path in the shared folder the session names; a local one only where none is named (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='pricegrid-')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder path in the shared folder of ``spark.checkpoint.dir``; a cluster must name one, as no machine's
+    own folder is seen by the others. In local mode, where there is one machine, Spark's warehouse folder serves too."""
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base and conf.get("spark.master", "").startswith("local[") or not base and conf.get("spark.master") == "local":
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def _select(columns: dict[str, str]) -> list[str]:

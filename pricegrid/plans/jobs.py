@@ -33,46 +33,71 @@ def rebuild(snapshots: DataFrame, fuels=S.PRICE_COLUMNS) -> dict[str, DataFrame]
     return rollup_tables(latest_snapshot_per_day(snapshots).drop("date"), fuels)
 
 
-def _run(spark: SparkSession, tasks: list[tuple[str, DataFrame, Callable[[str], None]]], root: str) -> DataFrame:
-    """Run writes one after the other; one that fails is reported and does not stop the rest."""
+def _run(spark: SparkSession, tasks: list[tuple[str, Callable[[str], int]]], root: str) -> DataFrame:
+    """Run writes one after the other; one that fails is reported and does not stop the rest. A write counts its rows."""
     report = []
-    for name, df, write in tasks:
+    for name, write in tasks:
         path = f"{root}/{name}"
         try:
-            write(path)
-            stored = read_optional(spark, path, df.schema)  # also readable when nothing has ever been written
-            report.append((name, path, stored.count(), "ok", None))
+            report.append((name, path, write(path), "ok", None))
         except Exception as problem:  # noqa: BLE001 - reported, not hidden
-            report.append((name, path, 0, "failed", str(problem)[:500]))
+            report.append((name, path, 0, "failed", str(problem)))
     return spark.createDataFrame(report, JOB_SCHEMA)
 
 
 def run_daily_rollups(snapshots: DataFrame, root: str, fuels=S.PRICE_COLUMNS) -> DataFrame:
     """Write the days of ``snapshots`` into the rollup tables; returns a report with one row per table.
 
-    Weekday statistics come last because they are rebuilt from the whole stored province rollup.
+    The newest snapshots are read once and kept on the executors' disks for all tables; if they cannot be read whole,
+    each table reads the columns it needs, so that a bad column fails no other table. Weekday statistics come last
+    because they are rebuilt from the whole stored province rollup.
     """
     spark = snapshots.sparkSession
-    daily = rollup_tables(latest_snapshot_per_day(snapshots).drop("date"), fuels)
+    newest = latest_snapshot_per_day(snapshots).drop("date").persist(StorageLevel.DISK_ONLY)
+    try:
+        newest.count()
+    except Exception:  # noqa: BLE001 - each table reports what it cannot read
+        newest.unpersist()
+    daily = rollup_tables(newest, fuels)
 
     def replace(name: str, retention: int | None = None):
-        return name, daily[name], lambda path: sinks.replace_days(daily[name], path, retention)
+        return name, lambda path: sinks.replace_days(daily[name], path, retention)
+
+    def weekdays(path: str) -> int:
+        stored = spark.read.schema(daily["province_daily_stats"].schema).parquet(f"{root}/province_daily_stats")
+        return sinks.publish(rollups.weekday_stats_from_daily(stored), path)
+
+    try:
+        return _run(
+            spark,
+            [
+                replace("province_daily_stats"),
+                replace("zip_code_daily_stats", S.ZIP_RETENTION_DAYS),
+                replace("brand_daily_stats"),
+                replace("daily_ingestion_stats"),
+                ("day_of_week_stats", weekdays),
+            ],
+            root,
+        )
+    finally:
+        newest.unpersist()
+
 
-    def weekdays(path: str) -> None:
-        stored = spark.read.parquet(f"{root}/province_daily_stats")
-        sinks.overwrite(rollups.weekday_stats_from_daily(stored), path)
+def write_daily_rollups(snapshots: DataFrame, root: str, fuels=S.PRICE_COLUMNS) -> None:
+    """The same for a stream: a failed write fails the batch, which is then tried again."""
+    failed = run_daily_rollups(snapshots, root, fuels).where("status <> 'ok'").collect()  # five rows at most
+    if failed:
+        raise RuntimeError(f"rollups not written: {[(r['task'], r['error']) for r in failed]}")
 
-    return _run(
-        spark,
-        [
-            replace("province_daily_stats"),
-            replace("zip_code_daily_stats", S.ZIP_RETENTION_DAYS),
-            replace("brand_daily_stats"),
-            replace("daily_ingestion_stats"),
-            ("day_of_week_stats", daily["day_of_week_stats"], weekdays),
-        ],
-        root,
-    )
+
+def stored_rollups(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The rollup tables as they are stored."""
+    # A table that nothing has been written to yet is empty.
+    shapes = rollup_tables(spark.createDataFrame([], S.SNAPSHOT_SCHEMA))
+    weekdays = shapes.pop("day_of_week_stats").schema
+    return {n: read_optional(spark, f"{root}/{n}", df.schema) for n, df in shapes.items()} | {
+        "day_of_week_stats": sinks.read_published(spark, f"{root}/day_of_week_stats", weekdays)
+    }
 
 
 def plan_trips(trips: DataFrame, priced: DataFrame, root: str) -> dict[str, DataFrame]:
@@ -105,15 +130,15 @@ def brand_tables(market: DataFrame, wins: DataFrame, as_of) -> dict[str, DataFra
 def run_brand_analytics(snapshots: DataFrame, root: str, as_of) -> DataFrame:
     """Write the four brand reports; the two shared aggregates are computed once and kept on executor disks meanwhile."""
     spark = snapshots.sparkSession
-    history = latest_snapshot_per_day(snapshots)
+    history = latest_snapshot_per_day(snapshots).persist(StorageLevel.DISK_ONLY)
     market = brands.market_days(history).persist(StorageLevel.MEMORY_AND_DISK)
     wins = brands.market_day_wins(history).persist(StorageLevel.MEMORY_AND_DISK)
 
     def put(name: str, df: DataFrame):
-        return name, df, lambda path: sinks.overwrite(df, path)
+        return name, lambda path: sinks.publish(df, path)
 
     try:
         return _run(spark, [put(name, df) for name, df in brand_tables(market, wins, as_of).items()], root)
     finally:
-        market.unpersist()
-        wins.unpersist()
+        for kept in (market, wins, history):
+            kept.unpersist()

@@ -83,7 +83,7 @@ _DOC = "c_custkey // 100"
 _DOC_SPARK = "floor(c_custkey / 100)"
 
 
-def _raw_documents(spark, sf_dir) -> DataFrame:
+def _document_texts(spark, sf_dir) -> DataFrame:
     fields = {
         "C.P.": "lpad(cast(c_custkey % 100 as string), 5, '0')",
         "IDEESS": "cast(c_custkey as string)",
@@ -101,7 +101,11 @@ def _raw_documents(spark, sf_dir) -> DataFrame:
     )
     status = F.expr("case when doc_id % 7 = 3 then 'ERROR' else 'OK' end")
     document = F.to_json(F.struct(status.alias("ResultadoConsulta"), F.expr(local).alias("Fecha"), "ListaEESSPrecio"))
-    return landing.parse_documents(docs.select("doc_id", document.alias("document")))
+    return docs.select("doc_id", document.alias("document"))
+
+
+def _raw_documents(spark, sf_dir) -> DataFrame:
+    return landing.parse_documents(_document_texts(spark, sf_dir))
 
 
 @query(
@@ -119,6 +123,21 @@ def _(spark, sf_dir):
     return rows.select("doc_id", "timestamp", "zip_code", "eess_id", "label", "latitude", "diesel_a_price", "hydrogen_price")
 
 
+@query(
+    "document_files",
+    f"""SELECT {_DOC} AS doc_id, count(*) AS stations, CAST(sum(c_custkey) AS BIGINT) AS ids FROM customer WHERE {_DOC} % 7 NOT IN (3, 5) GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    """Documents as landed files, several to a file, read back."""
+    root = A.scratch(spark, "documents")
+    texts = _document_texts(spark, sf_dir)
+    merged = texts.groupBy((F.col("doc_id") % 5).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("document"), ","), F.lit("]")).alias("value"))
+    merged.write.partitionBy("part").text(root)
+    rows = normalize.normalize_documents(landing.read_documents(spark, f"{root}/part=*"))
+    doc = F.floor(F.col("eess_id").cast("long") / 100)
+    return rows.groupBy(doc.alias("doc_id")).agg(F.count("*").alias("stations"), F.sum(F.col("eess_id").cast("long")).alias("ids"))
+
+
 @query(
     "rejected_documents",
     f"""SELECT DISTINCT {_DOC} AS doc_id, case when {_DOC} % 7 = 3 then 'status' else 'bad_time' end AS reason
@@ -220,10 +239,16 @@ def _(spark, sf_dir):
     return recent.unionByName(landing.latest_file(files, as_of="2025-01-01").withColumn("case", F.lit("fallback")))
 
 
-@query("stored_files")
+@query(
+    "stored_files",
+    with_ctes(A.OBSERVATION_SQL, body='SELECT dt AS "day", 1 AS files, true AS named, true AS sized FROM e GROUP BY dt'),
+)
 def _(spark, sf_dir):
-    orders = A.table(spark, sf_dir, "orders").withColumn("dt", F.to_date("o_orderdate"))
-    return landing.list_files(orders).withColumn("file_name", F.element_at(F.split("file_name", "/"), -1))
+    root = A.scratch(spark, "landing")
+    landing.write_snapshot(A.observations(spark, sf_dir).drop("hydrogen_price").coalesce(1), root)
+    listed = landing.list_files(spark, root)
+    named, sized = F.bool_and(F.col("file_name").endswith(".snappy.parquet")), F.bool_and(F.col("size_bytes") > 0)
+    return listed.groupBy("day").agg(F.count("*").cast("int").alias("files"), named.alias("named"), sized.alias("sized"))
 
 
 @query(
@@ -384,35 +409,59 @@ def _(spark, sf_dir):
     return rollups.merge_weekday_stats(*[rollups.weekday_stats_from_snapshots(p) for p in parts])
 
 
-@query(
-    "rollups_rebuilt_from_history",
-    with_ctes(
-        A.OBSERVATION_SQL,
-        'n AS (SELECT * FROM e QUALIFY "timestamp" = max("timestamp") OVER (PARTITION BY dt))',
-        body=stats_sql("n", "province", not_null="province IS NOT NULL"),
-    ),
+_NEWEST = 'n AS (SELECT * FROM e QUALIFY "timestamp" = max("timestamp") OVER (PARTITION BY dt))'
+_STATS_OF_N = {
+    "province_daily_stats": ("province", stats_sql("n", "province", not_null="province IS NOT NULL")),
+    "zip_code_daily_stats": ("concat_ws('|', zip_code, province)", stats_sql("n", "zip_code, province", not_null="province IS NOT NULL AND zip_code IS NOT NULL")),
+    "brand_daily_stats": ("brand", BRAND_STATS.replace("FROM e)", "FROM n)")),
+}
+_ALL_ROLLUPS_SQL = (
+    " UNION ALL ".join(
+        f"SELECT '{task}' AS task, CAST(\"date\" AS VARCHAR) AS \"day\", {key} AS area, fuel_type, avg_price, min_price, max_price, station_count AS n FROM ({sql})"
+        for task, (key, sql) in _STATS_OF_N.items()
+    )
+    + " UNION ALL SELECT 'daily_ingestion_stats', CAST(\"date\" AS VARCHAR), NULL, NULL, unique_stations, unique_provinces, unique_localities, record_count FROM ("
+    + _INGESTION_SQL.replace("FROM e GROUP", "FROM n GROUP")
+    + ") UNION ALL SELECT 'day_of_week_stats', CAST(isodow(\"date\") - 1 AS VARCHAR), province, fuel_type, "
+    + "round(sum(avg_price), 4), NULL, NULL, count(*) FROM p GROUP BY ALL "
+    + "UNION ALL SELECT 'day_of_week_stats', CAST(isodow(\"date\") - 1 AS VARCHAR), '__national__', fuel_type, round(sum(a), 4), NULL, NULL, count(*) FROM "
+    + "(SELECT \"date\", fuel_type, sum(avg_price * station_count) / sum(station_count) AS a FROM p GROUP BY ALL) GROUP BY ALL"
 )
+_ROLLUP_CTES = (A.OBSERVATION_SQL, _NEWEST, f"p AS ({_STATS_OF_N['province_daily_stats'][1]})")
+
+
+def _all_rollups(tables: dict[str, DataFrame]) -> DataFrame:
+    """The five rollup tables in one shape, to be compared as a whole."""
+    null = F.lit(None)
+    shape = ["area", "fuel_type", "avg_price", "min_price", "max_price", "n"]
+
+    def rows(task: str, day, *values) -> DataFrame:
+        kinds = ["string", "string", "double", "double", "double", "long"]
+        cells = [v.cast(k).alias(c) for v, k, c in zip(values, kinds, shape)]
+        return tables[task].select(F.lit(task).alias("task"), day.cast("string").alias("day"), *cells)
+
+    date, fuel, prices = F.col("date"), F.col("fuel_type"), [F.col(c) for c in ("avg_price", "min_price", "max_price", "station_count")]
+    weekday = rows("day_of_week_stats", F.col("day_of_week"), F.col("province"), fuel, F.round("sum_price", 4), null, null, F.col("count_days"))
+    counts = [F.col(c) for c in ("unique_stations", "unique_provinces", "unique_localities", "record_count")]
+    return (
+        rows("province_daily_stats", date, F.col("province"), fuel, *prices)
+        .union(rows("zip_code_daily_stats", date, F.concat_ws("|", "zip_code", "province"), fuel, *prices))
+        .union(rows("brand_daily_stats", date, F.col("brand"), fuel, *prices))
+        .union(rows("daily_ingestion_stats", date, null, null, *counts))
+        .union(weekday)
+    )
+
+
+@query("rollups_rebuilt_from_history", with_ctes(*_ROLLUP_CTES, body=_ALL_ROLLUPS_SQL))
 def _(spark, sf_dir):
-    return jobs.rebuild(A.observations(spark, sf_dir))["province_daily_stats"]
+    return _all_rollups(jobs.rebuild(A.observations(spark, sf_dir)))
 
 
-@query(
-    "daily_rollup_job",
-    with_ctes(
-        A.OBSERVATION_SQL,
-        'n AS (SELECT * FROM e QUALIFY "timestamp" = max("timestamp") OVER (PARTITION BY dt))',
-        f"p AS ({stats_sql('n', 'province', not_null='province IS NOT NULL')})",
-        body="SELECT 'province_daily_stats' AS task, (SELECT count(*) FROM p) AS output_rows, 'ok' AS status "
-        f"UNION ALL SELECT 'zip_code_daily_stats', (SELECT count(*) FROM ({stats_sql('n', 'zip_code, province', not_null='province IS NOT NULL')})), 'ok' "
-        f"UNION ALL SELECT 'brand_daily_stats', (SELECT count(*) FROM ({BRAND_STATS.replace('FROM e)', 'FROM n)')})), 'ok' "
-        "UNION ALL SELECT 'daily_ingestion_stats', (SELECT count(DISTINCT dt) FROM n), 'ok' "
-        "UNION ALL SELECT 'day_of_week_stats', (SELECT count(*) FROM (SELECT DISTINCT isodow(\"date\"), fuel_type, province FROM p)) + "
-        "(SELECT count(*) FROM (SELECT DISTINCT isodow(\"date\"), fuel_type FROM p)), 'ok'",
-    ),
-)
+@query("daily_rollup_job", with_ctes(*_ROLLUP_CTES, body=_ALL_ROLLUPS_SQL))
 def _(spark, sf_dir):
-    report = jobs.run_daily_rollups(A.observations(spark, sf_dir), A.scratch(spark, "rollups"))
-    return report.select("task", "output_rows", "status")
+    root = A.scratch(spark, "rollups")
+    jobs.run_daily_rollups(A.observations(spark, sf_dir), root)
+    return _all_rollups(jobs.stored_rollups(spark, root))
 
 
 # ================================================================================== brand reports
@@ -627,25 +676,37 @@ def _(spark, sf_dir):
 _HISTORY_ONLY_NEWEST = 'n AS (SELECT * FROM e QUALIFY "timestamp" = max("timestamp") OVER (PARTITION BY dt))'
 
 
-@query(
-    "brand_analytics_job",
-    with_ctes(
-        A.OBSERVATION_SQL,
-        _HISTORY_ONLY_NEWEST,
-        body="SELECT 'brand_competitiveness' AS task, (SELECT count(*) FROM ("
-        + wins_sql("n", S.COMPETITIVENESS_BRANDS, GEOS, "b.label AS brand, '{geo}' AS gl, b.g AS gv, '{fuel}' AS f", "count(*) >= 30")
-        + ")) AS output_rows, 'ok' AS status UNION ALL SELECT 'brand_competitiveness_monthly', (SELECT count(*) FROM ("
-        + wins_sql("n", S.COMPETITIVENESS_BRANDS, GEOS, "date_trunc('month', b.dt) AS m, b.label AS brand, '{geo}' AS gl, '{fuel}' AS f", "true")
-        + ")), 'ok' UNION ALL SELECT 'reports/brand_win_rate', (SELECT count(*) FROM ("
-        + win_rate_sql("n", S.REPORT_BRANDS, GEOS)
-        + ")), 'ok' UNION ALL SELECT 'reports/brand_price_comparison', (SELECT count(*) FROM ("
-        + comparison_sql("n", S.REPORT_BRANDS, GEOS)
-        + ")), 'ok'",
-    ),
+_BRAND_JOB_SQL = (
+    "SELECT 'brand_competitiveness' AS task, brand, gl AS geo_level, gv AS geo_value, f AS fuel_type, NULL AS detail, win_rate_pct AS value, appearances AS n FROM ("
+    + wins_sql("n", S.COMPETITIVENESS_BRANDS, GEOS, "b.label AS brand, '{geo}' AS gl, b.g AS gv, '{fuel}' AS f", "count(*) >= 30")
+    + ") UNION ALL SELECT 'brand_competitiveness_monthly', brand, gl, NULL, f, CAST(CAST(m AS DATE) AS VARCHAR), win_rate_pct, appearances FROM ("
+    + wins_sql("n", S.COMPETITIVENESS_BRANDS, GEOS, "date_trunc('month', b.dt) AS m, b.label AS brand, '{geo}' AS gl, '{fuel}' AS f", "true")
+    + ") UNION ALL SELECT 'reports/brand_win_rate', brand, geo_level, geo_value, fuel_type, direction, win_rate_pct, appearances FROM ("
+    + win_rate_sql("n", S.REPORT_BRANDS, GEOS)
+    + ") UNION ALL SELECT 'reports/brand_price_comparison', brand, geo_level, geo_value, fuel_type, NULL, price_delta_pct, appearances FROM ("
+    + comparison_sql("n", S.REPORT_BRANDS, GEOS)
+    + ")"
 )
+
+
+@query("brand_analytics_job", with_ctes(A.OBSERVATION_SQL, _HISTORY_ONLY_NEWEST, body=_BRAND_JOB_SQL))
 def _(spark, sf_dir):
-    report = jobs.run_brand_analytics(A.observations(spark, sf_dir), A.scratch(spark, "brands"), "2024-01-31")
-    return report.select("task", "output_rows", "status")
+    root, null = A.scratch(spark, "brands"), F.lit(None).cast("string")
+    jobs.run_brand_analytics(A.observations(spark, sf_dir), root, "2024-01-31")
+
+    def rows(task: str, area, detail, value: str) -> DataFrame:
+        stored = sinks.read_published(spark, f"{root}/{task}")
+        return stored.select(
+            F.lit(task).alias("task"), "brand", "geo_level", area.alias("geo_value"), "fuel_type", detail.alias("detail"), F.col(value).alias("value"), F.col("appearances").alias("n")
+        )
+
+    area = F.col("geo_value")
+    return (
+        rows("brand_competitiveness", area, null, "win_rate_pct")
+        .union(rows("brand_competitiveness_monthly", null, F.col("year_month").cast("string"), "win_rate_pct"))
+        .union(rows("reports/brand_win_rate", area, F.col("direction"), "win_rate_pct"))
+        .union(rows("reports/brand_price_comparison", area, null, "price_delta_pct"))
+    )
 
 
 # ================================================================================== trends and rankings
@@ -1015,6 +1076,39 @@ def _(spark, sf_dir):
 
 
 # ================================================================================== zones
+
+
+@query("polygon_files", with_ctes(A.STATION_SQL, A.POLYGON_SQL, body="SELECT DISTINCT station_id, name FROM inside"))
+def _(spark, sf_dir):
+    """Polygons as gzipped files, read back, and the stations inside them."""
+    root = A.scratch(spark, "polygons")
+    texts = A.polygon_documents(spark, sf_dir)
+    collected = F.array_join(F.collect_list("geojson"), ",")
+    files = texts.groupBy((F.col("feature_idx") % 3).alias("part")).agg(
+        F.concat(F.lit('{"type": "FeatureCollection", "features": ['), collected, F.lit("]}")).alias("value")
+    )
+    files.write.option("compression", "gzip").partitionBy("part").text(root)
+    features = geojson.read_features(spark, f"{root}/part=*")
+    rings = geojson.outer_rings(features, "nombre")
+    return spatial.containment_join(A.stations(spark, sf_dir), rings).select("station_id", "name").distinct()
+
+
+@query(
+    "zip_features",
+    "WITH f AS (SELECT n_nationkey AS feature_idx, lpad(CAST(n_nationkey % 9 AS VARCHAR), 5, '0') AS zip_code FROM nation WHERE n_nationkey % 4 > 0) "
+    "SELECT zip_code, max(feature_idx) AS feature_idx FROM f WHERE zip_code IN (SELECT lpad(CAST(r_regionkey * 2 AS VARCHAR), 5, '0') FROM region) GROUP BY zip_code",
+)
+def _(spark, sf_dir):
+    """Postal-code features, the last of a repeated code, of the zip codes asked for."""
+    code = "case when n_nationkey % 4 = 0 then ' ' else lpad(cast(n_nationkey % 9 as string), 5, '0') end"
+    square = "array(array(array(0.0, 0.0), array(0.0, 1.0), array(1.0, 1.0)))"
+    feature = f"to_json(struct(map('COD_POSTAL', {code}) AS properties, struct('Polygon' AS type, {square} AS coordinates) AS geometry))"
+    texts = A.table(spark, sf_dir, "nation").selectExpr("n_nationkey AS feature_idx", f"{feature} AS geojson")
+    asked = A.table(spark, sf_dir, "region").selectExpr("lpad(cast(r_regionkey * 2 as string), 5, '0') AS zip_code")
+    features = geojson.zip_features(geojson.parse_features(texts))
+    return features.join(asked, "zip_code", "left_semi").select("zip_code", "feature_idx")
+
+
 _LONG_S = melt_sql("s", "station_id, province, municipality, zip_code, latitude, longitude", A.STATION_FUELS)
 
 
@@ -1492,15 +1586,12 @@ def _(spark, sf_dir):
     return rounded(refresh.read_live_snapshot(spark, live).select("eess_id", "zip_code", "diesel_a_price"), diesel_a_price=6)
 
 
-@query(
-    "rollup_stream",
-    with_ctes(A.OBSERVATION_SQL, _HISTORY_ONLY_NEWEST, body=stats_sql("n", "province", not_null="province IS NOT NULL")),
-)
+@query("rollup_stream", with_ctes(*_ROLLUP_CTES, body=_ALL_ROLLUPS_SQL))
 def _(spark, sf_dir):
     landed, root, checkpoint = (A.scratch(spark, n) for n in ("landing", "rollups", "checkpoint"))
     landing.write_snapshot(A.observations(spark, sf_dir).drop("hydrogen_price"), landed)
     refresh.refresh_rollups(spark, landed, root, checkpoint, once=True).awaitTermination()
-    return spark.read.parquet(f"{root}/province_daily_stats")
+    return _all_rollups(jobs.stored_rollups(spark, root))
 
 
 @query(
@@ -1513,4 +1604,4 @@ def _(spark, sf_dir):
     refresh.publish_if_valid(good, path)
     for bad in (None, good.where("false"), good.drop("avg_price")):
         refresh.publish_if_valid(bad, path)
-    return spark.read.parquet(path).select("date", "zip_code", "province", "fuel_type", "station_count")
+    return sinks.read_published(spark, path).select("date", "zip_code", "province", "fuel_type", "station_count")

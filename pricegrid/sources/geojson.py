@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,12 +24,21 @@ ZIP_PROPERTY = "COD_POSTAL"
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """``feature_idx, properties, geometry`` of every feature of a FeatureCollection file."""
-    return explode_features(spark.read.schema(_COLLECTION).option("multiLine", True).json(path))
+    """``feature_idx, properties, geometry`` of every feature of FeatureCollection files.
+
+    Features are numbered through all files, in the order of the file names: the high bits are the file's number.
+    """
+    rows = spark.read.schema(_COLLECTION).option("multiLine", True).json(path).withColumn("_file", F.col("_metadata.file_path"))
+    files = rows.select("_file").distinct().withColumn("_no", F.row_number().over(Window.orderBy("_file")) - 1)  # one row a file
+    numbered = explode_features(rows, ["_file"]).join(F.broadcast(files), "_file")
+    return numbered.select(
+        (F.shiftleft(F.col("_no").cast("long"), 32) + F.col("feature_idx")).alias("feature_idx"), "properties", "geometry"
+    )
 
 
-def explode_features(collections: DataFrame) -> DataFrame:
-    return collections.select(F.posexplode("features").alias("feature_idx", "f")).select("feature_idx", "f.properties", "f.geometry")
+def explode_features(collections: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    found = collections.select(*keep, F.posexplode("features").alias("feature_idx", "f"))
+    return found.select(*keep, "feature_idx", "f.properties", "f.geometry")
 
 
 def parse_features(texts: DataFrame, column: str = "geojson") -> DataFrame:

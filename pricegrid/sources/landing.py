@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricegrid import schema as S
 from pricegrid.operators.trends import day
@@ -30,9 +31,19 @@ def read_csv_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("enforceSchema", False).schema(S.SNAPSHOT_SCHEMA).csv(path)
 
 
-def read_snapshots(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """All snapshot files, united by column name over older and newer layouts."""
-    rows = spark.read.option("mergeSchema", True).parquet(path)
+LANDING_SCHEMA = T.StructType([*S.SNAPSHOT_SCHEMA.fields, T.StructField("dt", T.DateType())])
+
+
+def read_snapshots(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, dated: bool = False, merge: bool = False
+) -> DataFrame:
+    """All snapshot files by the table contract: columns that an older layout lacks are null, and no footer is opened
+    to find the schema. ``dated`` adds the day of the folder; ``merge`` takes the union of all files' own columns.
+    """
+    if merge:
+        rows = spark.read.option("mergeSchema", True).parquet(path)
+    else:
+        rows = spark.read.schema(LANDING_SCHEMA if dated else S.SNAPSHOT_SCHEMA).parquet(path)
     return rows.select(*columns) if columns else rows
 
 
@@ -44,7 +55,7 @@ def read_optional(spark: SparkSession, path: str, schema, columns: Sequence[str]
 
 def read_days(spark: SparkSession, root: str, first=None, last=None) -> DataFrame:
     """Several days of snapshots; only the partitions in the range are listed and read."""
-    rows = read_snapshots(spark, root)
+    rows = read_snapshots(spark, root, dated=True)
     if first is not None:
         rows = rows.where(F.col("dt") >= F.lit(str(first)).cast("date"))
     if last is not None:
@@ -66,15 +77,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 # -------------------------------------------------------------------------------------------- file catalogue
 
 
-def list_files(snapshots: DataFrame, day_column: str = "dt") -> DataFrame:
-    """The files behind a Parquet scan: ``file_name, size_bytes, day``. Reads file metadata columns only."""
-    meta = F.col("_metadata")
-    return (
-        snapshots.select(
-            meta["file_path"].alias("file_name"), meta["file_size"].alias("size_bytes"), F.col(day_column).cast("date").alias("day")
-        )
-        .distinct()
-    )
+def list_files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
+    """The files under a folder: ``file_name, size_bytes, day`` (of a ``dt=`` folder). Lists them; reads no content."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    day_text = F.regexp_extract("path", "/dt=([0-9]{4}-[0-9]{2}-[0-9]{2})/", 1)
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.select(name.alias("file_name"), F.col("length").alias("size_bytes"), F.try_to_date(day_text).alias("day"))
 
 
 def files_between(files: DataFrame, first=None, last=None, days_back: int | None = None, as_of=None) -> DataFrame:
@@ -108,13 +116,14 @@ def latest_file(files: DataFrame, as_of=None, lookback: int = 3) -> DataFrame:
     return files.agg(newest).where(F.col("f").isNotNull()).select("f.day", "f.file_name", "f.size_bytes")
 
 
-def latest_snapshot_per_day(snapshots: DataFrame, version: str = "timestamp") -> DataFrame:
+def latest_snapshot_per_day(snapshots: DataFrame, version: str | None = None) -> DataFrame:
     """Rows of each day's newest snapshot.
 
-    ``version`` orders a day's snapshots; it may also be ``_metadata.file_name``. The per-day maximum is a small
-    aggregate joined back, so a day with most of the rows is not gathered in one task.
+    A day's snapshots are ordered by their time stamp, or by a column ``version`` such as ``_metadata.file_name``. The
+    per-day maximum is a small hash aggregate joined back, so a day with most of the rows is not gathered in one task.
     """
-    dated = snapshots.withColumn("date", F.to_date("timestamp")).withColumn("_version", F.col(version))
+    order = F.to_timestamp("timestamp") if version is None else F.col(version)
+    dated = snapshots.withColumn("date", F.to_date("timestamp")).withColumn("_version", order)
     newest = dated.groupBy("date").agg(F.max("_version").alias("_version"))
     return dated.join(newest, ["date", "_version"], "left_semi").drop("_version")
 

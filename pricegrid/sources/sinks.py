@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pricegrid.sources.landing import path_exists
@@ -25,23 +25,63 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
-def replace_days(df: DataFrame, path: str, retention_days: int | None = None, date: str = "date") -> None:
+def publish(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Write ``df`` as a new version of a table and return the rows written.
+
+    Readers take the newest finished version, so a write that fails, or is under way, is never seen. All but the last
+    ``keep`` versions are removed afterwards.
+    """
+    spark = df.sparkSession
+    versions = _folders(spark, path, "version") if path_exists(spark, path) else {}
+    written = Observation()
+    number = max(map(int, versions), default=-1) + 1
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/version={number}")
+    for old in sorted(versions, key=int)[: len(versions) + 1 - keep]:
+        _delete(spark, versions[old])
+    return written.get["n"]
+
+
+def published_path(spark: SparkSession, path: str) -> str | None:
+    """The newest finished version of a published table."""
+    versions = _folders(spark, path, "version") if path_exists(spark, path) else {}
+    finished = [v for v in versions if path_exists(spark, f"{path}/version={v}/_SUCCESS")]
+    return f"{path}/version={max(finished, key=int)}" if finished else None
+
+
+def read_published(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """A published table; an empty one with ``schema`` where nothing has been published."""
+    newest = published_path(spark, path)
+    if newest is None:
+        if schema is None:
+            raise FileNotFoundError(f"nothing is published under {path}")
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(newest)
+
+
+def replace_days(df: DataFrame, path: str, retention_days: int | None = None, date: str = "date") -> int:
     """Write ``df`` into a table partitioned by day, replacing exactly the days it holds.
 
     Re-running a day gives the same table, and an empty input changes nothing. Days older than the retention are
-    dropped as whole partitions.
+    dropped as whole partitions. Returns the rows written.
     """
+    written = Observation()
     # Rebalancing by day gathers a day into few files and splits a day that is too big for one.
-    df.hint("rebalance", date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
+    gathered = df.hint("rebalance", date).observe(written, F.count(F.lit(1)).alias("n"))
+    gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
     if retention_days is not None:
         drop_expired_days(df.sparkSession, path, retention_days, date)
+    return written.get["n"]
 
 
-def _day_folders(spark: SparkSession, path: str, date: str) -> dict[str, object]:
+def _folders(spark: SparkSession, path: str, column: str) -> dict[str, object]:
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
-    return {p.getName().split("=", 1)[1]: p for p in names if p.getName().startswith(f"{date}=")}
+    return {p.getName().split("=", 1)[1]: p for p in names if p.getName().startswith(f"{column}=")}
+
+
+def _delete(spark: SparkSession, folder) -> None:
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_expired_days(spark: SparkSession, path: str, retention_days: int, date: str = "date") -> None:
@@ -50,10 +90,10 @@ def drop_expired_days(spark: SparkSession, path: str, retention_days: int, date:
 
     if not path_exists(spark, path):
         return
-    folders = {k: p for k, p in _day_folders(spark, path, date).items() if k[:4].isdigit()}
+    folders = {k: p for k, p in _folders(spark, path, date).items() if k[:4].isdigit()}
     if not folders:
         return
     oldest = datetime.date.fromisoformat(max(folders)) - datetime.timedelta(days=retention_days - 1)
     for name, folder in folders.items():
         if datetime.date.fromisoformat(name) < oldest:
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(spark, folder)

@@ -7,18 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pricegrid import schema as S
-from pricegrid.operators import rollups
 from pricegrid.operators.normalize import public_sale
 from pricegrid.operators.trends import with_province_column
+from pricegrid.plans import jobs
 from pricegrid.sources import sinks
-from pricegrid.sources.landing import latest_snapshot_per_day, path_exists, read_snapshots
-
-LANDING_SCHEMA = T.StructType([*S.SNAPSHOT_SCHEMA.fields, T.StructField("dt", T.DateType())])
-
+from pricegrid.sources.landing import LANDING_SCHEMA, read_snapshots
 
 def landing_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(LANDING_SCHEMA)
@@ -37,8 +33,9 @@ def refresh_live_snapshot(
 ) -> StreamingQuery:
     """Replace the live snapshot by the newest complete one of each batch.
 
-    A snapshot under ``min_rows`` stations is refused, as is one older than what is stored; the stored one then stays.
-    Each batch writes its own version folder and readers take the newest, so a failed write is never visible.
+    A snapshot under ``min_rows`` stations is refused, as is one that is not newer than the stored one, which then
+    stays; so a lost checkpoint only makes the stream look at old files again. Each new snapshot is published as a
+    version of its own: a failed write is never visible.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -47,21 +44,18 @@ def refresh_live_snapshot(
         newest = sizes.agg(F.max("timestamp").alias("t")).first()["t"]
         if newest is None:
             return
-        if path_exists(spark, live):
-            stored = spark.read.parquet(live).where(F.col("version") < batch_id).agg(F.max("timestamp").alias("t")).first()["t"]
-            if stored is not None and stored >= newest:
+        stored = sinks.published_path(spark, live)
+        if stored is not None:
+            seen = spark.read.schema(S.SNAPSHOT_SCHEMA).parquet(stored).agg(F.max("timestamp").alias("t")).first()["t"]
+            if seen is not None and seen >= newest:
                 return
-        fresh = public_sale(batch.where(F.col("timestamp") == newest)).drop("dt")
-        fresh.withColumn("version", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("version").parquet(live)
+        sinks.publish(public_sale(batch.where(F.col("timestamp") == newest)).drop("dt"), live)
 
     return _start(landing_stream(spark, landing), step, checkpoint, once)
 
 
 def read_live_snapshot(spark: SparkSession, live: str) -> DataFrame:
-    versions = spark.read.parquet(live)
-    return versions.where(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
+    return sinks.read_published(spark, live, S.SNAPSHOT_SCHEMA)
 
 
 def refresh_rollups(
@@ -74,25 +68,21 @@ def refresh_rollups(
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("dt").distinct()
-        history = read_snapshots(spark, landing).join(F.broadcast(touched), "dt", "left_semi").drop("dt")
-        days = latest_snapshot_per_day(history).drop("date")
-        sinks.replace_days(rollups.province_daily_stats(days, fuels), f"{root}/province_daily_stats")
-        sinks.replace_days(rollups.zip_daily_stats(days, fuels), f"{root}/zip_code_daily_stats", S.ZIP_RETENTION_DAYS)
-        sinks.replace_days(rollups.brand_daily_stats(days, fuels), f"{root}/brand_daily_stats")
-        sinks.replace_days(rollups.daily_ingestion_stats(days, fuels), f"{root}/daily_ingestion_stats")
-        stored = spark.read.parquet(f"{root}/province_daily_stats")
-        sinks.overwrite(rollups.weekday_stats_from_daily(stored), f"{root}/day_of_week_stats")
+        # One value per calendar day of the batch; as literals they prune the folders that are read.
+        touched = [r["dt"] for r in batch.select("dt").distinct().collect()]
+        if touched:
+            days = read_snapshots(spark, landing, dated=True).where(F.col("dt").isin(touched)).drop("dt")
+            jobs.write_daily_rollups(days, root, fuels)
 
     return _start(landing_stream(spark, landing, max_files), step, checkpoint, once)
 
 
 def publish_if_valid(new: DataFrame | None, path: str) -> bool:
-    """Overwrite a stored zip rollup only by one that has rows and every column; else keep the last good one."""
+    """Publish a zip rollup only if it has rows and every column; else, and if its write fails, the last good one stays."""
     if new is None:
         return False
     candidate = with_province_column(new)
     if not set(S.ZIP_DAILY_COLUMNS) <= set(candidate.columns) or candidate.isEmpty():
         return False
-    sinks.overwrite(candidate.select(*S.ZIP_DAILY_COLUMNS), path)
+    sinks.publish(candidate.select(*S.ZIP_DAILY_COLUMNS), path)
     return True

@@ -54,7 +54,8 @@ def test_public_sale_filter(frame):
 def test_schema_evolution(spark, frame, tmp_path):
     frame([("a", "2024-01-01")], "label string, date string").write.parquet(str(tmp_path / "t" / "old"))
     frame([("b", 1.5)], "label string, diesel_a_price double").write.parquet(str(tmp_path / "t" / "new"))
-    rows = landing.read_snapshots(spark, f"{tmp_path}/t/*")
+    assert landing.read_snapshots(spark, f"{tmp_path}/t/*").columns == S.SNAPSHOT_COLUMNS  # older layouts lack columns
+    rows = landing.read_snapshots(spark, f"{tmp_path}/t/*", merge=True)
     assert set(rows.columns) == {"label", "date", "diesel_a_price"}
     assert rows.count() == 2
     upcast = frame([("2024-01-01", "28001", "f", 1.0, 1.0, 1.0, 1)], "date string, zip_code string, fuel_type string, avg_price double, min_price double, max_price double, station_count int")
@@ -99,7 +100,7 @@ def test_file_choice(files):
 def test_file_catalogue_of_a_landing_area(spark, frame, tmp_path):
     rows = frame([("2024-01-01T05:00:00+00:00", 1.0), ("2024-01-02T05:00:00+00:00", 1.0)], "timestamp string, diesel_a_price double")
     landing.write_snapshot(rows.coalesce(1), str(tmp_path / "l"))
-    listed = landing.list_files(landing.read_snapshots(spark, str(tmp_path / "l"))).collect()
+    listed = landing.list_files(spark, str(tmp_path / "l")).collect()
     assert sorted(str(r.day) for r in listed) == ["2024-01-01", "2024-01-02"]
     assert all(r.size_bytes > 0 and r.file_name.endswith("snappy.parquet") for r in listed)
     assert landing.read_days(spark, str(tmp_path / "l"), first="2024-01-02").count() == 1

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricegrid.plans import jobs
-from pricegrid.sources import landing
+from pricegrid.sources import landing, sinks
 from pricegrid.streaming import refresh
 
 ROW = "timestamp string, sale_type string, label string, province string, zip_code string, eess_id string, province_id string, municipality_id string, municipality string, locality string, ccaa_id string, diesel_a_price double"
@@ -54,7 +54,7 @@ def test_rollup_stream(spark, frame, folders):
     assert run() == [("2024-01-01", 1.7, 12), ("2024-01-02", 1.6, 12)]
     landing.write_snapshot(snapshot(frame, "2024-01-01T03:00:00+00:00", 9.9), landed)  # late and outdated
     assert run() == [("2024-01-01", 1.7, 12), ("2024-01-02", 1.6, 12)]
-    week = spark.read.parquet(f"{root}/day_of_week_stats").where("province = 'madrid'").collect()
+    week = sinks.read_published(spark, f"{root}/day_of_week_stats").where("province = 'madrid'").collect()
     assert sorted((r.day_of_week, r.sum_price) for r in week) == [(0, 1.7), (1, 1.6)]
 
 
@@ -72,14 +72,39 @@ def test_daily_job_is_idempotent_and_reports_failures(spark, frame, folders):
     }
 
 
-def test_publish_keeps_the_last_good_rollup(spark, frame, folders):
+def test_publish_keeps_the_last_good_rollup(spark, frame, folders, tmp_path):
     path = folders[1]
     good = frame([("2024-01-01", "28001", "f", 1.0, 1.0, 1.0, 1)], "date string, zip_code string, fuel_type string, avg_price double, min_price double, max_price double, station_count int")
     assert refresh.publish_if_valid(good, path)  # an older rollup without province is upcast
     assert not refresh.publish_if_valid(None, path)
     assert not refresh.publish_if_valid(good.where("false"), path)
     assert not refresh.publish_if_valid(good.drop("avg_price"), path)
-    assert spark.read.parquet(path).count() == 1
+    assert sinks.read_published(spark, path).count() == 1
+    # A write that fails half-way leaves the last good rollup in place.
+    failing = good.withColumn("avg_price", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish(failing, path)
+    assert sinks.read_published(spark, path).first().avg_price == 1.0
+    for price in (2.0, 3.0, 4.0):
+        refresh.publish_if_valid(good.withColumn("avg_price", F.lit(price)), path)
+    assert sinks.read_published(spark, path).first().avg_price == 4.0
+    assert len(list((tmp_path / "out").iterdir())) <= 3
+
+
+def test_a_lost_checkpoint_does_not_freeze_the_snapshot(spark, frame, folders):
+    landed, live, checkpoint = folders
+    for day, checkpoint_name in (("01", "a"), ("02", "a"), ("05", "b"), ("09", "c")):
+        landing.write_snapshot(snapshot(frame, f"2024-01-{day}T06:00:00+00:00", 1.5), landed)
+        refresh.refresh_live_snapshot(spark, landed, live, checkpoint + checkpoint_name, min_rows=10, once=True).awaitTermination()
+        assert {r.timestamp[:10] for r in refresh.read_live_snapshot(spark, live).collect()} == {f"2024-01-{day}"}
+
+
+def test_days_are_pruned_by_folder(spark, frame, folders):
+    for day in ("01", "02", "03"):
+        landing.write_snapshot(snapshot(frame, f"2024-01-{day}T06:00:00+00:00", 1.5), folders[0])
+    rows = landing.read_days(spark, folders[0], "2024-01-02", "2024-01-02")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "2024-01-02" in plan.split("PartitionFilters")[1].split("]")[0] and rows.count() == 12
 
 
 def test_live_or_stored(frame):
