@@ -1551,20 +1551,107 @@ def _planned(spark, sf_dir) -> dict[str, DataFrame]:
     return jobs.plan_trips(A.trips(spark, sf_dir), _priced(spark, sf_dir), A.scratch(spark, "trips"))
 
 
-@query("refuelling_stops")
-def _(spark, sf_dir):
-    return trips.refuelling_stops(A.trips(spark, sf_dir), _candidates(spark, sf_dir))
-
-
-@query("trip_summary")
+# The stop rules as recursive tables: drive from stop to stop, secure the arrival level, leave out needless stops.
+_STOP = "STRUCT(km DOUBLE, id BIGINT, price DOUBLE, detour DOUBLE, label VARCHAR, why VARCHAR)"
+
+
+def _arrival_sql(stops: str) -> str:
+    """Level at the destination after a list of stops."""
+    after = f"tank_liters - greatest(0e0, total_km - list_extract({stops}, -1).km) * consumption / 100"
+    nonstop = "tank_liters * (fuel_pct / 100) - total_km * consumption / 100"
+    return f"round(greatest(0e0, CASE WHEN len({stops}) > 0 THEN {after} ELSE {nonstop} END / tank_liters * 100), 1)"
+
+
+def _why_sql(texts: dict[str, str]) -> str:
+    return "CASE strategy " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.items()) + " END"
+
+
+_WHY = {k: v.replace("{n}", "%d").replace("{a:.0f}", "%.0f").replace("{b:.0f}", "%.0f") for k, v in trips.STOP_TEXT.items()}
+_FLOOR_WHY = trips.FLOOR_TEXT.replace("%", "%%").replace("{floor:.0f}", "%.0f").replace("{a:.0f}", "%.0f").replace("{b:.0f}", "%.0f")
+_USABLE = "CASE WHEN reach > margin_km THEN reach - margin_km ELSE reach * 0.9e0 END"
+_OTHERS = "list_filter(stops, lambda x, j: j <> i)"
+_KMS = f"list_concat([0e0], list_transform({_OTHERS}, lambda x: x.km), [total_km])"
+_DRIVABLE = (
+    f"list_bool_and(list_transform(range(1, len({_KMS})), lambda j: {_KMS}[j + 1] - {_KMS}[j] <= "
+    "CASE WHEN j = 1 THEN start_km ELSE full_km END - margin_km))"
+)
+_PLAN_CTES = (
+    *_TRIP_CTES,
+    _corridor_ctes(f"({_DETOUR}) * 1.5"),
+    "cn AS MATERIALIZED (SELECT c.trip_id, c.station_id, c.price, c.route_km, c.min_distance_km, c.detour_minutes, p.label FROM cand c JOIN p USING (station_id))",
+    "v AS MATERIALIZED (SELECT trip_id, total_km, tank_liters, consumption, fuel_pct, floor_pct, strategy, tank_liters / consumption * 100 AS full_km, "
+    "tank_liters / consumption * 100 * 0.15e0 AS margin_km, tank_liters / consumption * 100 * (fuel_pct / 100) AS start_km "
+    f"FROM trips CROSS JOIN (SELECT unnest({list(trips.STRATEGIES)!r}) AS strategy))",
+    f"drive AS (SELECT trip_id, strategy, 0e0 AS at_km, start_km AS reach, CAST([] AS {_STOP}[]) AS stops, 0 AS n FROM v UNION ALL "
+    "SELECT trip_id, strategy, b.km, full_km, list_append(stops, {'km': b.km, 'id': b.id, 'price': b.price, 'detour': b.detour, 'label': b.label, "
+    f"'why': printf({_why_sql(_WHY)}, CAST(k AS INTEGER), at_km, at_km + usable)}}), n + 1 FROM ("
+    "SELECT trip_id, strategy, at_km, stops, n, full_km, usable, count(*) AS k, min({'first': CASE strategy WHEN 'least_detour' THEN detour_minutes "
+    "WHEN 'fewest_stops' THEN CAST(route_km < at_km + usable * 2 / 3 AS DOUBLE) ELSE 0e0 END, 'price': price, 'km': route_km, 'd': min_distance_km, "
+    "'id': station_id, 'detour': detour_minutes, 'label': label}) AS b FROM ("
+    f"SELECT d.*, v.full_km, {_USABLE} AS usable FROM drive d JOIN v USING (trip_id, strategy) WHERE at_km + reach < total_km) JOIN cn USING (trip_id) "
+    "WHERE route_km > at_km AND route_km <= at_km + usable AND NOT list_contains(list_transform(stops, lambda x: x.label), label) GROUP BY ALL))",
+    "driven AS (SELECT * FROM drive JOIN v USING (trip_id, strategy) QUALIFY row_number() OVER (PARTITION BY trip_id, strategy ORDER BY n DESC) = 1)",
+    "late AS (SELECT trip_id, strategy, at_km, least(at_km + reach - margin_km, total_km) AS lim, floor_pct, "
+    "min({'first': -route_km, 'price': price, 'd': min_distance_km, 'id': station_id, 'km': route_km, 'detour': detour_minutes, 'label': label}) AS b "
+    f"FROM driven JOIN cn USING (trip_id) WHERE {_arrival_sql('stops')} < floor_pct AND route_km > at_km AND route_km <= least(at_km + reach - margin_km, total_km) "
+    "AND total_km - route_km <= full_km * (1 - floor_pct / 100) AND NOT list_contains(list_transform(stops, lambda x: x.label), label) GROUP BY ALL)",
+    "secured AS (SELECT d.* REPLACE (CASE WHEN l.b IS NULL THEN d.stops ELSE list_append(d.stops, {'km': l.b.km, 'id': l.b.id, 'price': l.b.price, 'detour': l.b.detour, "
+    f"'label': l.b.label, 'why': printf('{_FLOOR_WHY}', l.floor_pct, l.at_km, l.lim)}}) END AS stops) FROM driven d LEFT JOIN late l USING (trip_id, strategy))",
+    "prune AS (SELECT trip_id, strategy, stops, len(stops) AS i FROM secured UNION ALL "
+    f"SELECT trip_id, strategy, CASE WHEN {_DRIVABLE} AND {_arrival_sql(_OTHERS)} >= floor_pct THEN {_OTHERS} ELSE stops END, i - 1 "
+    "FROM prune JOIN v USING (trip_id, strategy) WHERE i > 0)",
+    "planned AS MATERIALIZED (SELECT p.stops, v.* FROM prune p JOIN v USING (trip_id, strategy) WHERE i = 0)",
+    "legs_of AS (SELECT *, unnest(stops) AS s, generate_subscripts(stops, 1) AS no FROM planned)",
+    "left_of AS (SELECT *, CASE WHEN no = 1 THEN start_km ELSE full_km END / full_km * tank_liters - (s.km - CASE WHEN no = 1 THEN 0e0 ELSE stops[no - 1].km END) * consumption / 100 AS rest FROM legs_of)",
+    "st AS MATERIALIZED (SELECT trip_id, strategy, CAST(no - 1 AS INTEGER) AS stop_idx, s.id AS station_id, s.label AS label, s.km AS route_km, s.detour AS detour_minutes, "
+    "round(greatest(0e0, rest / tank_liters * 100), 1) AS fuel_at_arrival_pct, round(greatest(0e0, tank_liters - rest), 1) AS liters_to_fill, "
+    "round(round(greatest(0e0, tank_liters - rest), 1) * s.price, 2) AS cost_eur, s.why AS reasoning FROM left_of)",
+)
+_STOP_OUT = ["trip_id", "strategy", "stop_idx", "station_id", "label", "route_km", "detour_minutes", "fuel_at_arrival_pct", "liters_to_fill", "cost_eur", "reasoning"]
+
+
+@query("refuelling_stops", with_ctes(*_PLAN_CTES, recursive=True, body=f"SELECT {', '.join(_STOP_OUT)} FROM st"))
+def _(spark, sf_dir):
+    return trips.refuelling_stops(A.trips(spark, sf_dir), _candidates(spark, sf_dir)).select(*_STOP_OUT)
+
+
+_MEDIAN_CTE = (
+    "med AS (SELECT trip_id, price AS median_price FROM cand QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY price) = count(*) OVER (PARTITION BY trip_id) // 2 + 1)"
+)
+_SUMMARY_CTE = (
+    "sums AS (SELECT trip_id, strategy, count(*) AS k, sum(cost_eur) AS cost, sum(liters_to_fill) AS litres, sum(detour_minutes) AS detour, list_sort(list(DISTINCT label)) AS labels FROM st GROUP BY ALL), "
+    "summary AS (SELECT trip_id, strategy, coalesce(k, 0) AS n_stops, round(coalesce(cost, 0), 2) AS total_fuel_cost, round(coalesce(litres, 0), 1) AS total_fuel_liters, "
+    "round(coalesce(detour, 0), 1) AS total_detour_minutes, CASE WHEN strategy = 'cheapest' THEN coalesce(greatest(0e0, round(coalesce(litres, 0) * median_price - coalesce(cost, 0), 2)), 0e0) END AS savings_eur, "
+    f"{_arrival_sql('stops')} AS fuel_at_destination_pct, {_arrival_sql('stops')} + 0.05e0 < floor_pct AS floor_unmet, "
+    "strategy = 'cheapest' OR coalesce(labels, []) <> coalesce(max(CASE WHEN strategy = 'cheapest' THEN labels END) OVER (PARTITION BY trip_id), []) AS shown "
+    "FROM planned LEFT JOIN sums USING (trip_id, strategy) LEFT JOIN med USING (trip_id))"
+)
+
+
+@query("trip_summary", with_ctes(*_PLAN_CTES, _MEDIAN_CTE, _SUMMARY_CTE, recursive=True, body="SELECT * FROM summary"))
 def _(spark, sf_dir):
     return _planned(spark, sf_dir)["summary"]
 
 
-@query("fuel_curve")
+@query(
+    "fuel_curve",
+    with_ctes(
+        *_PLAN_CTES,
+        _MEDIAN_CTE,
+        _SUMMARY_CTE,
+        "ends AS (SELECT trip_id, stop_idx AS leg, route_km AS to_km, greatest(0e0, least(100e0, fuel_at_arrival_pct)) AS to_pct FROM st WHERE strategy = 'cheapest' UNION ALL "
+        "SELECT trip_id, 1000000, total_km, greatest(0e0, least(100e0, fuel_at_destination_pct)) FROM trips JOIN summary USING (trip_id) WHERE strategy = 'cheapest')",
+        "lg AS (SELECT e.*, t.total_km, coalesce(lag(to_km) OVER w, 0e0) AS from_km, CASE WHEN lag(to_km) OVER w IS NULL THEN greatest(0e0, least(100e0, fuel_pct)) ELSE 100e0 END AS from_pct "
+        "FROM ends e JOIN trips t USING (trip_id) WHERE total_km > 0 WINDOW w AS (PARTITION BY trip_id ORDER BY leg))",
+        "sm AS (SELECT *, bucket * (total_km / 24) AS here FROM lg CROSS JOIN range(25) AS r(bucket))",
+        recursive=True,
+        body="SELECT trip_id, CAST(bucket AS INTEGER) AS bucket, round(here + 1e-9, 6) AS km, round(coalesce(greatest(0e0, least(100e0, arg_min(from_pct + (here - from_km) / (to_km - from_km) * (to_pct - from_pct), leg) "
+        "FILTER (to_km > from_km AND here <= to_km))), arg_max(to_pct, leg)) + 1e-9, 6) AS pct FROM sm GROUP BY trip_id, bucket, here",
+    ),
+)
 def _(spark, sf_dir):
     tables = _planned(spark, sf_dir)
-    return trips.fuel_curve(A.trips(spark, sf_dir), tables["stops"], tables["summary"])
+    return rounded(trips.fuel_curve(A.trips(spark, sf_dir), tables["stops"], tables["summary"]), km=6, pct=6)
 
 
 # ================================================================================== streaming
