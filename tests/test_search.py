@@ -116,6 +116,21 @@ def test_radius_join_is_exact_on_the_globe(frame, globe, radius):
     assert len(got) == len(want) and {(r.query_id, r.station_id) for r in got} == want
 
 
+@pytest.mark.parametrize("edge", [40.0, 900.0])
+def test_radius_join_with_a_radius_of_its_own_for_each_point(frame, globe, edge):
+    points, places = globe
+    radius = lambda i: [None, 0.0, 3.0, 60.0, 2500.0, 20100.0, -1.0][i % 7]
+    own = [(*p, radius(p[0])) for p in points]
+    got = spatial.radius_join(
+        frame(own, "query_id int, query_lat double, query_lon double, reach double"),
+        frame(places, "station_id int, latitude double, longitude double"),
+        "reach",
+        edge_km=edge,
+    ).collect()
+    want = {(p[0], s[0]) for p in own for s in places if p[3] is not None and brute_km(*p[1:3], *s[1:]) <= p[3]}
+    assert len(got) == len(want) and {(r.query_id, r.station_id) for r in got} == want
+
+
 @pytest.mark.parametrize("k", [1, 7, 1000])
 def test_nearest_join_is_exact_on_the_globe(frame, globe, k):
     points, places = globe
