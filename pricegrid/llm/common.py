@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,15 +40,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a folder of its own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    named = named or spark.sparkContext.getCheckpointDir()
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of its own only where it is unset on one machine."""
+    conf = spark.sparkContext.getConf()
+    named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="pricegrid-llm-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``stored``, and the number of rows, which the write itself counts."""
+    seen = Observation()
+    return stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
+def tasks_for(spark: SparkSession, rows: int, rows_a_task: int = 50_000) -> int:
+    """Tasks for a table of narrow rows: one for every ``rows_a_task``, up to one a shuffle partition."""
+    return max(1, min(partitions(spark), -(-rows // rows_a_task)))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: cuts lineage and survives lost executors.
 

@@ -9,7 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricegrid.llm.common import Prefixes, aside, byte_column, chunks, mixed, restored, sent_by_value, stored, word_hashes, words
+from pricegrid.llm.common import (
+    Prefixes,
+    aside,
+    byte_column,
+    chunks,
+    counted,
+    mixed,
+    restored,
+    sent_by_value,
+    stored,
+    tasks_for,
+    word_hashes,
+    words,
+)
 
 sent_by_value(__name__)
 
@@ -19,8 +32,8 @@ SIMILARITY = 0.8
 #: 24 bands of 4 registers: two texts at the threshold miss each other in all bands about 3 times in a million.
 BANDS, ROWS = 24, 4
 
-#: Texts of a bucket that are compared pair by pair if they are not yet in one class; a larger bucket is split first.
-SMALL = 64
+#: Texts of a bucket, and shingles of them all, that are compared in one task; a larger bucket is split first.
+BUCKET_TEXTS, BUCKET_SHINGLES = 2048, 4_000_000
 
 #: How many times a large bucket is split by one band more, before what is left of it is compared pair by pair.
 SPLITS = 2
@@ -138,90 +151,153 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b): the least node of its component.
 
-    Alternates large and small stars until nothing changes: each round is a few exchanges of the edges, and every
-    node ends up next to its root.
+    Alternates large and small stars until every node has one edge, to a root. A round is a few exchanges of the
+    edges, in as many tasks as their number asks for.
     """
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
-    while True:
+    spark = edges.sparkSession
+    apart = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    edges, n = counted(apart, "edges")
+    while n:
+        narrow = lambda df, k=tasks_for(spark, 2 * n): df.coalesce(k)
         both = edges.union(edges.select("b", "a"))
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "stars")
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stored(large, "edges")
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "stars")
-        joined = large.join(least, "a")
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
-        # Two sums tell whether the edges are still the same.
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        least = stored(narrow(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))), "stars")
+        large = narrow(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+        large = stored(narrow(large), "edges")
+        least = stored(narrow(large.groupBy("a").agg(F.min("b").alias("m"))), "stars")
+        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = narrow(narrow(small).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        edges, n = counted(edges, "edges")
+        # Stars: no node has two edges upwards, and none has edges both ways.
+        ways = edges.select(F.col("a").alias("x"), F.lit(1).alias("up")).union(edges.select("b", F.lit(None).cast("int")))
+        ways = ways.groupBy("x").agg(F.count("up").alias("up"), F.count(F.lit(1)).alias("all"))
+        if narrow(ways.filter("up > 1 OR (up = 1 AND all > 1)")).isEmpty():
             break
-        before = now
-    roots = edges.groupBy("b").agg(F.lit(1)).select(F.col("b").alias("node"), F.col("b").alias("root"))
+    roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
 def near_links(texts: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """Components of near-duplicate texts: node, root for every node of ``texts`` (node, text) that has a partner.
 
-    A band's bucket links its least node with the others first, which is as many pairs as rows. Texts of a bucket that
-    are then in different components are compared too: pair by pair in a bucket of up to ``SMALL`` texts; a larger
-    bucket is split by each other band that its texts share and goes through the same steps.
+    A band's bucket links its least node with the others first, which is as many pairs as rows. Where texts of a
+    bucket are then in different components, all its texts are compared across components in one task, which gives at
+    most one link for each pair of components. A bucket too large for that is split by each other band that its texts
+    share and goes through the same steps.
     """
     signed = stored(signatures(texts, bands, rows, size).dropDuplicates(["node"]), "signatures")
-    bucketed = stored(signed.select(F.explode("keys").alias("key"), "node"), "bands")
-    sets = tested = edges = roots = None
+    bucketed = signed.select(F.explode("keys").alias("key"), "node")
+    sets = tested = edges = None
     for level in range(SPLITS + 1):
         buckets = stored(bucketed.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-        members = stored(bucketed.join(buckets, "key"), "members")
+        members, n = counted(bucketed.join(buckets.drop("n"), "key"), "members")
         if sets is None:
-            sets = _sets_of(texts, members.select("node"), size)
+            wanted = stored(members.select("node").distinct(), "nodes")
+            sets = stored(shingle_sets(texts.join(wanted, "node"), size).dropDuplicates(["node"]), "shingles")
         stars = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        edges = _with(edges, stored(verified(_new(stars, tested), sets, similarity), "links"))
-        tested = _with(tested, stored(stars, "tested"))
-        for last in (False, True):
+        stars = stored(stars.coalesce(tasks_for(texts.sparkSession, n)), "pairs")
+        fresh = stars if tested is None else stars.join(tested, ["a", "b"], "left_anti")
+        edges = _with(edges, stored(verified(fresh, sets, similarity), "links"))
+        tested = _with(tested, stars)
+        roots = stored(components(edges), "roots")
+
+        apart, n = _apart(members, roots)
+        if not n:
+            return roots
+        apart = stored(apart.join(sets, "node"), "apart")
+        weight = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("size"))
+        large = stored(weight.filter((F.col("n") > BUCKET_TEXTS) | (F.col("size") > BUCKET_SHINGLES)).select("key"), "large")
+        few = apart.join(large, "key", "left_anti")
+        links, n = counted(_compared(few, similarity), "links")
+        if n:
+            edges = _with(edges, links)
             roots = stored(components(edges), "roots")
-            labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            if last:
-                break
-            mixed_ = _mixed(labelled).filter(F.col("n") <= SMALL)
-            edges = _with(edges, _compared(mixed_, tested, sets, similarity))
-        large = stored(_mixed(labelled).filter(F.col("n") > SMALL), "large")
-        if large.isEmpty():
+        left, n = counted(apart.drop("shingles").join(large, "key"), "left")
+        if not n:
+            return roots
+        left, n = _apart(left.drop("root"), roots)
+        if not n:
             return roots
         if level == SPLITS:
-            edges = _with(edges, _compared(large, tested, sets, similarity))
-            return components(edges)
-        other = F.explode("keys").alias("_other")
-        bucketed = large.select("key", "node").join(signed, "node").select("key", "node", other)
-        bucketed = stored(bucketed.filter("_other <> key").select(F.xxhash64("key", "_other").alias("key"), "node").distinct(), "bands")
+            return components(_with(edges, _paired(left, tested, sets, similarity)))
+        other = left.select("key", "node").join(signed, "node").select("key", "node", F.explode("keys").alias("_other"))
+        other = other.filter("_other <> key").select(F.xxhash64("key", "_other").alias("key"), "node").distinct()
+        bucketed = stored(other, "bands")
 
 
 def _with(have: DataFrame | None, more: DataFrame) -> DataFrame:
     return more if have is None else have.union(more)
 
 
-def _new(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-
+def _apart(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """key, node, root of the buckets whose texts are in more than one component, and their number."""
+    labelled = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = stored(labelled, "labelled")
+    ends = labelled.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y").select("key")
+    keys, n = counted(ends, "mixed")
+    return counted(labelled.join(keys, "key"), "mixed") if n else (labelled.limit(0), 0)
+
+
+def cross_links(root: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each two components with a similar pair of texts, the places of one such pair (k x 2)."""
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    row, column = row[shared], column[shared]
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column, both = row[order], column[order], np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [first, first + _COLUMNS])
+        block = np.zeros((len(sets), _COLUMNS), np.float32)
+        block[row[a:b], column[a:b] - first] = 1
+        both += block @ block.T
+    near = (both >= similarity * (size[:, None] + size[None, :] - both)) & (root[:, None] < root[None, :])
+    x, y = np.nonzero(near)
+    pair = np.unique(np.stack([root[x], root[y]]), axis=1, return_index=True)[1] if len(x) else x
+    return np.stack([x[pair], y[pair]], axis=1)
+
+
+_COLUMNS = 1024
+
+
+def _compared(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) across components within the buckets of ``rows`` (key, node, root, shingles), a bucket at a time."""
+
+    def links(group: list[tuple]) -> list[tuple[int, int]]:
+        root, node = np.array([g[2] for g in group]), [g[1] for g in group]
+        return [(node[x], node[y]) for x, y in cross_links(root, [g[3] for g in group], similarity)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            key, node, root = (batch.column(i).to_pylist() for i in range(3))
+            lists = batch.column(3)
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for k in range(len(key)):
+                if group and key[k] != group[0][0]:
+                    out += links(group)
+                    group = []
+                group.append((key[k], node[k], root[k], values[ends[k] : ends[k + 1]].copy()))
+            yield _pairs(out)
+        if group:
+            yield _pairs(links(group))
 
-def _sets_of(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    wanted = stored(nodes.distinct(), "nodes")
-    return stored(shingle_sets(texts.join(wanted, "node"), size).dropDuplicates(["node"]), "shingles")
+    dealt = rows.select("key", "node", "root", "shingles").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _mixed(labelled: DataFrame) -> DataFrame:
-    """Rows of the buckets whose texts are in more than one component."""
-    roots = stored(labelled.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y").select("key"), "mixed")
-    return labelled.join(roots, "key")
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _compared(rows: DataFrame, tested: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Verified links among the texts of a bucket that are in different components."""
+def _paired(rows: DataFrame, tested: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Verified links across components of the buckets of ``rows``, pair by pair: for what no split has made small."""
     left = rows.select("key", F.col("node").alias("a"), F.col("root").alias("_a"))
     right = rows.select("key", F.col("node").alias("b"), F.col("root").alias("_b"))
-    pairs = left.join(right, "key").filter("a < b AND _a <> _b").select("a", "b").distinct()
-    return stored(verified(_new(pairs, tested), sets, similarity), "links")
+    pairs = left.join(right, "key").filter("a < b AND _a <> _b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    return stored(verified(pairs, sets, similarity), "links")
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

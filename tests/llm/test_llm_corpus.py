@@ -64,9 +64,9 @@ def chain(n, step):
     return [" ".join(all_words[k * step : k * step + 120]) for k in range(n)]
 
 
-@pytest.mark.parametrize("small,splits", [(64, 2), (1, 2), (1, 0)])
+@pytest.mark.parametrize("small,splits", [(2048, 2), (1, 2), (1, 0)])
 def test_no_link_is_lost_in_crowded_buckets(spark, monkeypatch, small, splits):
-    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BUCKET_TEXTS", small)
     monkeypatch.setattr(neardup, "SPLITS", splits)
     shared = prose(50, 60)
     texts = chain(25, 6) + [shared + " " + prose(100 + k, 20) for k in range(25)]
@@ -102,6 +102,18 @@ def test_signatures_estimate_the_probability_jaccard():
     assert (alone[0] == signed[0]).all()
 
 
+def test_links_across_components():
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2**63, 80)
+    sets = [np.unique(np.concatenate([base[: 80 - k % 19], r.integers(0, 2**63, k % 7)])) for k in range(60)] + [np.zeros(0, int)]
+    root = r.integers(0, 9, len(sets))
+    near = lambda a, b: len(a) and len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    want = {(root[i], root[j]) for i in range(61) for j in range(61) if root[i] < root[j] and near(sets[i], sets[j])}
+    got = neardup.cross_links(root, sets, 0.8)
+    assert {(root[i], root[j]) for i, j in got} == want and len(got) == len(want)
+    assert all(near(sets[i], sets[j]) for i, j in got)
+
+
 def brute_contamination(rows, items, window=13):
     known = collections.defaultdict(set)
     for i, t in items:
