@@ -56,7 +56,7 @@ def _(spark, sf_dir):
     )
 
 
-@query("op5_benchmark_decontamination")
+@query("op5_benchmark_decontamination", decontam.ORACLE)
 def _(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(texts, table(spark, sf_dir, "benchmark"))
@@ -80,7 +80,7 @@ def _(spark, sf_dir):
     return htmltext.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-@query("op10_repeated_strings")
+@query("op10_repeated_strings", repeats.ORACLE)
 def _(spark, sf_dir):
     cut = repeats.without_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -339,3 +339,21 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, lead: int = LEAD
     return marked.select("doc_id", "text", "spans", "copies").mapInArrow(
         cut, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
     )
+
+
+#: The same from all windows of the texts as hexadecimal strings, cut into pieces of 500 bytes first.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, j // 500 AS k, substr(h, 2 * j + 1, 1398) AS part FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) // 2 - 199 AS BIGINT), 500)) AS j FROM d)),
+w AS (SELECT doc_id, 500 * k + i AS p, md5_number(substr(part, 2 * i + 1, 400)) AS g FROM (SELECT *, unnest(range(0, CAST(len(part) // 2 - 199 AS BIGINT))) AS i FROM c)),
+again AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+s AS (SELECT doc_id, p, p + 200 AS q FROM w WHERE g IN (SELECT g FROM again)),
+m AS (SELECT *, max(q) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+r AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run, q FROM m),
+runs AS (SELECT doc_id, run, min(p) AS a, max(q) AS b FROM r GROUP BY ALL),
+per AS (SELECT doc_id, list(a ORDER BY a) AS aa, list(b ORDER BY a) AS bb, sum(b - a) AS gone FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(aa), 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN aa IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(aa) + 1), lambda k:
+    substr(h, CAST(2 * (CASE WHEN k = 0 THEN 0 ELSE bb[k] END) + 1 AS BIGINT), CAST(2 * ((CASE WHEN k = len(aa) THEN len(h) // 2 ELSE aa[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE bb[k] END)) AS BIGINT))), '') END)) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)
+"""
