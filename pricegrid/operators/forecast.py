@@ -24,6 +24,11 @@ REFUEL_TODAY = "Reposta hoy"
 CAN_WAIT = "Puedes esperar"
 NO_HISTORY = "Sin suficiente historico"
 TOO_THIN = "No hay suficiente historico diario consistente para construir una cadena de Markov util."
+EXPLANATION = (
+    "El área %s %s está en un régimen %s. La probabilidad de ver un régimen más barato en 3 días es del %.0f%% "
+    "y en 7 días del %.0f%%."
+)
+DOUBT = " La confianza es baja por la variabilidad o escasez de transiciones."
 NO_PROVINCE_HISTORY = "No hay historico agregado para la provincia seleccionada."
 
 
@@ -124,13 +129,8 @@ def recommendation(regime: Column, in_3d: Column, in_7d: Column) -> Column:
 
 def explanation(area_type: str, area: Column, regime: Column, in_3d: Column, in_7d: Column, conf: Column) -> Column:
     word = F.coalesce(*[F.when(regime == r, w) for r, w in REGIME_WORDS.items()], regime)
-    text = F.format_string(
-        "El área %s %s está en un régimen %s. La probabilidad de ver un régimen más barato en 3 días es del %.0f%% "
-        "y en 7 días del %.0f%%.",
-        F.lit(AREA_WORDS.get(area_type, area_type)), area, word, in_3d * 100, in_7d * 100,
-    )
-    doubt = F.lit(" La confianza es baja por la variabilidad o escasez de transiciones.")
-    return F.when(conf < 0.45, F.concat(text, doubt)).otherwise(text)
+    text = F.format_string(EXPLANATION, F.lit(AREA_WORDS.get(area_type, area_type)), area, word, in_3d * 100, in_7d * 100)
+    return F.when(conf < 0.45, F.concat(text, F.lit(DOUBT))).otherwise(text)
 
 
 def forecast(days: DataFrame, area: str, area_type: str, carry: Sequence[Column] = ()) -> DataFrame:

@@ -192,3 +192,15 @@ def test_geojson_files(spark, tmp_path):
     rings = geojson.outer_rings(features, "name").collect()
     assert sorted((r.feature_idx, r.name, len(r.ring)) for r in rings) == [(0, "a", 5), (1, "b", 3), (1, "b", 5)]
     assert [r.zip_code for r in geojson.zip_features(features).collect()] == ["28001"]
+
+
+def test_features_of_several_files_keep_apart(spark, tmp_path):
+    ring = [[0, 0], [0, 1], [1, 1]]
+    for name in ("a", "b"):
+        feature = {"type": "Feature", "properties": {"COD_POSTAL": "28001", "name": name}, "geometry": {"type": "Polygon", "coordinates": [ring]}}
+        (tmp_path / f"{name}.json").write_text(json.dumps({"type": "FeatureCollection", "features": [feature, feature]}))
+    features = geojson.read_features(spark, str(tmp_path))
+    assert len({r.feature_idx for r in features.collect()}) == 4
+    last = geojson.outer_rings(features, "name").orderBy("feature_idx").collect()
+    assert [r.name for r in last] == ["a", "a", "b", "b"]
+    assert geojson.zip_features(features).first().feature_idx == last[-1].feature_idx
