@@ -192,7 +192,8 @@ def near_links(texts: DataFrame, similarity: float = SIMILARITY, bands: int = BA
         members, n = counted(bucketed.join(buckets.drop("n"), "key"), "members")
         if sets is None:
             wanted = stored(members.select("node").distinct(), "nodes")
-            sets = stored(shingle_sets(texts.join(wanted, "node"), size).dropDuplicates(["node"]), "shingles")
+            sets = shingle_sets(texts.join(wanted, "node"), size).dropDuplicates(["node"])
+            sets = stored(sets.withColumn("size", F.size("shingles")), "shingles")
         stars = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
         stars = stored(stars.coalesce(tasks_for(texts.sparkSession, n)), "pairs")
         fresh = stars if tested is None else stars.join(tested, ["a", "b"], "left_anti")
@@ -203,15 +204,14 @@ def near_links(texts: DataFrame, similarity: float = SIMILARITY, bands: int = BA
         apart, n = _apart(members, roots)
         if not n:
             return roots
-        apart = stored(apart.join(sets, "node"), "apart")
-        weight = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("size"))
+        weight = apart.join(sets.select("node", "size"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
         large = stored(weight.filter((F.col("n") > BUCKET_TEXTS) | (F.col("size") > BUCKET_SHINGLES)).select("key"), "large")
-        few = apart.join(large, "key", "left_anti")
+        few = apart.join(large, "key", "left_anti").join(sets, "node")
         links, n = counted(_compared(few, similarity), "links")
         if n:
             edges = _with(edges, links)
             roots = stored(components(edges), "roots")
-        left, n = counted(apart.drop("shingles").join(large, "key"), "left")
+        left, n = counted(apart.join(large, "key"), "left")
         if not n:
             return roots
         left, n = _apart(left.drop("root"), roots)
