@@ -1,4 +1,4 @@
-"""Main text of web pages: blocks of the article, and for pages without one a suffix array over each host."""
+"""Main text of web pages: blocks of the article, without what a suffix array over each host's pages finds repeated."""
 
 from __future__ import annotations
 
@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricegrid.llm.common import Prefixes, mixed, sent_by_value, stored
+from pricegrid.llm.repeats import sliding_minimum
 
 sent_by_value(__name__)
 
 #: Words that a repeated substring has at least, and distinct pages of its host that it is on to be boilerplate.
 RUN_WORDS, RUN_PAGES = 8, 4
 
+#: Share of its host's pages that a repeated substring is on to be boilerplate inside an article or a main element.
+RUN_SHARE = 0.5
+
 # Elements whose text is never part of the article.
 DROPPED = frozenset(
     "head nav header footer aside form script style noscript template iframe svg math canvas object audio video map "
@@ -182,16 +186,97 @@ def parsed(pages: DataFrame) -> DataFrame:
     )
 
 
+def windows_of(blocks: list[str], run_words: int) -> np.ndarray:
+    """Hashes of all strings of ``run_words`` words in a page's stream of words."""
+    codes = np.array([xxhash.xxh64_intdigest(w) for b in blocks for w in b.split(" ")], np.uint64)
+    at = np.arange(max(0, len(codes) - run_words + 1))
+    return mixed(Prefixes(mixed(codes)).of(at, at + run_words))
+
+
+def anchors_of(blocks: list[str], run_words: int) -> np.ndarray:
+    """For each string of ``run_words`` words the least hash of the strings of half as many words in it."""
+    half = max(1, run_words // 2)
+    hashed = windows_of(blocks, half)
+    return sliding_minimum(hashed, run_words - half + 1) if len(hashed) > run_words - half else hashed[:0]
+
+
+def hosted(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, node (hash of the html), html for every row of ``pages``; ``host`` as ``host_of`` has it."""
+    page = F.coalesce("html", F.lit(""))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST.pattern, 1))
+    return pages.select("page_id", "url", host.alias("host"), F.xxhash64(page).alias("node"), page.alias("html"))
+
+
+def host_runs(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_PAGES, share: float = RUN_SHARE) -> DataFrame:
+    """host, leads: hashes of the strings of ``run_words`` words on ``share`` of a host's pages, and ``run_pages``, or more.
+
+    ``pages`` are ``hosted``; all take part, with an article or without. Of each string only the anchor is counted
+    first, one word in some three, by groups that are combined before they are exchanged; equal strings have equal
+    anchors, so none is missed. Then the strings of common anchors are counted themselves. Equal pages count once.
+    """
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            host, found = batch.column(0).to_numpy(), []
+            for page in batch.column(1):
+                found.append(np.unique(anchors_of(blocks_of(page.as_py())[0], run_words)))
+            n = np.array([len(x) for x in found], np.int64)
+            each = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(host, n)), pa.array(each)], ["code", "anchor"])
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, nodes, found = batch.column(0).to_pylist(), batch.column(1).to_numpy(), []
+            for page, known in zip(batch.column(2), batch.column(3)):
+                blocks = blocks_of(page.as_py())[0]
+                common = np.isin(anchors_of(blocks, run_words).view(np.int64), known.values.to_numpy())
+                found.append(np.unique(windows_of(blocks, run_words)[common]).view(np.int64))
+            n = np.array([len(x) for x in found], np.int64)
+            row = np.repeat(np.arange(len(found)), n)
+            each = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()).take(pa.array(row)), pa.array(nodes[row]), pa.array(each)], ["host", "node", "lead"]
+            )
+
+    sizes = pages.select("host", "node").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    least = F.greatest(F.lit(run_pages), F.ceil(share * F.col("n_pages"))).alias("least")
+    sizes = stored(sizes.filter(F.col("n_pages") >= run_pages).select("host", F.xxhash64("host").alias("code"), least), "hosts")
+    short = pages.select(F.xxhash64("host").alias("code"), "html").mapInArrow(anchors, "code bigint, anchor bigint")
+    short = short.groupBy("code", "anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= run_pages)
+    short = short.join(sizes, "code").filter("n >= least").groupBy("host").agg(F.collect_list("anchor").alias("anchors"))
+    few = pages.join(stored(short, "anchors"), "host").select("host", "node", "html", "anchors")
+    each = few.mapInArrow(strings, "host string, node bigint, lead bigint").distinct().groupBy("host", "lead").agg(F.count(F.lit(1)).alias("n"))
+    each = each.join(sizes, "host").filter("n >= least")
+    return stored(each.groupBy("host").agg(F.collect_list("lead").alias("leads")), "runs")
+
+
+def without_runs(blocks: list[str], leads: np.ndarray, run_words: int = RUN_WORDS) -> list[str]:
+    """The blocks of an article without those that ``leads`` cover whole.
+
+    A block that is covered in part stays as it is; so does all of an article of which more than half is covered, as
+    it is then the article itself that the pages share.
+    """
+    at = np.flatnonzero(np.isin(windows_of(blocks, run_words).view(np.int64), leads))
+    if not len(at):
+        return blocks
+    n = np.cumsum([0] + [len(b.split(" ")) for b in blocks])
+    edge = np.zeros(n[-1] + 1, np.int64)
+    edge[at] += 1
+    edge[at + run_words] -= 1
+    covered = np.append(0, np.cumsum(np.cumsum(edge)[:-1] > 0))
+    if 2 * covered[-1] > n[-1]:
+        return blocks
+    return [b for b, x, y in zip(blocks, n, n[1:]) if covered[y] - covered[x] < y - x]
+
+
 def suffix_leads(pages: DataFrame, run_words: int) -> DataFrame:
     """host, lead, node, at for each place in a page's stream of words: the hash of the ``run_words`` words from there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for host, node, blocks in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                stream = [w for b in blocks for w in b.split(" ")]
-                codes = np.array([xxhash.xxh64_intdigest(w) for w in stream], np.uint64)
-                at = np.arange(max(0, len(stream) - run_words + 1))
-                lead = mixed(Prefixes(mixed(codes)).of(at, at + run_words))
+                lead = windows_of(blocks, run_words)
+                at = np.arange(len(lead))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([host] * len(at), pa.string()),
@@ -205,9 +290,11 @@ def suffix_leads(pages: DataFrame, run_words: int) -> DataFrame:
     return pages.select("host", "node", "blocks").mapInArrow(run, "host string, lead bigint, node bigint, at int")
 
 
-def without_boilerplate(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_PAGES) -> DataFrame:
+def without_boilerplate(pages: DataFrame, runs: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_PAGES) -> DataFrame:
     """page_id, url, text of ``pages`` (page_id, url, host, node, blocks), without what other pages of the host repeat.
 
+    ``runs`` (host, leads) are those of all pages of the hosts, which go too.
+
     The suffixes of a host's word streams that share their first ``run_words`` words are neighbours in its suffix
     array; where ``run_pages`` distinct pages or more share them, these words are covered and go, and a block of
     nothing but covered words goes whole. Suffixes are counted by groups, combined before they are exchanged, so that
@@ -215,7 +302,8 @@ def without_boilerplate(pages: DataFrame, run_words: int = RUN_WORDS, run_pages:
     """
     leads = suffix_leads(pages.dropDuplicates(["host", "node"]), run_words)
     counted = leads.select("host", "lead", "node").distinct().groupBy("host", "lead").agg(F.count(F.lit(1)).alias("n"))
-    common = stored(counted.filter(F.col("n") >= run_pages).select("host", "lead"), "common")
+    common = counted.filter(F.col("n") >= run_pages).select("host", "lead")
+    common = stored(common.union(runs.select("host", F.explode("leads").alias("lead"))).distinct(), "common")
     covered = leads.join(common, ["host", "lead"]).groupBy("host", "node").agg(F.collect_set("at").alias("covered"))
     marked_ = pages.join(stored(covered, "covered"), ["host", "node"], "left").select("page_id", "url", "blocks", "covered")
 
@@ -242,12 +330,30 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     The text is that of the page's article, or of its main element if it has no article, without the elements that
     their name, class, id or role tells to be menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-    styles or comments. A page with neither loses these too, and then what its host repeats on other pages. References
-    are decoded, white space inside a block is one space, blocks are joined by a line feed. A null or empty page has
-    the empty text, a null url belongs to the host without a name, repeated rows are treated alike, and an empty table
-    gives an empty result. Other columns are ignored.
+    styles or comments. Then what a host repeats is looked for on all its pages: a block of an article or main element
+    goes if strings of eight words or more that half of the host's pages have, and four at least, cover it whole, and
+    they do not cover most of the article. A page with neither element loses these strings and those on four of its
+    kind wherever they stand. References are decoded, white space inside a block is one space, blocks are joined by a
+    line feed. A null or empty page has the empty text, a null url belongs to the host without a name, repeated rows
+    are treated alike, and an empty table gives an empty result. Other columns are ignored.
     """
-    every = parsed(pages)
-    open_ = stored(every.filter("NOT settled").drop("settled"), "open-pages")
-    settled = every.filter("settled").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
-    return settled.union(without_boilerplate(open_))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts = [], []
+            for k, (page, leads) in enumerate(zip(batch.column(2), batch.column(3))):
+                blocks, settled = blocks_of(page.as_py())
+                if settled:
+                    rows.append(k)
+                    texts.append("\n".join(without_runs(blocks, leads.values.to_numpy()) if leads.is_valid else blocks))
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(texts, pa.string())], ["page_id", "url", "text"]
+            )
+
+    every = hosted(pages)
+    runs = host_runs(every)
+    open_ = stored(parsed(pages).filter("NOT settled").drop("settled"), "open-pages")
+    settled = every.join(runs, "host", "left").select("page_id", "url", "html", "leads")
+    settled = settled.mapInArrow(cut, "page_id bigint, url string, text string")
+    return settled.union(without_boilerplate(open_, runs))

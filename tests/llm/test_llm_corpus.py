@@ -249,6 +249,21 @@ def test_main_text(spark):
     assert htmltext.main_text(pages.filter("page_id < 0")).count() == 0
 
 
+def test_main_text_of_articles_with_boilerplate_of_the_host(spark):
+    rule, shared = "share this story with your friends or sign up for our daily letter", prose(1, 40)
+    start = prose(2, 12)  # on every page, but only as a part of a block
+    own = [f"{start} {prose(10 + k, 60)}" for k in range(6)]
+    rows = [(k, "http://news.example/x", f"<article><p>{x}</p><p>{rule}</p></article>") for k, x in enumerate(own)]
+    rows += [(10 + k, "http://copies.example/x", f"<nav>{k}</nav><main><p>{shared}</p><p>{k}</p></main>") for k in range(5)]
+    rows += [(20 + k, "http://some.example/x", f"<main><p>{prose(30 + k, 60)}</p><p>{rule if k < 4 else k}</p></main>") for k in range(9)]
+    rows += [(40, "http://news.example/y", f"<div>{prose(50, 20)}</div><div>{rule}</div>"), rows[0]]
+    got = htmltext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()
+    text = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == len(rows) and [text[k] for k in range(6)] == own and text[40] == prose(50, 20)
+    assert [text[10 + k] for k in range(5)] == [f"{shared}\n{k}" for k in range(5)]
+    assert [text[20 + k] for k in range(9)] == [f"{prose(30 + k, 60)}\n{rule if k < 4 else k}" for k in range(9)]
+
+
 def test_pipeline(spark, tmp_path):
     rows = [(i, t, *x) for i, t, *x in documents() if i is not None][:14]
     junk = [(1000 + k, "%%% " + prose(1000 + k, 25).replace(" ", "$$$ ") + " !!!", *documents()[0][2:]) for k in range(60)]
