@@ -1,4 +1,4 @@
-"""Near duplicates by ProbMinHash signatures of weighted word shingles, banding, verification and components."""
+"""Near duplicates by ProbMinHash signatures of word shingles, banding, verification and components."""
 
 from __future__ import annotations
 
@@ -29,7 +29,8 @@ sent_by_value(__name__)
 SHINGLE = 5
 SIMILARITY = 0.8
 
-#: 24 bands of 4 registers: two texts at the threshold miss each other in all bands about 3 times in a million.
+#: 24 bands of 4 registers: two texts at the threshold miss each other in all bands about 3 times in a million. Shingles
+#: weigh the same however often a text has them, so that registers agree with the similarity that links are judged by.
 BANDS, ROWS = 24, 4
 
 #: Texts of a bucket, and shingles of them all, that are compared in one task; a larger bucket is split first.
@@ -105,14 +106,14 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """node, keys for every row of ``texts`` (node, text) that has a word. A shingle of count c weighs 1 + ln c."""
+    """node, keys for every row of ``texts`` (node, text) that has a word. Every shingle of a text weighs 1."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_column(batch.column(1))
             for a, b in chunks(offsets):
-                row, hashed, count = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                signed = prob_minhash(row, hashed, 1 + np.log(count), b - a, bands * rows)
+                row, hashed, _ = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
+                signed = prob_minhash(row, hashed, np.ones(len(row)), b - a, bands * rows)
                 some = np.unique(row)
                 keys = band_keys(signed[some], bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * bands, pa.array(keys.ravel()))

@@ -75,6 +75,17 @@ def test_no_link_is_lost_in_crowded_buckets(spark, monkeypatch, small, splits):
     assert got == dict(enumerate(brute_classes(rows)))
 
 
+def test_copies_without_a_much_repeated_line_are_linked(spark):
+    texts = []
+    for k in range(40):
+        base, line = prose(200 + k, 84, 100_000), prose(300 + k, 16, 100_000)
+        texts += [base, " ".join([base] + [line] * 100)]
+        assert len(shingle_set(base)) == 80 and len(shingle_set(texts[-1])) == 100
+    rows = [(i, t, *documents()[0][2:]) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_components(spark):
     r = random.Random(2)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(300 + k, 301 + k) for k in range(60)]
