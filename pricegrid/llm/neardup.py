@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,10 @@ SIMILARITY = 0.8
 #: weigh the same however often a text has them, so that registers agree with the similarity that links are judged by.
 BANDS, ROWS = 24, 4
 
-#: Texts of a bucket, and shingles of them all, that are compared in one task; a larger bucket is split first.
+#: Texts of a bucket, and shingles of them all, that are compared in one task; a larger bucket is dealt into blocks.
 BUCKET_TEXTS, BUCKET_SHINGLES = 2048, 4_000_000
 
-#: How many times a large bucket is split by one band more, before what is left of it is compared pair by pair.
+#: After how many parts of the pairs of blocks what has become one component is left out of the next part.
 SPLITS = 2
 
 
@@ -190,47 +191,72 @@ def near_links(texts: DataFrame, similarity: float = SIMILARITY, bands: int = BA
 
     A band's bucket links its least node with the others first, which is as many pairs as rows. Where texts of a
     bucket are then in different components, all its texts are compared across components in one task, which gives at
-    most one link for each pair of components. A bucket too large for that is split by each other band that its texts
-    share and goes through the same steps.
+    most one link for each pair of components. A bucket too large for that is dealt into blocks, and each block is
+    compared with each other in a task of its own, so that no pair is left out.
     """
-    signed = stored(signatures(texts, bands, rows, size).dropDuplicates(["node"]), "signatures")
-    bucketed = signed.select(F.explode("keys").alias("key"), "node")
-    sets = tested = edges = None
-    for level in range(SPLITS + 1):
-        buckets = stored(bucketed.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-        members, n = counted(bucketed.join(buckets.drop("n"), "key"), "members")
-        if sets is None:
-            wanted = stored(members.select("node").distinct(), "nodes")
-            sets = shingle_sets(texts.join(wanted, "node"), size).dropDuplicates(["node"])
-            sets = stored(sets.withColumn("size", F.size("shingles")), "shingles")
-        stars = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        stars = stored(stars.coalesce(tasks_for(texts.sparkSession, n)), "pairs")
-        fresh = stars if tested is None else stars.join(tested, ["a", "b"], "left_anti")
-        edges = _with(edges, stored(verified(fresh, sets, similarity), "links"))
-        tested = _with(tested, stars)
+    signed = signatures(texts, bands, rows, size).dropDuplicates(["node"])
+    bucketed = stored(signed.select(F.explode("keys").alias("key"), "node"), "bands")
+    buckets = stored(bucketed.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    members, n = counted(bucketed.join(buckets.drop("n"), "key"), "members")
+    wanted = stored(members.select("node").distinct(), "nodes")
+    sets = shingle_sets(texts.join(wanted, "node"), size).dropDuplicates(["node"])
+    sets = stored(sets.withColumn("size", F.size("shingles")), "shingles")
+    stars = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stored(stars.coalesce(tasks_for(texts.sparkSession, n)), "pairs")
+    edges = stored(verified(stars, sets, similarity), "links")
+    roots = stored(components(edges), "roots")
+
+    apart, n = _apart(members, roots)
+    if not n:
+        return roots
+    weight = apart.join(sets.select("node", "size"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    large = stored(weight.filter((F.col("n") > BUCKET_TEXTS) | (F.col("size") > BUCKET_SHINGLES)).select("key"), "large")
+    few = apart.join(large, "key", "left_anti").join(sets, "node")
+    links, n = counted(_compared(few, similarity), "links")
+    if n:
+        edges = _with(edges, links)
         roots = stored(components(edges), "roots")
-
-        apart, n = _apart(members, roots)
-        if not n:
-            return roots
-        weight = apart.join(sets.select("node", "size"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-        large = stored(weight.filter((F.col("n") > BUCKET_TEXTS) | (F.col("size") > BUCKET_SHINGLES)).select("key"), "large")
-        few = apart.join(large, "key", "left_anti").join(sets, "node")
-        links, n = counted(_compared(few, similarity), "links")
+    left, n = counted(apart.join(large, "key"), "left")
+    if n:
+        left, n = _apart(left.drop("root"), roots)
+    if not n:
+        return roots
+    blocks = _blocks(left, sets, similarity)
+    for part in range(SPLITS + 1):
+        cells, n = _apart(_cells(blocks, part, SPLITS + 1), roots)
+        links, n = counted(_compared(cells.join(sets, "node"), similarity), "links") if n else (None, 0)
         if n:
             edges = _with(edges, links)
             roots = stored(components(edges), "roots")
-        left, n = counted(apart.join(large, "key"), "left")
-        if not n:
-            return roots
-        left, n = _apart(left.drop("root"), roots)
-        if not n:
-            return roots
-        if level == SPLITS:
-            return components(_with(edges, _paired(left, tested, sets, similarity)))
-        other = left.select("key", "node").join(signed, "node").select("key", "node", F.explode("keys").alias("_other"))
-        other = other.filter("_other <> key").select(F.xxhash64("key", "_other").alias("key"), "node").distinct()
-        bucketed = stored(other, "bands")
+    return roots
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """key, node, blocks, block: the texts of large buckets (key, node) dealt into blocks of half of what a task compares.
+
+    Texts are told apart by their number of shingles first: similar ones are of one class or of neighbouring classes,
+    so each text goes to the group of its class and to that of the next one.
+    """
+    step = 1.001 * max(0.01, -math.log(max(similarity, 1e-9)))
+    class_ = F.floor(F.log("size") / step)
+    sized = rows.select("key", "node").join(sets.select("node", "size"), "node").withColumn("_class", class_)
+    sized = stored(sized.select("key", "node", "size", "_class", F.explode(F.array("_class", F.col("_class") + 1)).alias("_group")), "classes")
+    weight = sized.groupBy("key", "_group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"), F.max("_class").alias("_last"))
+    # A group without a text of its own class has only pairs that the group before has too.
+    weight = weight.filter("n > 1 AND _last = _group")
+    one = (F.col("n") <= BUCKET_TEXTS) & (F.col("all") <= BUCKET_SHINGLES)
+    halves = F.greatest(F.ceil(2 * F.col("n") / BUCKET_TEXTS), F.ceil(2 * F.col("all") / BUCKET_SHINGLES))
+    blocks = F.when(one, F.lit(1)).otherwise(F.least(halves, "n")).cast("int")
+    dealt = sized.join(stored(weight.select("key", "_group", blocks.alias("blocks")), "groups"), ["key", "_group"])
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block")
+    return stored(dealt.select(F.xxhash64("key", "_group").alias("key"), "node", "blocks", block), "blocks")
+
+
+def _cells(blocks: DataFrame, part: int, parts: int) -> DataFrame:
+    """key, node of one in ``parts`` of the pairs of blocks, a key for each pair; a block is paired with itself too."""
+    each = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.filter(F.abs(F.col("_other") - F.col("block")) % parts == part)
+    return each.select(F.xxhash64("key", F.least("block", "_other"), F.greatest("block", "_other")).alias("key"), "node")
 
 
 def _with(have: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -301,14 +327,6 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _paired(rows: DataFrame, tested: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Verified links across components of the buckets of ``rows``, pair by pair: for what no split has made small."""
-    left = rows.select("key", F.col("node").alias("a"), F.col("root").alias("_a"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("root").alias("_b"))
-    pairs = left.join(right, "key").filter("a < b AND _a <> _b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    return stored(verified(pairs, sets, similarity), "links")
-
-
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Every row of ``documents`` with its class of near-duplicate texts.
 

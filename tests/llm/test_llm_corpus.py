@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pricegrid.llm import decontam, htmltext, neardup, repeats
@@ -86,6 +87,22 @@ def test_copies_without_a_much_repeated_line_are_linked(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    shared, rows = prose(60, 70), []
+    # One band, so that texts of a bucket share no other; the lengths are of several classes.
+    for k in range(30):
+        rows += [(2 * k, f"{shared} {prose(400 + k, 10 + k)}"), (2 * k + 1, f"{shared} {prose(400 + k, 10 + k)} {prose(500 + k, 3)}")]
+    texts = spark.createDataFrame(rows, "node bigint, text string")
+    found = lambda: {r["node"]: r["root"] for r in neardup.near_links(texts, bands=1, rows=1).collect()}
+    monkeypatch.setattr(neardup, "signatures", lambda df, *_: df.select("node", F.array(F.lit(7).cast("long")).alias("keys")))
+    want = brute_classes(rows)
+    for limit in (2048, 8):
+        monkeypatch.setattr(neardup, "BUCKET_TEXTS", limit)
+        got = found()
+        assert [got.get(k, k) for k in range(len(rows))] == want
+    assert 1 < len(set(want)) < len(rows)
+
+
 def test_components(spark):
     r = random.Random(2)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(300 + k, 301 + k) for k in range(60)]
