@@ -29,6 +29,8 @@ SCHEMAS = {
     "pages": "page_id bigint, url string, html string",
     "benchmark": "item_id bigint, text string",
     "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
 }
 
 #: Bytes of text that a Python task works on at once; a longer single text is worked on alone.

@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, with production parameters, and the checking SQL where it can be written."""
+"""The operators as queries over the given tables, with production parameters, and the checking SQL where it can be written."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrid.llm import decontam, exactdup, htmltext, mixing, neardup, quality, repeats, secrets, shards, tokens
+from pricegrid.llm import decontam, exactdup, htmltext, language, mixing, neardup, negatives, quality, repeats, secrets, shards, tokens, turns
 from pricegrid.llm.common import table
 
 
@@ -89,3 +89,21 @@ def _(spark, sf_dir):
 @query("op6_token_blocks")
 def _(spark, sf_dir):
     return tokens.token_rows(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op11_language")
+def _(spark, sf_dir):
+    found = language.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query("op13_conversation_repair", turns.ORACLE)
+def _(spark, sf_dir):
+    return turns.repaired(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op12_hard_negatives", negatives.ORACLE)
+def _(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
