@@ -42,17 +42,21 @@ def has_letter(text: Column) -> Column:
 
 
 def samples(documents: DataFrame, rows: int = SAMPLE_A_LANGUAGE) -> dict[str, str]:
-    """For each value of ``lang``, letters of its first texts in the order of a hash, short ones before long ones.
+    """For each value of ``lang``, letters of its first distinct texts in the order of a hash, short ones before long ones.
 
     A language gives at most ``rows`` rows, and of these no more than fill its dictionary twice: the driver gets three
     times ``SECOND_BYTES`` characters a language at most.
     """
-    known = documents.select("doc_id", "lang", letters(F.col("text")).alias("words"), has_letter(F.col("text")).alias("some"))
-    known = known.filter("lang IS NOT NULL AND some").withColumn("hash", F.xxhash64("doc_id", "words"))
-    order = [F.length("words") > SHORT_CHARS, F.col("hash"), F.col("words")]
-    first = Window.partitionBy("lang").orderBy(*order)
-    before = first.rowsBetween(Window.unboundedPreceding, -1)
-    chosen = known.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows)
+    known = documents.filter(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", "text", F.xxhash64("text").alias("hash"))
+    distinct = known.groupBy("lang", "hash").agg(F.min(F.length("text") > SHORT_CHARS).alias("long"))
+    # In two steps, so that a language's first rows are looked for in sixteen tasks, and one gets what these have found.
+    order = [F.col("long"), F.col("hash")]
+    for keys in (["lang", F.pmod("hash", F.lit(16))], ["lang"]):
+        distinct = distinct.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("n") <= rows)
+    first = F.broadcast(stored(distinct.select("lang", "hash", "n"), "language-rows"))  # ``rows`` a language at most
+    words = letters(F.col("text")).alias("words")
+    chosen = known.join(first, ["lang", "hash"]).select("lang", "n", words).groupBy("lang", "n").agg(F.min("words").alias("words"))
+    before = Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     chosen = chosen.withColumn("used", F.coalesce(F.sum(F.length("words")).over(before), F.lit(0))).filter(F.col("used") < 2 * SECOND_BYTES)
     found: dict[str, list[tuple[int, str]]] = {}
     for r in stored(chosen.select("lang", "n", F.substring("words", 1, SECOND_BYTES).alias("words")), "language-sample").collect():
