@@ -21,6 +21,12 @@ DIRECTIONS = ("cheapest", "priciest")
 
 
 MEASURES = ("total", "low", "high")
+
+#: By how much of a mean two means may differ and still count as the same.
+SAME_MEAN = 1e-9
+
+#: Columns of the wide form, brands x products x measures, up to which it is chosen.
+WIDE_COLUMNS = 400
 _AGGREGATES = {"total": F.sum, "n": F.count, "low": F.min, "high": F.max}
 
 
@@ -76,16 +82,18 @@ def market_days(
     geos: Sequence[str] = S.REPORT_GEOS,
     normalize: bool = False,
     measures: Sequence[str] = MEASURES,
-    wide: bool = True,
+    wide: bool | None = None,
 ) -> DataFrame:
     """Shared input of the comparison and win-rate reports.
 
     One row per market (day, area, product) and brand with the brand's ``n`` and ``measures`` of its positive prices,
     and the whole market's as ``market_*``. ``wide`` makes one aggregate with a column for each brand, product and
     measure, which suits a few brands; without it a market has a row a brand and a window over them, which suits any
-    number. Both give the same rows.
+    number. Both give the same rows; if nothing is said, the number of columns decides.
     """
     needed = ["n", *measures]
+    if wide is None:
+        wide = len(brands) * len(fuels) * len(needed) <= WIDE_COLUMNS
     rows = melt_geographies(_labelled(snapshots, brands, fuels, geos, normalize), ["dt", "brand", *fuels], geos)
     if wide:
         return _wide_market_days(rows, list(brands), list(fuels), needed)
@@ -95,6 +103,8 @@ def market_days(
 def price_comparison_from(market: DataFrame, min_appearances: int = S.MIN_APPEARANCES_COMPARISON) -> DataFrame:
     """Mean of a brand's daily difference from the market mean, and how often it is below."""
     brand_avg, market_avg = F.col("brand_avg"), F.col("market_avg")
+    # Means of the same prices may differ in the last digit by the order of summation: that is not below.
+    below = brand_avg < market_avg * (1 - SAME_MEAN)
     return (
         market.withColumn("market_avg", F.col("market_total") / F.col("market_n"))
         .withColumn("brand_avg", F.col("total") / F.col("n"))
@@ -103,7 +113,7 @@ def price_comparison_from(market: DataFrame, min_appearances: int = S.MIN_APPEAR
             F.round(F.avg(brand_avg), 4).alias("brand_avg_price"),
             F.round(F.avg(market_avg), 4).alias("market_avg_price"),
             F.round(F.avg(F.try_divide(brand_avg - market_avg, market_avg) * 100), 2).alias("price_delta_pct"),
-            F.round(F.avg((brand_avg < market_avg).cast("int")) * 100, 2).alias("days_below_market_pct"),
+            F.round(F.avg(below.cast("int")) * 100, 2).alias("days_below_market_pct"),
             F.count("*").alias("appearances"),
             confidence_band(F.count("*")).alias("confidence_level"),
             F.max("dt").cast("string").alias("last_updated"),
@@ -142,14 +152,14 @@ def win_rate_from(
 
 def brand_price_comparison(
     snapshots, brands=S.REPORT_BRANDS, fuels=S.REPORT_FUELS, geos=S.REPORT_GEOS,
-    min_appearances: int = S.MIN_APPEARANCES_COMPARISON, normalize: bool = False, wide: bool = True,
+    min_appearances: int = S.MIN_APPEARANCES_COMPARISON, normalize: bool = False, wide: bool | None = None,
 ) -> DataFrame:
     return price_comparison_from(market_days(snapshots, brands, fuels, geos, normalize, ["total"], wide), min_appearances)
 
 
 def brand_win_rate(
     snapshots, brands=S.REPORT_BRANDS, fuels=S.REPORT_FUELS, geos=S.REPORT_GEOS, directions=DIRECTIONS,
-    min_appearances: int = S.MIN_APPEARANCES_WIN_RATE, normalize: bool = False, wide: bool = True,
+    min_appearances: int = S.MIN_APPEARANCES_WIN_RATE, normalize: bool = False, wide: bool | None = None,
 ) -> DataFrame:
     return win_rate_from(market_days(snapshots, brands, fuels, geos, normalize, ["low", "high"], wide), directions, min_appearances)
 
