@@ -107,6 +107,11 @@ def weekday_stats_from_snapshots(snapshots: DataFrame, fuels: Sequence[str] = S.
 
 def weekday_stats_from_daily(province_daily: DataFrame) -> DataFrame:
     """The same statistics from the province rollup; the national day is weighted by station counts."""
+    return _per_weekday(_with_national(province_daily))
+
+
+def _with_national(province_daily: DataFrame) -> DataFrame:
+    """``date, fuel_type, province, avg_price`` of the province rollup and of the nation."""
     days = province_daily.select("date", "fuel_type", "province", "avg_price", "station_count")
     national = (
         days.groupBy("date", "fuel_type")
@@ -114,7 +119,49 @@ def weekday_stats_from_daily(province_daily: DataFrame) -> DataFrame:
         .where(F.col("n") > 0)
         .select("date", "fuel_type", F.lit(S.NATIONAL).alias("province"), (F.col("weighted") / F.col("n")).alias("avg_price"))
     )
-    return _per_weekday(days.drop("station_count").unionByName(national))
+    return days.drop("station_count").unionByName(national)
+
+
+WEEKDAY_KEYS = ["day_of_week", "fuel_type", "province"]
+
+
+def revise_weekday_stats(stats: DataFrame, old_days: DataFrame, new_days: DataFrame, province_daily: DataFrame) -> DataFrame:
+    """Running weekday statistics after some days have changed, without the days that have not.
+
+    ``old_days`` are the province rollup's rows of these days as they stood when ``stats`` was made, ``new_days`` as
+    they stand now (either may lack a day), ``province_daily`` the whole rollup as it stands now. Sums and counts take
+    the difference of the two. A minimum or maximum only changes hands if the value taken away was it: then, and only
+    for such keys, it is looked up in ``province_daily``, of which Spark reads those weekdays' products. A key that is
+    left without days disappears.
+    """
+    signed = _with_national(new_days).withColumn("sign", F.lit(1)).unionByName(_with_national(old_days).withColumn("sign", F.lit(-1)))
+    came, went = F.when(F.col("sign") > 0, F.col("avg_price")), F.when(F.col("sign") < 0, F.col("avg_price"))
+    moved = signed.groupBy(F.weekday("date").alias("day_of_week"), "fuel_type", "province").agg(
+        F.sum(F.col("sign") * F.col("avg_price")).alias("d_sum"),
+        F.sum("sign").alias("d_days"),
+        *[F.round(f(c), 4).alias(n) for n, f, c in (("low", F.min, came), ("high", F.max, came), ("old_low", F.min, went), ("old_high", F.max, went))],
+    )
+    both = stats.join(moved, WEEKDAY_KEYS, "full")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    lost = (F.col("old_low") <= F.col("min_daily_avg")) | (F.col("old_high") >= F.col("max_daily_avg"))
+    summed = both.select(
+        *WEEKDAY_KEYS,
+        F.round(zero("sum_price") + zero("d_sum"), 6).alias("sum_price"),
+        (zero("count_days") + zero("d_days")).alias("count_days"),
+        F.least("min_daily_avg", "low").alias("min_daily_avg"),
+        F.greatest("max_daily_avg", "high").alias("max_daily_avg"),
+        F.coalesce(lost, F.lit(False)).alias("lost"),
+    ).where("count_days > 0")
+    keys = summed.where("lost").select(*WEEKDAY_KEYS)
+    days = province_daily.withColumn("day_of_week", F.weekday("date")).join(keys.select("day_of_week", "fuel_type").distinct(), ["day_of_week", "fuel_type"], "left_semi")
+    again = _per_weekday(_with_national(days)).join(keys, WEEKDAY_KEYS, "left_semi").select(*WEEKDAY_KEYS, F.col("min_daily_avg").alias("low"), F.col("max_daily_avg").alias("high"))
+    return summed.join(again, WEEKDAY_KEYS, "left").select(
+        *WEEKDAY_KEYS,
+        "sum_price",
+        "count_days",
+        F.when(F.col("lost"), F.col("low")).otherwise(F.col("min_daily_avg")).alias("min_daily_avg"),
+        F.when(F.col("lost"), F.col("high")).otherwise(F.col("max_daily_avg")).alias("max_daily_avg"),
+    )
 
 
 def merge_weekday_stats(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from pricegrid import schema as S
-from pricegrid.operators import brands, rollups
+from pricegrid.operators import brands, distinct, rollups
 from pricegrid.operators import trips as planner
-from pricegrid.sources import sinks
-from pricegrid.sources.landing import latest_snapshot_per_day, read_optional
+from pricegrid.sources import sinks, versions
+from pricegrid.sources.landing import latest_snapshot_per_day
 
 JOB_SCHEMA = "task string, path string, output_rows bigint, status string, error string"
 
@@ -49,8 +49,8 @@ def run_daily_rollups(snapshots: DataFrame, root: str, fuels=S.PRICE_COLUMNS) ->
     """Write the days of ``snapshots`` into the rollup tables; returns a report with one row per table.
 
     The newest snapshots are read once and kept on the executors' disks for all tables; if they cannot be read whole,
-    each table reads the columns it needs, so that a bad column fails no other table. Weekday statistics come last
-    because they are rebuilt from the whole stored province rollup.
+    each table reads the columns it needs, so that a bad column fails no other table. A table's days are committed in
+    one step. Weekday statistics come last: they follow the stored province rollup by the days that have changed.
     """
     spark = snapshots.sparkSession
     newest = latest_snapshot_per_day(snapshots).drop("date").persist(StorageLevel.DISK_ONLY)
@@ -61,11 +61,10 @@ def run_daily_rollups(snapshots: DataFrame, root: str, fuels=S.PRICE_COLUMNS) ->
     daily = rollup_tables(newest, fuels)
 
     def replace(name: str, retention: int | None = None):
-        return name, lambda path: sinks.replace_days(daily[name], path, retention)
+        return name, lambda path: versions.commit(daily[name], path, retention_days=retention)
 
     def weekdays(path: str) -> int:
-        stored = spark.read.schema(daily["province_daily_stats"].schema).parquet(f"{root}/province_daily_stats")
-        return sinks.publish(rollups.weekday_stats_from_daily(stored), path)
+        return follow_weekdays(spark, f"{root}/province_daily_stats", path, daily["province_daily_stats"].schema)
 
     try:
         return _run(
@@ -83,6 +82,29 @@ def run_daily_rollups(snapshots: DataFrame, root: str, fuels=S.PRICE_COLUMNS) ->
         newest.unpersist()
 
 
+def follow_weekdays(spark: SparkSession, daily_path: str, path: str, schema) -> int:
+    """Bring stored weekday statistics up to the newest version of the stored province rollup.
+
+    They note which version they were made of, so that only days whose rows have changed since are read, as they were
+    and as they are; a run that is repeated, or that follows one that failed, finds the right difference. If the noted
+    version is no longer kept, or nothing is stored, they are rebuilt.
+    """
+    noted = versions.manifest(spark, path)
+    since = noted.notes.get("made_of") if noted else None
+    found = versions.changed_days(spark, daily_path, since)
+    now = versions.manifest(spark, daily_path)
+    made_of = now.version if now else -1
+    whole = versions.read(spark, daily_path, schema, made_of)
+    if noted is None or since is None or found is None:
+        return sinks.publish(rollups.weekday_stats_from_daily(whole), path, notes={"made_of": made_of})
+    days, _ = found
+    old = versions.read(spark, daily_path, schema, since, days)
+    new = versions.read(spark, daily_path, schema, made_of, days)
+    shape = rollups.weekday_stats_from_daily(whole).schema
+    revised = rollups.revise_weekday_stats(sinks.read_published(spark, path, shape), old, new, whole)
+    return sinks.publish(revised, path, notes={"made_of": made_of})
+
+
 def write_daily_rollups(snapshots: DataFrame, root: str, fuels=S.PRICE_COLUMNS) -> None:
     """The same for a stream: a failed write fails the batch, which is then tried again."""
     failed = run_daily_rollups(snapshots, root, fuels).where("status <> 'ok'").collect()  # five rows at most
@@ -95,7 +117,7 @@ def stored_rollups(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     # A table that nothing has been written to yet is empty.
     shapes = rollup_tables(spark.createDataFrame([], S.SNAPSHOT_SCHEMA))
     weekdays = shapes.pop("day_of_week_stats").schema
-    return {n: read_optional(spark, f"{root}/{n}", df.schema) for n, df in shapes.items()} | {
+    return {n: versions.read(spark, f"{root}/{n}", df.schema) for n, df in shapes.items()} | {
         "day_of_week_stats": sinks.read_published(spark, f"{root}/day_of_week_stats", weekdays)
     }
 
@@ -142,3 +164,48 @@ def run_brand_analytics(snapshots: DataFrame, root: str, as_of) -> DataFrame:
     finally:
         for kept in (market, wins, history):
             kept.unpersist()
+
+
+def update_brand_analytics(new_days: DataFrame, root: str, as_of) -> DataFrame:
+    """Bring the four brand reports up to date with some days' snapshots, new or landed again.
+
+    The two inputs of the reports are kept as tables by day: what a day's markets hold for each brand. Only the days of
+    ``new_days`` are aggregated from station rows and replaced there, in one step a table; the reports are then made of
+    the kept tables, which have a row for each day, area, product and brand.
+    """
+    spark = new_days.sparkSession
+    history = latest_snapshot_per_day(new_days).persist(StorageLevel.DISK_ONLY)
+    inputs = {"market_days": brands.market_days(history), "market_day_wins": brands.market_day_wins(history)}
+    try:
+        for name, df in inputs.items():
+            versions.commit(df, f"{root}/state/{name}", date="dt")
+            versions.vacuum(spark, f"{root}/state/{name}")
+    finally:
+        history.unpersist()
+    market, wins = [versions.read(spark, f"{root}/state/{name}", df.schema) for name, df in inputs.items()]
+    put = lambda name, df: (name, lambda path: sinks.publish(df, path))
+    return _run(spark, [put(name, df) for name, df in brand_tables(market, wins, as_of).items()], root)
+
+
+STATE_SCHEMA = "date date, kind string, chain int, part int, bits binary"
+
+
+def update_ingestion_states(snapshots: DataFrame, root: str) -> int:
+    """Keep the entities of the days of ``snapshots`` as bitmaps by day; a day that comes again is replaced.
+
+    The dictionary is published before the days that use its new places, so a run that fails between the two leaves
+    places that nothing uses.
+    """
+    spark = snapshots.sparkSession
+    entities = distinct.daily_entities(latest_snapshot_per_day(snapshots).drop("date")).persist(StorageLevel.DISK_ONLY)
+    try:
+        known = sinks.read_published(spark, f"{root}/dictionary", spark.createDataFrame([], distinct.DICTIONARY_SCHEMA).schema)
+        sinks.publish(known.unionByName(distinct.extend_dictionary(known, entities)), f"{root}/dictionary")
+        known = sinks.read_published(spark, f"{root}/dictionary", known.schema)
+        return versions.commit(distinct.day_states(entities, known), f"{root}/days")
+    finally:
+        entities.unpersist()
+
+
+def stored_states(spark: SparkSession, root: str) -> DataFrame:
+    return versions.read(spark, f"{root}/days", spark.createDataFrame([], STATE_SCHEMA).schema)

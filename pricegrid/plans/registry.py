@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from pricegrid import schema as S
 from pricegrid.functions import columns as C
-from pricegrid.operators import brands, forecast, normalize, quality, rankings, rollups, search, spatial, trends, trips, zones
+from pricegrid.operators import brands, distinct, forecast, normalize, quality, rankings, rollups, search, spatial, trends, trips, zones
 from pricegrid.operators.melt import melt_prices
 from pricegrid.plans import adapters as A
 from pricegrid.plans import jobs
-from pricegrid.sources import geojson, landing, sinks
+from pricegrid.sources import geojson, landing, sinks, versions
 from pricegrid.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -326,6 +326,28 @@ def _(spark, sf_dir):
     return spark.read.parquet(path).select("date", "province", "fuel_type", "station_count")
 
 
+@query(
+    "versioned_days",
+    with_ctes(
+        A.PROVINCE_HISTORY_SQL,
+        body="SELECT 'newest' AS \"version\", \"date\", province, fuel_type, CASE WHEN \"date\" >= DATE '2001-07-01' THEN station_count * 2 ELSE station_count END "
+        "AS station_count FROM hp WHERE \"date\" >= (SELECT max(\"date\") FROM hp) - 364 "
+        "UNION ALL SELECT 'first', \"date\", province, fuel_type, station_count FROM hp",
+    ),
+)
+def _(spark, sf_dir):
+    """Days replaced in one commit; the version before can still be read as it was."""
+    path = A.scratch(spark, "versioned")
+    history = A.province_history(spark, sf_dir).select("date", "province", "fuel_type", "station_count")
+    versions.commit(history, path)
+    late = history.where("date >= '2001-07-01'").withColumn("station_count", F.col("station_count") * 2)
+    for _again in range(2):
+        versions.commit(late, path, retention_days=365)
+    versions.vacuum(spark, path, keep=3)
+    read = lambda version, name: versions.read(spark, path, history.schema, version).withColumn("version", F.lit(name))
+    return read(None, "newest").unionByName(read(0, "first"))
+
+
 # ================================================================================== rollups
 
 
@@ -409,6 +431,27 @@ def _(spark, sf_dir):
     return rollups.merge_weekday_stats(*[rollups.weekday_stats_from_snapshots(p) for p in parts])
 
 
+@query(
+    "weekday_stats_revised",
+    with_ctes(
+        A.PROVINCE_HISTORY_SQL.replace("hp AS", "h AS", 1),
+        "hp AS (SELECT \"date\", province, fuel_type, CASE WHEN \"date\" >= DATE '2001-05-21' THEN round(avg_price * 1.5, 4) ELSE avg_price END AS avg_price, "
+        "station_count FROM (SELECT * REPLACE (round(avg_price, 4) AS avg_price) FROM h) WHERE \"date\" >= (SELECT max(\"date\") FROM h) - 1499)",
+        body="SELECT day_of_week, fuel_type, province, round(sum_price, 4) AS sum_price, count_days, min_daily_avg, max_daily_avg FROM (" + _WEEKDAY_FROM_DAILY + ")",
+    ),
+)
+def _(spark, sf_dir):
+    """Weekday statistics that follow a rollup: late days, days that come again, and days that fall out of retention."""
+    daily, path = A.scratch(spark, "daily"), A.scratch(spark, "weekdays")
+    history = A.province_history(spark, sf_dir).select("date", "province", "fuel_type", F.round("avg_price", 4).alias("avg_price"), "station_count")
+    early = history.where("date <= '2001-05-25'")
+    late = history.where("date >= '2001-05-21'").withColumn("avg_price", F.round(F.col("avg_price") * 1.5, 4))
+    for days, retention in ((early, None), (late, None), (late, 1500)):
+        versions.commit(days, daily, retention_days=retention)
+        jobs.follow_weekdays(spark, daily, path, history.schema)
+    return sinks.read_published(spark, path).withColumn("sum_price", F.round("sum_price", 4))
+
+
 _NEWEST = 'n AS (SELECT * FROM e QUALIFY "timestamp" = max("timestamp") OVER (PARTITION BY dt))'
 _STATS_OF_N = {
     "province_daily_stats": ("province", stats_sql("n", "province", not_null="province IS NOT NULL")),
@@ -464,6 +507,21 @@ def _(spark, sf_dir):
     return _all_rollups(jobs.stored_rollups(spark, root))
 
 
+_MONTHLY_ENTITIES_SQL = _INGESTION_SQL.replace("dt AS \"date\", count(*) AS record_count", "date_trunc('month', dt)::DATE AS period").replace("FROM e GROUP BY dt", "FROM n GROUP BY ALL")
+
+
+@query(
+    "monthly_entity_counts",
+    with_ctes(A.OBSERVATION_SQL, _NEWEST, body=f"SELECT * EXCLUDE (unique_fuel_types) FROM ({_MONTHLY_ENTITIES_SQL})"),
+)
+def _(spark, sf_dir):
+    """Distinct counts of months from the stored bitmaps of days, which have come in two parts, some days twice."""
+    root, rows = A.scratch(spark, "entities"), A.observations(spark, sf_dir)
+    for part in ("to_date(timestamp) <= DATE'2024-01-12'", "to_date(timestamp) >= DATE'2024-01-10'"):
+        jobs.update_ingestion_states(rows.where(part), root)
+    return distinct.counts_from_states(jobs.stored_states(spark, root), F.trunc("date", "month"))
+
+
 # ================================================================================== brand reports
 
 
@@ -484,7 +542,7 @@ def comparison_sql(src: str, names, geos, fuels=FUELS, minimum: int = 10) -> str
                 f"SELECT b.label AS brand, '{geo}' AS geo_level, b.g AS geo_value, '{fuel.removesuffix('_price')}' AS fuel_type, "
                 "round(avg(b.p), 4) AS brand_avg_price, round(avg(m.p), 4) AS market_avg_price, "
                 "round(avg((b.p - m.p) / nullif(m.p, 0) * 100), 2) AS price_delta_pct, "
-                "round(avg(CAST(b.p < m.p AS INT)) * 100.0, 2) AS days_below_market_pct, count(*) AS appearances, "
+                "round(avg(CAST(b.p < m.p * (1 - 1e-9) AS INT)) * 100.0, 2) AS days_below_market_pct, count(*) AS appearances, "
                 f"{_band()} AS confidence_level, CAST(max(b.dt) AS VARCHAR) AS last_updated FROM "
                 f"(SELECT dt, g, label, avg(p) AS p FROM {base} WHERE label IN {_in(names)} GROUP BY ALL) b "
                 f"JOIN (SELECT dt, g, avg(p) AS p FROM {base} GROUP BY ALL) m ON b.dt = m.dt AND b.g = m.g "
@@ -689,10 +747,9 @@ _BRAND_JOB_SQL = (
 )
 
 
-@query("brand_analytics_job", with_ctes(A.OBSERVATION_SQL, _HISTORY_ONLY_NEWEST, body=_BRAND_JOB_SQL))
-def _(spark, sf_dir):
-    root, null = A.scratch(spark, "brands"), F.lit(None).cast("string")
-    jobs.run_brand_analytics(A.observations(spark, sf_dir), root, "2024-01-31")
+def _brand_reports(spark, root: str) -> DataFrame:
+    """The four stored brand reports in one shape."""
+    null = F.lit(None).cast("string")
 
     def rows(task: str, area, detail, value: str) -> DataFrame:
         stored = sinks.read_published(spark, f"{root}/{task}")
@@ -709,6 +766,22 @@ def _(spark, sf_dir):
     )
 
 
+@query("brand_analytics_job", with_ctes(A.OBSERVATION_SQL, _HISTORY_ONLY_NEWEST, body=_BRAND_JOB_SQL))
+def _(spark, sf_dir):
+    root = A.scratch(spark, "brands")
+    jobs.run_brand_analytics(A.observations(spark, sf_dir), root, "2024-01-31")
+    return _brand_reports(spark, root)
+
+
+@query("brand_analytics_by_day", with_ctes(A.OBSERVATION_SQL, _HISTORY_ONLY_NEWEST, body=_BRAND_JOB_SQL))
+def _(spark, sf_dir):
+    """The same reports from kept market days, brought up to date twice with days that overlap."""
+    root, rows = A.scratch(spark, "brands"), A.observations(spark, sf_dir)
+    for part in ("to_date(timestamp) <= DATE'2024-01-20'", "to_date(timestamp) >= DATE'2024-01-18'"):
+        jobs.update_brand_analytics(rows.where(part), root, "2024-01-31")
+    return _brand_reports(spark, root)
+
+
 # ================================================================================== trends and rankings
 _TREND = ", ".join(f"{rnd(c)} AS {c}" for c in TREND_DIGITS)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from pricegrid.sources import versions
 from pricegrid.sources.landing import path_exists
 
 
@@ -25,27 +26,21 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
-def publish(df: DataFrame, path: str, keep: int = 2) -> int:
-    """Write ``df`` as a new version of a table and return the rows written.
+def publish(df: DataFrame, path: str, keep: int = 2, notes: dict | None = None) -> int:
+    """Write ``df`` as a new version of a whole table and return the rows written.
 
-    Readers take the newest finished version, so a write that fails, or is under way, is never seen. All but the last
-    ``keep`` versions are removed afterwards.
+    Readers take the newest version, so a write that fails, or is under way, is never seen, and of two writers at a
+    time each gets a version of its own. What all but the last ``keep`` versions hold is removed after a while.
     """
-    spark = df.sparkSession
-    versions = _folders(spark, path, "version") if path_exists(spark, path) else {}
-    written = Observation()
-    number = max(map(int, versions), default=-1) + 1
-    df.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/version={number}")
-    for old in sorted(versions, key=int)[: len(versions) + 1 - keep]:
-        _delete(spark, versions[old])
-    return written.get["n"]
+    rows = versions.commit(df, path, date=None, notes=notes)
+    versions.vacuum(df.sparkSession, path, keep)
+    return rows
 
 
 def published_path(spark: SparkSession, path: str) -> str | None:
-    """The newest finished version of a published table."""
-    versions = _folders(spark, path, "version") if path_exists(spark, path) else {}
-    finished = [v for v in versions if path_exists(spark, f"{path}/version={v}/_SUCCESS")]
-    return f"{path}/version={max(finished, key=int)}" if finished else None
+    """The folder of the newest version of a published table."""
+    newest = versions.manifest(spark, path)
+    return f"{path}/data/{newest.folders[versions.WHOLE]}" if newest else None
 
 
 def read_published(spark: SparkSession, path: str, schema=None) -> DataFrame:

@@ -44,7 +44,7 @@ def test_rollup_stream(spark, frame, folders):
 
     def run():
         refresh.refresh_rollups(spark, landed, root, checkpoint, FUELS, once=True).awaitTermination()
-        rows = spark.read.parquet(f"{root}/province_daily_stats").collect()
+        rows = jobs.stored_rollups(spark, root)["province_daily_stats"].collect()
         return sorted((str(r.date), r.avg_price, r.station_count) for r in rows)
 
     landing.write_snapshot(snapshot(frame, "2024-01-01T06:00:00+00:00", 1.5), landed)
