@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricegrid.llm.common import (
@@ -30,12 +30,16 @@ sent_by_value(__name__)
 SHINGLE = 5
 SIMILARITY = 0.8
 
-#: 24 bands of 4 registers: two texts at the threshold miss each other in all bands about 3 times in a million. Shingles
-#: weigh the same however often a text has them, so that registers agree with the similarity that links are judged by.
-BANDS, ROWS = 24, 4
+#: 24 bands of 4 registers of shingles that all weigh the same: registers agree with the similarity that links are judged
+#: by, and two texts at the threshold miss each other in all bands about 3 times in a million. To these come 4 bands over
+#: shingles weighed by their counts, which find texts that agree in what they repeat.
+BANDS, ROWS, WEIGHTED_BANDS = 24, 4, 4
 
-#: Texts of a bucket, and shingles of them all, that are compared in one task; a larger bucket is dealt into blocks.
-BUCKET_TEXTS, BUCKET_SHINGLES = 2048, 4_000_000
+#: Texts that share a prefix shingle and are paired one by one; a larger group is compared in one task.
+PAIRED_TEXTS = 32
+
+#: Texts of a group, and shingles of them all, that are compared in one task; a larger group is dealt into blocks.
+GROUP_TEXTS, GROUP_SHINGLES = 2048, 4_000_000
 
 #: After how many parts of the pairs of blocks what has become one component is left out of the next part.
 SPLITS = 2
@@ -106,32 +110,62 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def signatures(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """node, keys for every row of ``texts`` (node, text) that has a word. Every shingle of a text weighs 1."""
+def signatures(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weighted: int = WEIGHTED_BANDS) -> DataFrame:
+    """node, keys for every row of ``texts`` (node, text) that has a word: ``bands`` over equal weights, ``weighted`` over counts."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_column(batch.column(1))
             for a, b in chunks(offsets):
-                row, hashed, _ = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                signed = prob_minhash(row, hashed, np.ones(len(row)), b - a, bands * rows)
+                row, hashed, count = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                 some = np.unique(row)
-                keys = band_keys(signed[some], bands, rows).view(np.int64)
-                lists = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * bands, pa.array(keys.ravel()))
+                keys = band_keys(prob_minhash(row, hashed, np.ones(len(row)), b - a, bands * rows)[some], bands, rows)
+                if weighted:
+                    # Elements of their own, so that these bands are drawn apart from the others.
+                    signed = prob_minhash(row, mixed(hashed + np.uint64(1)), count.astype(np.float64), b - a, weighted * rows)
+                    keys = np.concatenate([keys, mixed(band_keys(signed[some], weighted, rows))], axis=1)
+                keys = keys.view(np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * keys.shape[1], pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(some)), lists], ["node", "keys"])
 
     return texts.select("node", "text").mapInArrow(sign, "node bigint, keys array<bigint>")
 
 
-def shingle_sets(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """node, shingles (distinct 32-bit hashes) for every row of ``texts`` (node, text).
+def node_bits(nodes: DataFrame, n: int) -> np.ndarray:
+    """A bitmap with a bit for each of ``n`` ``nodes``, at the node modulo its length: ``NODE_BITS`` bits at most.
+
+    A text whose bit is not set is none of the nodes; where a bit is, one text in sixteen is by chance.
+    """
+    bits = min(NODE_BITS, max(_PART_BITS, 1 << (16 * n).bit_length()))
+    at = F.pmod("node", F.lit(bits))
+    parts = nodes.select(F.floor(at / _PART_BITS).cast("int").alias("part"), F.pmod(at, F.lit(_PART_BITS)).alias("bit"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # NODE_BITS / 8 bytes
+        out[r["part"] * _PART_BITS // 8 :][: _PART_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+#: 8 MB; where the nodes are more than that tells apart, more texts than needed have their shingles worked out.
+NODE_BITS = 1 << 26
+_PART_BITS = 1 << 15
+
+
+def shingle_sets(texts: DataFrame, size: int = SHINGLE, wanted: np.ndarray | None = None) -> DataFrame:
+    """node, shingles (distinct 32-bit hashes) for every row of ``texts`` (node, text), or those with a bit in ``wanted``.
+
+    So the texts stay where they are, and only the sets that are needed are exchanged.
 
     Two shingles of a pair of texts with n of them fall together with a chance of n * n / 2**33, which moves a similarity
     by one shingle; in return the sets, which are most of what is exchanged, are half as large.
     """
 
+    shared = None if wanted is None else texts.sparkSession.sparkContext.broadcast(wanted)
+
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if shared is not None:
+                at = np.asarray(batch.column(0)) % (8 * len(shared.value))
+                batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
             data, offsets = byte_column(batch.column(1))
             for a, b in chunks(offsets):
                 row, hashed, _ = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
@@ -189,50 +223,101 @@ def components(edges: DataFrame) -> DataFrame:
 def near_links(texts: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """Components of near-duplicate texts: node, root for every node of ``texts`` (node, text) that has a partner.
 
-    A band's bucket links its least node with the others first, which is as many pairs as rows. Where texts of a
-    bucket are then in different components, all its texts are compared across components in one task, which gives at
-    most one link for each pair of components. A bucket too large for that is dealt into blocks, and each block is
-    compared with each other in a task of its own, so that no pair is left out.
+    A band's bucket links its least node with the others first, which is as many pairs as rows. Open are then the texts
+    of buckets of three and more that are in different components; every pair of open texts of different components
+    is reached by a prefix-filter join, however many buckets or none they share.
     """
     signed = signatures(texts, bands, rows, size).dropDuplicates(["node"])
     bucketed = stored(signed.select(F.explode("keys").alias("key"), "node"), "bands")
     buckets = stored(bucketed.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    members, n = counted(bucketed.join(buckets.drop("n"), "key"), "members")
-    wanted = stored(members.select("node").distinct(), "nodes")
-    sets = shingle_sets(texts.join(wanted, "node"), size).dropDuplicates(["node"])
+    members, n = counted(bucketed.join(buckets, "key"), "members")
+    wanted, n_wanted = counted(members.select("node").distinct(), "nodes")
+    sets = shingle_sets(texts, size, node_bits(wanted, n_wanted)).dropDuplicates(["node"])
     sets = stored(sets.withColumn("size", F.size("shingles")), "shingles")
     stars = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     stars = stored(stars.coalesce(tasks_for(texts.sparkSession, n)), "pairs")
     edges = stored(verified(stars, sets, similarity), "links")
     roots = stored(components(edges), "roots")
 
-    apart, n = _apart(members, roots)
+    # A bucket of two texts has no pair but the one that is judged.
+    apart, n = _apart(members.filter("n > 2"), roots)
     if not n:
         return roots
-    weight = apart.join(sets.select("node", "size"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    large = stored(weight.filter((F.col("n") > BUCKET_TEXTS) | (F.col("size") > BUCKET_SHINGLES)).select("key"), "large")
-    few = apart.join(large, "key", "left_anti").join(sets, "node")
-    links, n = counted(_compared(few, similarity), "links")
+    open_nodes = stored(apart.select("node", "root").distinct(), "open")
+    index = stored(_prefixes(sets.join(open_nodes, "node"), similarity), "prefixes")
+    groups = index.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("size").alias("all"),
+        (F.min("root") != F.max("root")).alias("mixed"),
+        *[F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(20,0)")).alias(f"same{k}") for k in (1, 2)],
+    )
+    groups = stored(groups.filter("mixed"), "groups")
+
+    one = index.join(groups.filter(F.col("n") <= PAIRED_TEXTS).select("key"), "key")
+    pairs = stored(_paired(one, stars, similarity), "pairs")
+    links, n = counted(verified(pairs, sets, similarity), "links")
     if n:
-        edges = _with(edges, links)
+        edges = edges.union(links)
         roots = stored(components(edges), "roots")
-    left, n = counted(apart.join(large, "key"), "left")
+
+    # Shingles that the same texts share would give the same pairs: one of them is enough.
+    crowded = groups.filter(F.col("n") > PAIRED_TEXTS).groupBy("n", "all", "same1", "same2").agg(F.min("key").alias("key"))
+    large = (F.col("n") > GROUP_TEXTS) | (F.col("all") > GROUP_SHINGLES)
+    few, n = _apart(index.join(crowded.filter(~large).select("key"), "key"), roots)
+    if n:
+        links, n = counted(_compared(few.join(sets.drop("size"), "node"), similarity), "links")
     if n:
-        left, n = _apart(left.drop("root"), roots)
+        edges = edges.union(links)
+        roots = stored(components(edges), "roots")
+    left, n = _apart(index.join(crowded.filter(large).select("key"), "key"), roots)
     if not n:
         return roots
     blocks = _blocks(left, sets, similarity)
     for part in range(SPLITS + 1):
         cells, n = _apart(_cells(blocks, part, SPLITS + 1), roots)
-        links, n = counted(_compared(cells.join(sets, "node"), similarity), "links") if n else (None, 0)
+        links, n = counted(_compared(cells.join(sets.drop("size"), "node"), similarity), "links") if n else (None, 0)
         if n:
-            edges = _with(edges, links)
+            edges = edges.union(links)
             roots = stored(components(edges), "roots")
     return roots
 
 
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """key, node, root, size, place: the shingles of texts (node, root, size, shingles) that a similar text must share one of.
+
+    All texts order their shingles alike, those of fewer texts first. Two sets that are similar enough share one of
+    the first ``size - ceil(similarity * size) + 1`` of each; ``place`` is the shingle's place in that order, from 0. A
+    shingle that only one component has can be shared with no other, so such shingles are first in the order and are
+    left out. Texts with a template and enough words of their own have no other prefix and drop out here.
+    """
+    each = sets.select("node", "root", "size", F.explode("shingles").alias("key"))
+    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y")
+    shared = each.join(held.select("key", "n"), "key").groupBy("node", "root", "size")
+    shared = shared.agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    own = F.col("size") - F.size("keys")
+    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1
+    first = F.slice("keys", F.lit(1), F.greatest(prefix - own, F.lit(0)).cast("int"))
+    listed = shared.select("node", "root", "size", own.alias("own"), F.posexplode(first).alias("at", "found"))
+    return listed.select(F.col("found.key").cast("long").alias("key"), "node", "root", "size", (F.col("own") + F.col("at")).alias("place"))
+
+
+def _paired(index: DataFrame, judged: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts of different components that share a key of ``index``, once, without those ``judged``.
+
+    The first shingle that two texts share leaves no more to share than what comes after it in either; lengths too must fit.
+    """
+    left, right = [index.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("node", "root", "size", "place")]) for k in (1, 2)]
+    most = F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2"))
+    fit = (F.least("size1", "size2") >= similarity * F.greatest("size1", "size2")) & (
+        most * (1 + similarity) >= similarity * (F.col("size1") + F.col("size2")) - 1e-6
+    )
+    pairs = left.join(right, "key").filter((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & fit)
+    pairs = pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    return pairs.join(judged, ["a", "b"], "left_anti")
+
+
 def _blocks(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """key, node, blocks, block: the texts of large buckets (key, node) dealt into blocks of half of what a task compares.
+    """key, node, blocks, block: the texts of large groups (key, node) dealt into blocks of half of what a task compares.
 
     Texts are told apart by their number of shingles first: similar ones are of one class or of neighbouring classes,
     so each text goes to the group of its class and to that of the next one.
@@ -244,8 +329,8 @@ def _blocks(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     weight = sized.groupBy("key", "_group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"), F.max("_class").alias("_last"))
     # A group without a text of its own class has only pairs that the group before has too.
     weight = weight.filter("n > 1 AND _last = _group")
-    one = (F.col("n") <= BUCKET_TEXTS) & (F.col("all") <= BUCKET_SHINGLES)
-    halves = F.greatest(F.ceil(2 * F.col("n") / BUCKET_TEXTS), F.ceil(2 * F.col("all") / BUCKET_SHINGLES))
+    one = (F.col("n") <= GROUP_TEXTS) & (F.col("all") <= GROUP_SHINGLES)
+    halves = F.greatest(F.ceil(2 * F.col("n") / GROUP_TEXTS), F.ceil(2 * F.col("all") / GROUP_SHINGLES))
     blocks = F.when(one, F.lit(1)).otherwise(F.least(halves, "n")).cast("int")
     dealt = sized.join(stored(weight.select("key", "_group", blocks.alias("blocks")), "groups"), ["key", "_group"])
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block")
@@ -259,12 +344,8 @@ def _cells(blocks: DataFrame, part: int, parts: int) -> DataFrame:
     return each.select(F.xxhash64("key", F.least("block", "_other"), F.greatest("block", "_other")).alias("key"), "node")
 
 
-def _with(have: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if have is None else have.union(more)
-
-
 def _apart(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
-    """key, node, root of the buckets whose texts are in more than one component, and their number."""
+    """key, node, root of the buckets or groups whose texts are in more than one component, and their number."""
     labelled = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = stored(labelled, "labelled")
     ends = labelled.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y").select("key")
@@ -297,7 +378,7 @@ _COLUMNS = 1024
 
 
 def _compared(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) across components within the buckets of ``rows`` (key, node, root, shingles), a bucket at a time."""
+    """Links (a, b) across components within the groups of ``rows`` (key, node, root, shingles), a group at a time."""
 
     def links(group: list[tuple]) -> list[tuple[int, int]]:
         root, node = np.array([g[2] for g in group]), [g[1] for g in group]
@@ -327,18 +408,37 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def node_of(documents: DataFrame) -> Column:
+    """A 64-bit hash that is the same for equal texts only; null counts as empty.
+
+    Two hashes of 64 bits are taken of every text. Where texts agree in the first and differ in the second, which is
+    rare by chance, both make up the node.
+    """
+    text = F.coalesce("text", F.lit(""))
+    one, two = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    both = documents.select(one.alias("one"), two.alias("two")).groupBy("one").agg(F.min("two").alias("x"), F.max("two").alias("y"))
+    clashes = [r["one"] for r in both.filter("x <> y").select("one").limit(MOST_CLASHES + 1).collect()]
+    if len(clashes) > MOST_CLASHES:
+        raise ValueError("too many texts agree in a 64-bit hash")
+    return F.when(one.isin(clashes), F.xxhash64(F.lit(2), two)).otherwise(one) if clashes else one
+
+
+#: Texts that agree in 64 bits by chance are some 70 among 5e10; far more than that means that the hash is attacked.
+MOST_CLASHES = 10_000
+
+
+def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, node: Column | None = None) -> DataFrame:
     """Every row of ``documents`` with its class of near-duplicate texts.
 
     Needs doc_id and text; other columns are ignored. Returns doc_id, node, class_id (least doc_id of the class),
     class_size (rows) and kept (the row whose doc_id is class_id). Two texts are linked if the sets of their shingles,
     five consecutive words, have a Jaccard similarity of ``similarity`` or more; classes are the connected components.
     A text of one to four words has one shingle; texts without words (null, empty, only punctuation) are linked only
-    to equal ones, null counting as empty. Texts are told apart by a 64-bit hash, ``node``. Rows of one doc_id and text
+    to equal ones, null counting as empty. Texts are told apart by ``node``, ``node_of`` if none is given. Rows of one doc_id and text
     are all kept or none; a null doc_id is class_id only where its class has no other. An empty table gives an empty
     result.
     """
-    texts = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    texts = documents.select("doc_id", (node_of(documents) if node is None else node).alias("node"), "text")
     roots = stored(near_links(texts, similarity), "roots")
     slim = stored(texts.select("doc_id", "node"), "nodes")
     placed = stored(slim.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
@@ -350,9 +450,9 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
 
 def deduplicated(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``documents`` with one row of each class of near duplicates, all columns as they were."""
-    kept = near_duplicates(documents, similarity).filter("kept").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("_rows"))
+    node = node_of(documents)
+    kept = near_duplicates(documents, similarity, node).filter("kept").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("_rows"))
     kept = stored(kept.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "_rows"), "kept")
-    node = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = aside(documents, "doc_id", "text").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (node == F.col("_node")))
     rows = rows.filter("_rows = 1").unionByName(rows.filter("_rows > 1").dropDuplicates(["_id", "_node"]))
     return restored(rows, documents.columns, "doc_id", "text")

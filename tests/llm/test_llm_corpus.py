@@ -67,7 +67,8 @@ def chain(n, step):
 
 @pytest.mark.parametrize("small,splits", [(2048, 2), (1, 2), (1, 0)])
 def test_no_link_is_lost_in_crowded_buckets(spark, monkeypatch, small, splits):
-    monkeypatch.setattr(neardup, "BUCKET_TEXTS", small)
+    monkeypatch.setattr(neardup, "GROUP_TEXTS", small)
+    monkeypatch.setattr(neardup, "PAIRED_TEXTS", small // 2)
     monkeypatch.setattr(neardup, "SPLITS", splits)
     shared = prose(50, 60)
     texts = chain(25, 6) + [shared + " " + prose(100 + k, 20) for k in range(25)]
@@ -97,12 +98,56 @@ def test_large_buckets_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(neardup, "signatures", lambda df, *_: df.select("node", F.array(F.lit(7).cast("long")).alias("keys")))
     want = brute_classes(rows)
     for limit in (2048, 8):
-        monkeypatch.setattr(neardup, "BUCKET_TEXTS", limit)
+        monkeypatch.setattr(neardup, "GROUP_TEXTS", limit)
+        monkeypatch.setattr(neardup, "PAIRED_TEXTS", limit // 4)
         got = found()
         assert [got.get(k, k) for k in range(len(rows))] == want
     assert 1 < len(set(want)) < len(rows)
 
 
+def test_recall_of_pairs_near_the_threshold(spark):
+    texts = []
+    for k in range(1000):
+        words = prose(10_000 + k, 115, 10**6).split(" ")
+        cut = 9 + k % 3  # of a hundred shingles each: a similarity of 0.80 to 0.84
+        texts += [" ".join(words[:104]), " ".join(words[: 104 - cut] + [w + "z" for w in words[:cut]])]
+    assert all(0.8 <= len(a & b) / len(a | b) < 0.85 for a, b in zip(*[map(shingle_set, texts[i::2]) for i in (0, 1)]))
+    rows = [(i, t, *documents()[0][2:]) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(1000)) >= 999
+    assert {got[i] for i in got} == {2 * (i // 2) for i in got}
+
+
+def test_texts_of_one_template_equal_brute_force(spark, monkeypatch):
+    r, shared = random.Random(77), prose(70, 70)
+    own = [prose(7000 + k, 8, 10**6) for k in range(700)]
+    texts = [f"{shared} {r.choice(own)} {prose(9000 + k, r.choice([0, 2, 10, 30]), 10**6)}" for k in range(1500)]
+    sets = [shingle_set(t) for t in texts]
+    number = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(texts), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [number[y] for y in x]] = 1
+    size = held.sum(axis=1)
+    both = held @ held.T
+    root = np.arange(len(texts))
+    for _ in range(60):
+        near = both >= 0.8 * (size[:, None] + size[None, :] - both)
+        root = np.where(near, root[None, :], len(texts)).min(axis=1)
+    rows = [(i, t, *documents()[0][2:]) for i, t in enumerate(texts)]
+    monkeypatch.setattr(neardup, "PAIRED_TEXTS", 16)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == root.tolist() and len(set(root.tolist())) > 100
+
+
+def test_texts_whose_hashes_agree_are_told_apart(spark, monkeypatch):
+    docs = frame(spark)
+    clash = F.lit(7).cast("long")
+    monkeypatch.setattr(neardup.F, "xxhash64", lambda *c, real=F.xxhash64: clash if len(c) == 1 else real(*c))
+    found = docs.select("text", neardup.node_of(docs).alias("node")).distinct().collect()
+    monkeypatch.undo()
+    assert len({r["node"] for r in found}) == len({r["text"] or "" for r in found})
+
+
 def test_components(spark):
     r = random.Random(2)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(300 + k, 301 + k) for k in range(60)]
