@@ -116,7 +116,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str, sample: int = SAMPL
     """A model of ``labels[label]`` (0 or 1) from whole texts of ``documents``, joined by doc_id.
 
     At most ``sample`` rows of each class are used, the first in the order of a hash of their doc_id; their features
-    are worked out by the executors, and the driver gets a few thousand bounded lists. Rows without a doc_id, text or
+    are worked out by the executors, one of which trains on them. Rows without a doc_id, text or
     label teach nothing; a class without rows leaves a model that knows only the other.
     """
     spark = documents.sparkSession
@@ -127,11 +127,33 @@ def fit(documents: DataFrame, labels: DataFrame, label: str, sample: int = SAMPL
         chosen += [(r["doc_id"], k) for r in first.collect()]
     chosen_rows = F.broadcast(spark.createDataFrame(chosen, "doc_id bigint, label int"))  # 2 * sample rows at most
     texts = documents.select("doc_id", "text").filter("text IS NOT NULL").join(chosen_rows, "doc_id").select("label", "text")
-    rows = [
-        (r["label"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in training_rows(texts).collect()
-    ]
-    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))  # whatever order the tasks ended in
-    return train(rows, **settings)
+    return trained_in_a_task(training_rows(texts), settings)
+
+
+def trained_in_a_task(features_of_rows: DataFrame, settings: dict) -> Model:
+    """The model of at most ``2 * sample`` rows of features, trained where an executor holds them.
+
+    The driver gets the weights alone (8 MB), however long the sampled texts are; a lost executor trains again, to the
+    same model.
+    """
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [
+            (label, np.frombuffer(bucket, "<i4"), np.frombuffer(share, "<f4"))
+            for batch in batches
+            for label, bucket, share in zip(*[column.to_pylist() for column in batch.columns])
+        ]
+        rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))  # whatever order the tasks ended in
+        model = train(rows, **settings)
+        weights = [pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (model.vectors, model.output, model.bias)]
+        yield pa.RecordBatch.from_arrays(weights, ["vectors", "output", "bias"])
+
+    schema = "vectors binary, output binary, bias binary"
+    weights = features_of_rows.repartition(1).mapInArrow(learn, schema).head()
+    if weights is None:  # no rows, and no task either
+        return train([], **settings)
+    vectors, output, bias = [np.frombuffer(bytes(w), "<f4") for w in weights]
+    return Model(vectors.reshape(-1, DIMENSION), output.reshape(-1, DIMENSION), bias)
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
