@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,13 +80,35 @@ def marked(attributes: str) -> bool:
     return HIDDEN.search(attributes) is not None
 
 
+def main_blocks(found: list[tuple[str, int, bool]]) -> tuple[list[str], bool]:
+    """Which blocks are the main text, of (text, number of its outermost article or 0, whether in a main element).
+
+    Running text decides, in words: where a main element has more outside articles than the longest article has, the
+    articles are teasers, and the main element is the text; without its articles, unless these hold the most of it.
+    Else the articles are the text. A page with neither has all its blocks, which settles nothing.
+    """
+    articles: Counter[int] = Counter()
+    own = inside = 0
+    for text, article, main in found:
+        n = text.count(" ") + 1
+        if article:
+            articles[article] += n
+            inside += n * main
+        else:
+            own += n * main
+    if own > max(articles.values(), default=0):
+        return [text for text, article, main in found if main and (not article or inside > own)], True
+    return [text for text, article, _ in found if article or not articles], bool(articles)
+
+
 def blocks_of(page: str) -> tuple[list[str], bool]:
     """The blocks of a page's article, or of its main element; else of all that is not boilerplate by its markup.
 
     Also whether the page has an article or a main element, which settles that its blocks are the main text. Tags may
     be unclosed, misplaced or cut off. References are decoded, and white space inside a block is one space.
     """
-    found: dict[str, list[str]] = {"article": [], "main": [], "": []}
+    found: list[tuple[str, int, bool]] = []
+    articles = 0
     stack: list[tuple[str, bool]] = []  # open elements that matter, and whether they are dropped
     depth = {"article": 0, "main": 0}
     dropped, parts, at = 0, [], 0
@@ -95,9 +118,7 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                found["article" if depth["article"] else "main" if depth["main"] else ""].append(text)
-                if depth["article"] and depth["main"]:
-                    found["main"].append(text)
+                found.append((text, articles if depth["article"] else 0, depth["main"] > 0))
 
     def pop() -> None:
         nonlocal dropped
@@ -151,10 +172,10 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
             stack.append((name, drop))
             dropped += drop
             if name in depth and not drop:
+                articles += name == "article" and not depth[name]
                 depth[name] += 1
     end_block()
-    settled = "article" if found["article"] else "main" if found["main"] else ""
-    return found[settled], bool(settled)
+    return main_blocks(found)
 
 
 def host_of(url: str | None) -> str:
@@ -328,7 +349,7 @@ def without_boilerplate(pages: DataFrame, runs: DataFrame, run_words: int = RUN_
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text for every row of ``pages`` (page_id, url, html).
 
-    The text is that of the page's article, or of its main element if it has no article, without the elements that
+    The text is that of the page's articles, or of its main element if that has more running text, without the elements that
     their name, class, id or role tells to be menus, headers, footers, sidebars, notices, adverts, forms, scripts,
     styles or comments. Then what a host repeats is looked for on all its pages: a block of an article or main element
     goes if strings of eight words or more that half of the host's pages have, and four at least, cover it whole, and

@@ -295,6 +295,10 @@ PAGES = [
     ("<article><p>cut off in a <a href='x", "cut off in a"),
     ("<body class='no-sidebar'><div class='content-wrapper sidebar-layout'><article><p class=notice>n<p>kept</article></div>", "kept"),
     ("<ARTICLE><table><tr><td>a<td>b<tr><td>c</table>1 < 2 &amp;amp; 3</ARTICLE>", "a b\nc\n1 < 2 &amp; 3"),
+    ("<main><h1>Title</h1><p>Real body</p></main><article>Teaser one</article><article>Teaser two</article>", "Title\nReal body"),
+    ("<main><p>A</p><article>card</article><p>B</p></main>", "A\nB"),
+    ("<main><p>Two words</p><article>One</article><article>Two</article><article>Three</article></main>", "Two words\nOne\nTwo\nThree"),
+    ("<main><h1>Short</h1><article><p>The article itself</p></article></main>", "The article itself"),
     (None, ""),
     ("", ""),
     ("plain text  only", "plain text only"),
