@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricegrid import schema as S
 from pricegrid.functions.columns import clean_text, local_time_to_utc_iso, parse_decimal
@@ -29,6 +30,23 @@ def split_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return usable, rejected
 
 
+def sort_out(landed: DataFrame, column: str = "document") -> tuple[DataFrame, DataFrame]:
+    """Usable documents, parsed, and the rejected rows as they landed, with a ``reason``.
+
+    ``column`` has a document's text. A text that is null, empty, cut off or not of the documents' types is
+    ``unreadable``; other reasons are those of ``document_problem``. Rejected rows keep their text, so that they can
+    be stored, repaired and sorted out again; other columns pass through on both sides.
+    """
+    schema = T.StructType([*S.RAW_DOCUMENT_SCHEMA.fields, T.StructField("_unread", T.StringType())])
+    read = F.from_json(column, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+    carried = [c for c in landed.columns if c != column]
+    parsed = landed.withColumn("_d", read).select(*landed.columns, "_d.*")
+    unreadable = F.col("_unread").isNotNull() | F.coalesce(F.trim(column), F.lit("")).isin("", "null")
+    checked = parsed.withColumn("reason", F.when(unreadable, "unreadable").otherwise(document_problem()))
+    usable = checked.where("reason IS NULL").select(*carried, *S.RAW_DOCUMENT_SCHEMA.names)
+    return usable, checked.where("reason IS NOT NULL").select(*landed.columns, "reason")
+
+
 def explode_documents(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per station: ``Fecha`` plus the mapped source fields under their column names, still text."""
     rows = documents.select(*keep, "Fecha", F.explode("ListaEESSPrecio").alias("station"))

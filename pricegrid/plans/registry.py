@@ -147,6 +147,23 @@ def _(spark, sf_dir):
     return normalize.split_documents(_raw_documents(spark, sf_dir))[1].select("doc_id", "reason")
 
 
+@query(
+    "quarantined_documents",
+    f"""SELECT doc_id, case when doc_id % 7 IN (1, 4) then 'unreadable' when doc_id % 7 = 3 then 'status' else 'bad_time' end AS reason,
+  true AS text_kept, case when doc_id % 7 IN (1, 4) then n end AS stations
+FROM (SELECT {_DOC} AS doc_id, count(*) AS n FROM customer GROUP BY ALL) WHERE doc_id % 7 IN (1, 3, 4, 5)""",
+)
+def _(spark, sf_dir):
+    """Documents of which some are cut off or of wrong types: what is rejected, and its stations once the text is repaired."""
+    whole = _document_texts(spark, sf_dir)
+    cut = F.when(F.col("doc_id") % 7 == 1, F.expr("left(document, length(document) div 2)"))
+    landed = whole.withColumn("document", cut.when(F.col("doc_id") % 7 == 4, '{"ResultadoConsulta": "OK", "ListaEESSPrecio": 5}').otherwise(F.col("document")))
+    rejected = normalize.sort_out(landed)[1].withColumn("text_kept", F.length("document") > 0).drop("document")
+    replayed, _ = normalize.sort_out(rejected.select("doc_id").join(whole, "doc_id"))
+    repaired = replayed.select("doc_id", F.size("ListaEESSPrecio").cast("long").alias("stations"))
+    return rejected.join(repaired, "doc_id", "left").select("doc_id", "reason", "text_kept", "stations")
+
+
 @query("public_sale_stations", with_ctes(A.STATION_SQL, body="SELECT station_id, label FROM s WHERE sale_type = 'p'"))
 def _(spark, sf_dir):
     return normalize.public_sale(A.stations(spark, sf_dir)).select("station_id", "label")

@@ -26,6 +26,11 @@ def parse_documents(texts: DataFrame, column: str = "document") -> DataFrame:
     return parsed.select(*[c for c in texts.columns if c != column], "_d.*")
 
 
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """One row per landed file with its text as it is: ``file, document``. Spark's readers list no file of no bytes."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
+
+
 def read_csv_history(spark: SparkSession, path: str) -> DataFrame:
     """CSV snapshots with a header, matched to the contract by column name."""
     return spark.read.option("header", True).option("enforceSchema", False).schema(S.SNAPSHOT_SCHEMA).csv(path)

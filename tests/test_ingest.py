@@ -46,6 +46,33 @@ def test_missing_station_list_is_rejected(spark, tmp_path):
     assert [r.reason for r in rejected.collect()] == ["no_stations"]
 
 
+def test_rejected_documents_keep_their_text_and_can_be_replayed(spark, tmp_path):
+    whole = json.dumps(document())
+    texts = {
+        "good": whole,
+        "cut": whole[: len(whole) // 2],
+        "blank": "  ",
+        "types": json.dumps(document(ListaEESSPrecio="none")),
+        "list": "[1, 2",
+        "null": "null",
+        "status": json.dumps(document(ResultadoConsulta="ERROR")),
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    usable, rejected = normalize.sort_out(landing.read_landed(spark, str(tmp_path)))
+    assert [r.file.split("/")[-1] for r in usable.collect()] == ["good.json"]
+    found = {r.file.split("/")[-1][:-5]: (r.reason, r.document) for r in rejected.collect()}
+    assert found == {k: ("status" if k == "status" else "unreadable", t) for k, t in texts.items() if k != "good"}
+
+    store = str(tmp_path / "quarantine")
+    rejected.write.partitionBy("reason").parquet(store)
+    repaired = spark.read.parquet(store).where("reason = 'unreadable'").drop("reason").withColumn("document", F.lit(whole))
+    again, none = normalize.sort_out(repaired)
+    assert none.count() == 0 and again.count() == 5
+    assert normalize.normalize_stations(normalize.explode_documents(again)).count() == 5
+    assert [x.count() for x in normalize.sort_out(repaired.where("file IS NULL"))] == [0, 0]
+
+
 def test_public_sale_filter(frame):
     assert normalize.public_sale(frame([("p",), ("r",), (None,)], "sale_type string")).count() == 1
     assert normalize.public_sale(frame([(1,), (2,)], "x int")).count() == 2
