@@ -258,6 +258,56 @@ def inside_ring(lat: Column, lon: Column, sides: Column) -> Column:
     return F.aggregate(sides, F.lit(False), lambda odd, s: odd != crosses(s))
 
 
+def polygon_cells(polygons: DataFrame, edge_km: float = 25.0) -> DataFrame:
+    """Polygons cut by grid cell: one row per ring and cell that holds any of it, without the ring.
+
+    ``_whole`` marks cells that no side comes near and that lie inside; they need no test of their places, and cells
+    outside that no side comes near are left out. All others keep the sides that a ray to the east from a place of
+    theirs can meet: those that reach into the grid row and do not lie wholly west of the cell.
+    """
+    edge = F.lit(float(edge_km))
+    xs = F.transform("ring", lambda p: p[0])
+    ys = F.transform("ring", lambda p: p[1])
+
+    def placed(cell: Column) -> Column:
+        row = F.shiftright(cell, 32)
+        width = 360 / _columns_in_row(row, edge)
+        west = cell.bitwiseAND(F.lit(2**32 - 1)) * width - 180
+        return F.struct(cell.alias("cell"), row.alias("row"), west.alias("west"), (west + width).alias("east"))
+
+    # Exploding makes columns of the bounds, which the functions over sides would else work out again for every side.
+    cut = (
+        polygons.withColumns(
+            {
+                "_sides": ring_sides(F.col("ring")),
+                "_south": F.array_min(ys),
+                "_north": F.array_max(ys),
+                "_west": F.array_min(xs),
+                "_east": F.array_max(xs),
+            }
+        )
+        .drop("ring")
+        .withColumn(
+            "_at", F.explode(F.transform(_box_cells(F.col("_south"), F.col("_north"), F.col("_west"), F.col("_east"), edge), placed))
+        )
+        .withColumn("_sides", F.filter("_sides", lambda s: _reaches_row(s, F.col("_at.row"), edge)))
+    )
+    # Rings beyond +-180 degrees reach a cell from both ends of the map; their cells are all tested.
+    plain = (F.col("_west") >= -180) & (F.col("_east") <= 180)
+    not_west = lambda s: F.greatest(s["x1"], s["x2"]) >= F.col("_at.west") - SLACK_DEGREES
+    near = F.exists("_sides", lambda s: not_west(s) & (F.least(s["x1"], s["x2"]) <= F.col("_at.east") + SLACK_DEGREES))
+    inside = inside_ring((F.col("_at.row") + 0.5) * _step(edge) - 90, (F.col("_at.west") + F.col("_at.east")) / 2, F.col("_sides"))
+    kept = (
+        F.when(~plain, F.array(F.struct(F.lit(False).alias("whole"), F.col("_sides").alias("sides"))))
+        .when(near, F.array(F.struct(F.lit(False).alias("whole"), F.filter("_sides", not_west).alias("sides"))))
+        .when(inside, F.array(F.struct(F.lit(True).alias("whole"), F.slice("_sides", 1, 0).alias("sides"))))
+    )
+    columns = [c for c in cut.columns if c not in ("_sides", "_at")]
+    return cut.withColumn("_kept", F.explode(kept)).select(
+        *columns, F.col("_at.cell").alias("_cell"), F.col("_kept.whole").alias("_whole"), F.col("_kept.sides").alias("_sides")
+    )
+
+
 def containment_join(
     places: DataFrame,
     polygons: DataFrame,
@@ -269,34 +319,17 @@ def containment_join(
     """All (place, feature) pairs where an outer ring of the feature holds the place; holes are not looked at.
 
     ``polygons`` has one row per outer ring: ``feature_idx``, ``name``, ``ring``. A place inside several rings of one
-    feature comes once per ring.
+    feature comes once per ring. Rays are cast in cells on a boundary alone.
     """
-    edge = F.lit(float(edge_km))
-    xs = F.transform("ring", lambda p: p[0])
-    ys = F.transform("ring", lambda p: p[1])
-    shapes = (
-        polygons.select(
-            "feature_idx",
-            "name",
-            ring_sides(F.col("ring")).alias("_sides"),
-            F.array_min(ys).alias("_south"),
-            F.array_max(ys).alias("_north"),
-            F.array_min(xs).alias("_west"),
-            F.array_max(xs).alias("_east"),
-        )
-        .withColumn("_cell", F.explode(_box_cells(F.col("_south"), F.col("_north"), F.col("_west"), F.col("_east"), edge)))
-        # A ray inside a grid row can only meet sides that reach into that row.
-        .withColumn("_sides", F.filter("_sides", lambda s: _reaches_row(s, F.shiftright("_cell", 32), edge)))
-    )
+    shapes = polygon_cells(polygons.select("feature_idx", "name", "ring"), edge_km)
     located = places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn(
-        "_cell", cell_of(F.col(lat), F.col(lon), edge)
+        "_cell", cell_of(F.col(lat), F.col(lon), F.lit(float(edge_km)))
     )
     in_box = F.col(lat).between(F.col("_south"), F.col("_north")) & F.col(lon).between(F.col("_west"), F.col("_east"))
     return (
         located.join(shapes, "_cell")
-        .where(in_box)
-        .where(inside_ring(F.col(lat), F.col(lon), F.col("_sides")))
-        .drop("_cell", "_sides", "_south", "_north", "_west", "_east")
+        .where(in_box & (F.col("_whole") | inside_ring(F.col(lat), F.col(lon), F.col("_sides"))))
+        .drop("_cell", "_sides", "_whole", "_south", "_north", "_west", "_east")
     )
 
 

@@ -195,3 +195,30 @@ def test_zone_and_catalogue_queries(stations):
     assert [r.title for r in zones.province_names(stations).collect()] == ["Barcelona", "Madrid", None]
     assert [r.label for r in zones.label_counts(stations, 2).collect()] == ["station_a", "station_b"]
     assert zones.municipalities(stations).count() == 3
+
+
+def test_cells_inside_a_polygon_need_no_ray(spark):
+    rng = random.Random(5)
+    n = 10_000
+    reach = lambda i: 1.5 + 0.4 * math.sin(9 * 2 * math.pi * i / n) + 0.01 * math.sin(i)
+    star = [[-3.0 + reach(i) * math.cos(2 * math.pi * i / n), 40.0 + reach(i) * math.sin(2 * math.pi * i / n)] for i in range(n)]
+    wrapped = [[179.0, 10.0], [181.5, 10.0], [181.5, 12.0], [179.0, 12.0]]
+    rings = spark.createDataFrame([(0, "star", star), (1, "wrapped", wrapped)], "feature_idx int, name string, ring array<array<double>>")
+    spots = [(i, rng.uniform(37.8, 42.2), rng.uniform(-5.2, -0.8)) for i in range(600)]
+    spots += [(i, rng.uniform(9.5, 12.5), rng.uniform(178.5, 182)) for i in range(600, 800)]
+    places = spark.createDataFrame(spots, "station_id long, latitude double, longitude double")
+
+    def holds(ring, lat, lon):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(ring, ring[-1:] + ring[:-1]):
+            if (y1 > lat) != (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1:
+                odd = not odd
+        return odd
+
+    found = {(r.station_id, r.name) for r in spatial.containment_join(places, rings).collect()}
+    near = lambda ring, s: min(p[1] for p in ring) <= s[1] <= max(p[1] for p in ring)
+    assert found == {(s[0], name) for name, ring in (("star", star), ("wrapped", wrapped)) for s in spots if near(ring, s) and holds(ring, *s[1:])}
+    cells = spatial.polygon_cells(rings).selectExpr("name", "_whole", "size(_sides) AS n").collect()
+    whole = [c.n for c in cells if c._whole]
+    assert len(whole) > 50 and max(whole) == 0
+    assert max(c.n for c in cells) < n / 4
