@@ -8,6 +8,7 @@ exact rounding ties to the same side on both engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pricegrid.operators.melt import melt_prices
 from pricegrid.plans import adapters as A
 from pricegrid.plans import jobs
 from pricegrid.sources import geojson, landing, sinks, versions
-from pricegrid.streaming import refresh
+from pricegrid.streaming import freshness, refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,7 +132,8 @@ def _(spark, sf_dir):
     """Documents as landed files, several to a file, read back."""
     root = A.scratch(spark, "documents")
     texts = _document_texts(spark, sf_dir)
-    merged = texts.groupBy((F.col("doc_id") % 5).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("document"), ","), F.lit("]")).alias("value"))
+    # Files of at most 50 documents, so that their number grows and not their size.
+    merged = texts.groupBy(F.floor(F.col("doc_id") / 50).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("document"), ","), F.lit("]")).alias("value"))
     merged.write.partitionBy("part").text(root)
     rows = normalize.normalize_documents(landing.read_documents(spark, f"{root}/part=*"))
     doc = F.floor(F.col("eess_id").cast("long") / 100)
@@ -262,12 +264,61 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     root = A.scratch(spark, "landing")
-    landing.write_snapshot(A.observations(spark, sf_dir).drop("hydrogen_price").coalesce(1), root)
+    # One file a day, each written by the task that gets the day.
+    rows = A.observations(spark, sf_dir).drop("hydrogen_price")
+    landing.write_snapshot(rows.repartition(F.to_date("timestamp")), root)
     listed = landing.list_files(spark, root)
     named, sized = F.bool_and(F.col("file_name").endswith(".snappy.parquet")), F.bool_and(F.col("size_bytes") > 0)
     return listed.groupBy("day").agg(F.count("*").cast("int").alias("files"), named.alias("named"), sized.alias("sized"))
 
 
+@query(
+    "stored_files_pruned",
+    with_ctes(
+        A.OBSERVATION_SQL,
+        "d AS (SELECT DISTINCT dt FROM e)",
+        body="SELECT 'recent' AS \"case\", dt AS \"day\", 1 AS files FROM d WHERE dt = (SELECT max(dt) FROM d WHERE dt BETWEEN DATE '2024-01-08' AND DATE '2024-01-10') "
+        "UNION ALL SELECT 'fallback' AS \"case\", max(dt) AS \"day\", 1 AS files FROM d "
+        "UNION ALL (SELECT 'last days' AS \"case\", dt AS \"day\", 1 AS files FROM d ORDER BY dt DESC LIMIT 4) "
+        "UNION ALL SELECT 'asked' AS \"case\", dt AS \"day\", 1 AS files FROM d WHERE dt IN (DATE '2024-01-03', DATE '2024-01-05')",
+    ),
+)
+def _(spark, sf_dir):
+    """The newest stored file within a look-back and beyond it, the last days and days by name, by their folders alone."""
+    root = A.scratch(spark, "landing")
+    rows = A.observations(spark, sf_dir).drop("hydrogen_price")
+    landing.write_snapshot(rows.repartition(F.to_date("timestamp")), root)
+    cases = {
+        "recent": landing.latest_stored_file(spark, root, as_of="2024-01-10"),
+        "fallback": landing.latest_stored_file(spark, root, as_of="2025-01-01"),
+        "last days": landing.recent_stored_files(spark, root, 4),
+        "asked": landing.list_days(spark, root, ["2024-01-03", "2024-01-05", "2030-01-01"]),
+    }
+    counted = [f.groupBy("day").agg(F.count("*").cast("int").alias("files")).withColumn("case", F.lit(c)) for c, f in cases.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+@query(
+    "snapshots_of_two_layouts",
+    with_ctes(
+        A.OBSERVATION_SQL,
+        body=f"SELECT zip_code, dt < DATE '2024-01-15' AS older, count(*) AS n, count(diesel_a_price) AS priced, "
+        f"count(CASE WHEN dt >= DATE '2024-01-15' THEN label END) AS labelled FROM e GROUP BY ALL",
+    ),
+)
+def _(spark, sf_dir):
+    """History whose older files lack a column, joined by column name."""
+    root = A.scratch(spark, "layouts")
+    rows = A.observations(spark, sf_dir).select("timestamp", "zip_code", "label", "diesel_a_price")
+    older = F.to_date("timestamp") < F.lit("2024-01-15").cast("date")
+    rows.where(older).drop("label").write.parquet(f"{root}/layout=1")
+    rows.where(~older).select("diesel_a_price", "label", "zip_code", "timestamp").write.parquet(f"{root}/layout=2")
+    read = landing.read_snapshots(spark, f"{root}/layout=*", merge=True)
+    return read.groupBy("zip_code", older.alias("older")).agg(
+        F.count("*").alias("n"), F.count("diesel_a_price").alias("priced"), F.count("label").alias("labelled")
+    )
+
+
 @query(
     "latest_timestamp",
     with_ctes(A.OBSERVATION_SQL, body='SELECT max("timestamp") AS latest_timestamp FROM e'),
@@ -1174,7 +1225,7 @@ def _(spark, sf_dir):
     root = A.scratch(spark, "polygons")
     texts = A.polygon_documents(spark, sf_dir)
     collected = F.array_join(F.collect_list("geojson"), ",")
-    files = texts.groupBy((F.col("feature_idx") % 3).alias("part")).agg(
+    files = texts.groupBy(F.floor(F.col("feature_idx") / 8).alias("part")).agg(
         F.concat(F.lit('{"type": "FeatureCollection", "features": ['), collected, F.lit("]}")).alias("value")
     )
     files.write.option("compression", "gzip").partitionBy("part").text(root)
@@ -1763,6 +1814,28 @@ def _(spark, sf_dir):
     return rounded(refresh.read_live_snapshot(spark, live).select("eess_id", "zip_code", "diesel_a_price"), diesel_a_price=6)
 
 
+@query(
+    "feed_states_stream",
+    with_ctes(
+        A.OBSERVATION_SQL,
+        body="SELECT zip_code AS feed, \"case\", CASE WHEN \"case\" = 'short' THEN 'stale' ELSE 'live' END AS status, "
+        "CAST(epoch_ms(max(CAST(\"timestamp\" AS TIMESTAMPTZ))) AS BIGINT) AS newest_ms FROM e CROSS JOIN (VALUES ('short'), ('long')) AS c(\"case\") "
+        "WHERE zip_code IS NOT NULL GROUP BY ALL",
+    ),
+)
+def _(spark, sf_dir):
+    """State of every zip code's feed, under a poll interval of ten minutes and under one of a thousand years."""
+    landed = A.scratch(spark, "landing")
+    landing.write_snapshot(A.observations(spark, sf_dir).drop("hydrogen_price"), landed)
+    found = []
+    for case, seconds in (("short", 600), ("long", 1000 * 365 * 86400)):
+        states, checkpoint = A.scratch(spark, "feeds"), A.scratch(spark, "checkpoint")
+        changes = freshness.feed_states(refresh.landing_stream(spark, landed), F.col("zip_code"), seconds)
+        freshness.follow_feeds(changes, states, checkpoint, once=True).awaitTermination()
+        found.append(freshness.read_states(spark, states).drop("decided_ms").withColumn("case", F.lit(case)))
+    return found[0].unionByName(found[1])
+
+
 @query("rollup_stream", with_ctes(*_ROLLUP_CTES, body=_ALL_ROLLUPS_SQL))
 def _(spark, sf_dir):
     landed, root, checkpoint = (A.scratch(spark, n) for n in ("landing", "rollups", "checkpoint"))

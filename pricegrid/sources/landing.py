@@ -5,6 +5,7 @@ Snapshot files sit under ``<root>/dt=YYYY-MM-DD/``; file names must not contain
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -84,12 +85,62 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
     """The files under a folder: ``file_name, size_bytes, day`` (of a ``dt=`` folder). Lists them; reads no content."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    return _described(spark, [root], pattern)
+
+
+def _described(spark: SparkSession, folders: list[str], pattern: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folders)
     day_text = F.regexp_extract("path", "/dt=([0-9]{4}-[0-9]{2}-[0-9]{2})/", 1)
     name = F.element_at(F.split("path", "/"), -1)
     return found.select(name.alias("file_name"), F.col("length").alias("size_bytes"), F.try_to_date(day_text).alias("day"))
 
 
+def day_folders(spark: SparkSession, root: str) -> list[str]:
+    """Days that have a folder, newest first. One listing of the root: folder names come to the driver, no files."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/dt=*")
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []
+    days = (status.getPath().getName()[3:] for status in found if status.isDirectory())
+    return sorted((d for d in days if len(d) == 10 and d[:4].isdigit()), reverse=True)
+
+
+def list_days(spark: SparkSession, root: str, days: Sequence, pattern: str = "*.parquet") -> DataFrame:
+    """``list_files`` of some days; no other day's folder is listed. A day without a folder has no files."""
+    folders = [f"{root}/dt={d}" for d in sorted({str(d) for d in days})]
+    folders = [f for f in folders if path_exists(spark, f)]
+    if not folders:
+        return spark.createDataFrame([], "file_name string, size_bytes bigint, day date")
+    return _described(spark, folders, pattern)
+
+
+def _has_files(spark: SparkSession, folder: str, pattern: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target))
+
+
+def latest_stored_file(spark: SparkSession, root: str, as_of=None, lookback: int = 3, pattern: str = "*.parquet") -> DataFrame:
+    """``latest_file`` of a landing area, looking into day folders newest first until one has a file.
+
+    The look-back's days are asked for by name; only if none has a file is the root listed for other days.
+    """
+    last = datetime.date.fromisoformat(str(as_of)[:10]) if as_of else datetime.datetime.now(datetime.timezone.utc).date()
+    recent = [str(last - datetime.timedelta(days=n)) for n in range(lookback)]
+    held = next((d for d in recent if _has_files(spark, f"{root}/dt={d}", pattern)), None)
+    if held is None:
+        held = next((d for d in day_folders(spark, root) if _has_files(spark, f"{root}/dt={d}", pattern)), None)
+    return latest_file(list_days(spark, root, [held] if held else [], pattern), as_of=last, lookback=lookback)
+
+
+def recent_stored_files(spark: SparkSession, root: str, max_days: int, pattern: str = "*.parquet") -> DataFrame:
+    """``most_recent_days`` of a landing area: only the newest folders that hold files are listed."""
+    held: list[str] = []
+    for folder in day_folders(spark, root):
+        if len(held) == max_days:
+            break
+        if _has_files(spark, f"{root}/dt={folder}", pattern):
+            held.append(folder)
+    return list_days(spark, root, held, pattern)
+
+
 def files_between(files: DataFrame, first=None, last=None, days_back: int | None = None, as_of=None) -> DataFrame:
     """Files of a range of days, both ends included; ``days_back`` counts from ``as_of``."""
     if first is None and days_back is not None:

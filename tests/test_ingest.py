@@ -231,3 +231,23 @@ def test_features_of_several_files_keep_apart(spark, tmp_path):
     last = geojson.outer_rings(features, "name").orderBy("feature_idx").collect()
     assert [r.name for r in last] == ["a", "a", "b", "b"]
     assert geojson.zip_features(features).first().feature_idx == last[-1].feature_idx
+
+
+def test_only_day_folders_of_the_look_back_are_listed(spark, frame, tmp_path):
+    root = tmp_path / "l"
+    days = [f"2023-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)]
+    for d in days:
+        (root / f"dt={d}").mkdir(parents=True)
+        (root / f"dt={d}" / f"s_{d}.parquet").write_bytes(b"x")
+    (root / "dt=2023-12-30").mkdir()  # a folder without files
+    (root / "dt=__HIVE_DEFAULT_PARTITION__").mkdir()
+    root = str(root)
+    name = lambda df: sorted(r.file_name for r in df.collect())
+    assert landing.day_folders(spark, root) == ["2023-12-30", *reversed(days)]
+    recent = landing.latest_stored_file(spark, root, as_of="2023-06-30")
+    assert name(recent) == ["s_2023-06-28.parquet"]
+    assert name(landing.latest_stored_file(spark, root, as_of="2024-06-30")) == ["s_2023-12-28.parquet"]
+    assert name(landing.latest_stored_file(spark, str(tmp_path / "none"), as_of="2024-06-30")) == []
+    assert name(landing.recent_stored_files(spark, root, 2)) == ["s_2023-12-27.parquet", "s_2023-12-28.parquet"]
+    listed = landing.list_days(spark, root, ["2023-02-01", "2023-02-30"])
+    assert len(listed.inputFiles()) == 1 and name(listed) == ["s_2023-02-01.parquet"]

@@ -1,11 +1,14 @@
 """Streaming refresh and the jobs: idempotence, late data, refusal of bad input."""
 
+import datetime
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from pricegrid.plans import jobs
 from pricegrid.sources import landing, sinks
-from pricegrid.streaming import refresh
+from pricegrid.streaming import freshness, refresh
 
 ROW = "timestamp string, sale_type string, label string, province string, zip_code string, eess_id string, province_id string, municipality_id string, municipality string, locality string, ccaa_id string, diesel_a_price double"
 FUELS = ["diesel_a_price"]
@@ -113,3 +116,36 @@ def test_live_or_stored(frame):
     assert choose(live, "2024-01-01 10:20:00") == ["live"]
     assert choose(live, "2024-01-01 10:20:01") == ["stored"]
     assert choose(live.where("false"), "2024-01-01 10:00:00") == ["stored"]
+
+
+def test_feed_turns_stale_when_its_source_pauses(spark, frame, folders):
+    landed, states, checkpoint = folders
+    now = datetime.datetime.now(datetime.timezone.utc)
+    stamp = lambda seconds: (now - datetime.timedelta(seconds=seconds)).isoformat(timespec="seconds")
+    landing.write_snapshot(snapshot(frame, stamp(0), 1.5), landed)
+    snapshot(frame, "broken", 1.5).write.parquet(f"{landed}/dt=2024-01-01")
+    landing.write_snapshot(snapshot(frame, stamp(5000), 1.5).withColumn("label", F.lit("bp")), landed)
+    changes = freshness.feed_states(refresh.landing_stream(spark, landed), F.col("label"), interval_seconds=20)
+    running = freshness.follow_feeds(changes, states, checkpoint, every_seconds=1)
+
+    def seen():
+        return {r.feed: (r.status, r.newest_ms) for r in freshness.read_states(spark, states).collect()}
+
+    def wait(status, limit=90):
+        end = time.time() + limit
+        while time.time() < end and seen().get("repsol", ("", 0))[0] != status:
+            assert running.exception() is None
+            time.sleep(0.5)
+        return seen()
+
+    ms = lambda seconds: int(now.timestamp() - seconds) * 1000
+    try:
+        first = wait("live")
+        assert {f: s for f, (s, _) in first.items()} == {"repsol": "live", "bp": "stale"}
+        live, stored = snapshot(frame, stamp(0), 1.5, n=3), snapshot(frame, stamp(9000), 1.5, n=5)
+        choose = lambda: freshness.prefer_live_feed(live, stored, freshness.read_states(spark, states), "repsol").count()
+        assert choose() == 3
+        assert wait("stale")["repsol"] == ("stale", first["repsol"][1])  # nothing new came; the timer did it
+        assert first["repsol"][1] in (ms(0), ms(0) + 1000) and choose() == 5
+    finally:
+        running.stop()
