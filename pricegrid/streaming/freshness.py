@@ -18,6 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATE_SCHEMA = "feed string, status string, newest_ms bigint, decided_ms bigint"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 TIMER_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # the one that keeps timers
 
 
@@ -76,7 +77,11 @@ def feed_states(snapshots: DataFrame, feed: Column, interval_seconds: int = 600)
 def follow_feeds(
     states: DataFrame, path: str, checkpoint: str, once: bool = False, every_seconds: int = 10
 ) -> StreamingQuery:
-    """Publish the newest state of every feed. A batch that is repeated writes the same states again."""
+    """Publish the newest state of every feed. A batch that is repeated writes the same states again.
+
+    ``once`` takes what has landed and ends. Batches for timers alone would follow without end, so such a run judges
+    feeds with new snapshots, and those whose time ran out by the time of its batches.
+    """
     spark = states.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -89,13 +94,17 @@ def follow_feeds(
         finally:
             changed.unpersist()
 
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, TIMER_STORE)
+    # A streaming query keeps the settings it is started with; the session gets its own back.
+    own = {STATE_STORE: TIMER_STORE, NO_DATA_BATCHES: str(not once).lower()}
+    before = {name: spark.conf.get(name) for name in own}
     try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
         writer = states.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{every_seconds} seconds")).start()
     finally:
-        spark.conf.set(STATE_STORE, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:
