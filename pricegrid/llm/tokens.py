@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
@@ -40,6 +41,38 @@ _NOT_UNICODE_SPACE = re.compile("[\x1c-\x1f]")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CACHE = Kept()
 
+# Rules of a tokenizer under which a text's ids are those of its blank-separated words.
+_WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _takes_words(rules: dict) -> bool:
+    """Whether a tokenizer file has just the rules that ``_Words`` is written for."""
+    normalizer, splitter = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+    steps = splitter.get("pretokenizers") or []
+    return (
+        normalizer.get("normalizers") == _WORD_NORMALIZERS
+        and [step.get("type") for step in steps] == ["Split", "ByteLevel"]
+        and steps[0].get("pattern") == {"Regex": _WORD_PATTERN}
+        and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+        and (steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == (False, False)
+        and (rules["model"].get("type"), rules["model"].get("end_of_word_suffix"), rules["model"].get("dropout")) == ("BPE", "</w>", None)
+        and rules.get("truncation") is None
+        and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in rules.get("added_tokens") or [])
+    )
+
+
+class _Whole:
+    """Ids of whole texts, by every rule of any tokenizer."""
+
+    def __init__(self, tokenizer):
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.tokenizer = tokenizer
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level alphabet: printable Latin-1 bytes are their own letters, the others are numbered from 256 on."""
@@ -51,11 +84,8 @@ def _byte_letters() -> dict[int, str]:
 class _Words:
     """Ids of words by a tokenizer of words, each distinct one encoded once."""
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -84,7 +114,10 @@ class _Words:
         for word, e in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)):
             words[word] = array("I", e.ids).tobytes()
 
-    def of(self, texts: list[list[str]]) -> list[bytes]:
+    def of(self, texts: list[str]) -> list[bytes]:
+        return self.joined([split(t) for t in texts])
+
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
         words = self.words
         if len(self.parts) > KEPT_WORDS:
             self.parts.clear()
@@ -99,16 +132,26 @@ def split(text: str) -> list[str]:
     return _SPACE.split(text) if _NOT_UNICODE_SPACE.search(text) else text.split()
 
 
+def _encoder(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        by_words = _takes_words(json.load(f))
+    return (_Words if by_words else _Whole)(Tokenizer.from_file(path))
+
+
 def encoded(texts: list[str], path: str, end_id: int) -> list[bytes]:
     """Ids of each text and the end id, as little-endian unsigned 32-bit integers.
 
-    The vocabulary is one of words: neither its normaliser nor its splitter joins anything across white space, so that
-    a text's ids are those of its blank-separated words, and each distinct word is encoded once.
+    Where neither the tokenizer's normaliser nor its splitter joins anything across white space, a text's ids are those
+    of its blank-separated words, and each distinct word is encoded once. The file's rules tell; under any other
+    rules texts are encoded whole.
     """
     if path not in _CACHE:
-        _CACHE[path] = _Words(path)
+        _CACHE[path] = _encoder(path)
     end = struct.pack("<I", end_id)
-    return [ids + end for ids in _CACHE[path].of([split(t) for t in texts])]
+    return [ids + end for ids in _CACHE[path].of(texts)]
 
 
 def train_dictionary(documents: DataFrame, path: str, end_id: int, limit: int = DICTIONARY_DOCUMENTS) -> bytes:

@@ -256,3 +256,21 @@ def test_blocks_are_small_and_hold_their_dictionary(spark):
     assert np.frombuffer(block.ids(0), "<u4")[-1] == 1
     with pytest.raises(ValueError):
         tokens.Block(raw, dictionary + b"x")
+
+
+def test_a_tokenizer_with_other_rules_encodes_whole_texts(tmp_path):
+    import json
+    import os
+
+    from tokenizers import Tokenizer
+
+    given = queries.tokenizer_path()
+    rules = json.load(open(given, encoding="utf-8"))
+    assert tokens._takes_words(rules)
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps({**rules, "normalizer": None}), encoding="utf-8")
+    texts = ["", " Two  words\n\nand MORE, don't ", "ÉCOLE 12 <|endoftext|> e\u0301", "x" * 3000 + " y"]
+    for path in (given, str(cased), os.path.join(os.path.dirname(given), "byte_bpe_50k.json")):
+        whole = Tokenizer.from_file(path)
+        want = [np.array([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+        assert tokens.encoded(texts, path, 1) == want
