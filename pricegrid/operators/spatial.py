@@ -3,17 +3,18 @@
 A theta join on a distance would plan a nested loop. Here every point falls in one grid cell and every query covers
 the few cells its circle touches, so all joins are equi-joins on a cell number followed by the exact test. Rows of
 the grid have their own column count (cells stay about ``edge`` km wide at every latitude) and columns wrap at the
-antimeridian, so the cover is complete anywhere on the globe. A cell holding a large share of the points stays an
-ordinary skewed equi-join key, which adaptive execution splits.
+antimeridian, so the cover is complete anywhere on the globe. Covers are exploded rows, whose number no estimate of
+Spark's knows; they are always shuffled, never broadcast. A cell holding very many places is cut into parts.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from pricegrid.functions.columns import EARTH_RADIUS_KM, haversine_km
 
@@ -22,6 +23,7 @@ HALF_TURN_KM = math.pi * EARTH_RADIUS_KM
 SLACK_DEGREES = 1e-6  # covers are widened by about 10 cm so that rounding never loses a boundary cell
 MIN_EDGE_KM = 0.05
 DEFAULT_EDGE_KM = 5.0
+HOT_CELL = 5000  # places; a cell with more is joined in parts of about this many
 
 # Cell edges for nearest-neighbour search, 8x apart; at the last one the whole globe is a single cell.
 SEARCH_EDGES_KM = [0.05 * 8**level for level in range(8)]
@@ -84,6 +86,45 @@ def _suffix_free(df: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"reserved column names in input: {sorted(clash)}")
 
 
+def _numbers(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Short rows over all shuffle partitions, before a cover is made of each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_numbers(df))
+
+
+def join_cells(
+    covered: DataFrame,
+    located: DataFrame,
+    keys: Sequence[str] = ("_cell",),
+    parts: bool = False,
+    packed: Callable[[DataFrame, list[str]], DataFrame] | None = None,
+) -> DataFrame:
+    """Inner join of covers with what the cells hold, dealt over all shuffle partitions.
+
+    Both sides are shuffled: the rows of a cover come out of an explode, so their estimated size says nothing about
+    what a broadcast of them would take, and merging partitions by bytes would leave few tasks for very many pairs.
+    With ``parts`` a cell of more than ``HOT_CELL`` places is cut into parts that meet the covers on their own; there
+    are few such cells, at most one for ``HOT_CELL`` places. ``packed`` may group the shuffled covers by the keys given
+    to it and more before they are joined.
+    """
+    tasks = int(covered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = list(keys)
+    if parts:
+        held = located.groupBy(*keys).agg(F.count("*").alias("_held")).where(F.col("_held") > HOT_CELL)
+        hot = F.broadcast(held.select(*keys, F.ceil(F.col("_held") / HOT_CELL).cast("int").alias("_parts")))
+        number = F.coalesce("_parts", F.lit(1))
+        spread = F.pmod(F.xxhash64(*_numbers(located)), number.cast("bigint"))
+        covered = covered.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), number - 1))).drop("_parts")
+        located = located.join(hot, keys, "left").withColumn("_part", spread.cast("int")).drop("_parts")
+        keys.append("_part")
+    shuffled = covered.repartition(tasks, *keys)
+    joined = (packed(shuffled, keys) if packed else shuffled).hint("merge").join(located.repartition(tasks, *keys), keys)
+    return joined.drop("_part") if parts else joined
+
+
 def radius_join(
     points: DataFrame,
     places: DataFrame,
@@ -99,19 +140,19 @@ def radius_join(
     """All (point, place) pairs at most ``radius_km`` apart, with their distance.
 
     The radius is a number, or the name of a column of ``points`` with one for each of them (null: no place). Cells
-    are as wide as a given number; with a column they are ``edge_km`` wide, and a point covers as many as it needs.
+    are half as wide as a given number; with a column they are ``edge_km`` wide, and a point covers as many as it needs.
     """
     own = isinstance(radius_km, str)
     radius = F.col(radius_km) if own else F.lit(float(radius_km))
-    edge = F.lit(float(max(edge_km if own else radius_km, MIN_EDGE_KM)))
-    _suffix_free(points, [distance, "_cell"])
+    edge = F.lit(float(max(edge_km if own else radius_km / 2, MIN_EDGE_KM)))
+    _suffix_free(points, [distance, "_cell", "_part"])
     reaching = points.where(radius >= 0) if own else points
-    covered = reaching.withColumn("_cell", F.explode(circle_cells(F.col(point_lat), F.col(point_lon), radius, edge)))
+    covered = dealt(reaching).withColumn("_cell", F.explode(circle_cells(F.col(point_lat), F.col(point_lon), radius, edge)))
     located = places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn(
         "_cell", cell_of(F.col(lat), F.col(lon), edge)
     )
     return (
-        covered.join(located, "_cell")
+        join_cells(covered, located, parts=True)
         .where(F.abs(F.col(lat) - F.col(point_lat)) <= radius / KM_PER_DEGREE + SLACK_DEGREES)
         .withColumn(distance, haversine_km(point_lat, point_lon, lat, lon))
         .where(F.col(distance) <= radius)
@@ -131,6 +172,29 @@ def _levels(edges: Sequence[float]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(e)).alias("edge")) for i, e in enumerate(edges)])
 
 
+def _box_of(lat: str, lon: str) -> list[Column]:
+    return [F.min(lat).alias("s"), F.max(lat).alias("t"), F.min(lon).alias("w"), F.max(lon).alias("e")]
+
+
+def _box_km(q_lat: Column, q_lon: Column) -> tuple[Column, Column]:
+    """Kilometres between which every place of the box in columns ``s, t, w, e`` lies from a point."""
+    south, north, west, east = (F.col(c) for c in "stwe")
+    # Longitude offsets: the shorter way round to the middle of the box, less or plus half its width.
+    to_middle = F.abs(F.pmod((west + east) / 2 - q_lon + 180, F.lit(360.0)) - 180)
+    half_width = (east - west) / 2
+    cosines = F.cos(F.radians(south)), F.cos(F.radians(north))
+
+    def km(dlat: Column, dlon: Column, cos_box: Column) -> Column:
+        half_chord = F.pow(F.sin(F.radians(dlat) / 2), 2) + F.cos(F.radians(q_lat)) * cos_box * F.pow(F.sin(F.radians(dlon) / 2), 2)
+        return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(F.lit(1.0), half_chord)))
+
+    # Largest cosine of latitude inside the box: at its side nearest the equator, or 1 if it straddles it.
+    widest = F.when((south <= 0) & (north >= 0), F.lit(1.0)).otherwise(F.greatest(*cosines))
+    near = km(F.greatest(F.lit(0.0), south - q_lat, q_lat - north), F.greatest(F.lit(0.0), to_middle - half_width), F.least(*cosines))
+    far = km(F.greatest(F.abs(north - q_lat), F.abs(south - q_lat)), F.least(F.lit(180.0), to_middle + half_width), widest)
+    return F.greatest(F.lit(0.0), near - 1e-6), far + 1e-6
+
+
 def _search_radius(points: DataFrame, located: DataFrame, k: int, key: str, lat: str, lon: str) -> DataFrame:
     """Per point, a radius that provably holds its ``k`` nearest places, and the grid level to search it on.
 
@@ -143,34 +207,24 @@ def _search_radius(points: DataFrame, located: DataFrame, k: int, key: str, lat:
     counts = (
         located.select(F.col(lat).alias("y"), F.col(lon).alias("x"), levels.alias("l"))
         .groupBy(F.col("l.level").alias("level"), cell_of(F.col("y"), F.col("x"), F.col("l.edge")).alias("_cell"))
-        .agg(F.count("*").alias("n"), F.min("y").alias("s"), F.max("y").alias("t"), F.min("x").alias("w"), F.max("x").alias("e"))
+        .agg(F.count("*").alias("n"), *_box_of("y", "x"))
     )
-    probes = points.select(key, "query_lat", "query_lon", levels.alias("l")).select(
+    probes = dealt(points).select(key, "query_lat", "query_lon", levels.alias("l")).select(
         key,
         "query_lat",
         "query_lon",
         F.col("l.level").alias("level"),
         F.explode(circle_cells(F.col("query_lat"), F.col("query_lon"), F.col("l.edge"), F.col("l.edge"))).alias("_cell"),
     )
-    fine = probes.where(F.col("level") < FIRST_COARSE_LEVEL).join(counts.where(F.col("level") < FIRST_COARSE_LEVEL), ["level", "_cell"])
+    is_fine = F.col("level") < FIRST_COARSE_LEVEL
+    fine = join_cells(probes.where(is_fine), counts.where(is_fine), ["level", "_cell"])
     coarse = probes.where(F.col("level") >= FIRST_COARSE_LEVEL).join(
         F.broadcast(counts.where(F.col("level") >= FIRST_COARSE_LEVEL)), ["level", "_cell"]
     )
-    q_lat, q_lon = F.col("query_lat"), F.col("query_lon")
-    dlat = F.greatest(F.abs(F.col("t") - q_lat), F.abs(F.col("s") - q_lat))
-    # Farthest longitude offset: the shorter way round to the middle of the box, plus half its width.
-    to_middle = F.abs(F.pmod((F.col("w") + F.col("e")) / 2 - q_lon + 180, F.lit(360.0)) - 180)
-    dlon = F.least(F.lit(180.0), to_middle + (F.col("e") - F.col("w")) / 2)
-    # Largest cosine of latitude inside the box: at its side nearest the equator, or 1 if it straddles it.
-    cos_box = F.when((F.col("s") <= 0) & (F.col("t") >= 0), F.lit(1.0)).otherwise(
-        F.greatest(F.cos(F.radians("s")), F.cos(F.radians("t")))
-    )
-    half_chord = F.pow(F.sin(F.radians(dlat) / 2), 2) + F.cos(F.radians(q_lat)) * cos_box * F.pow(F.sin(F.radians(dlon) / 2), 2)
-    bound = 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(F.lit(1.0), half_chord))) + 1e-6
     nearest_first = Window.partitionBy(key, "level").orderBy("bound", "_cell").rowsBetween(Window.unboundedPreceding, 0)
     served = (
         fine.unionByName(coarse)
-        .withColumn("bound", bound)
+        .withColumn("bound", _box_km(F.col("query_lat"), F.col("query_lon"))[1])
         .withColumn("held", F.sum("n").over(nearest_first))
         .where(F.col("held") >= k)
         .groupBy(key)
@@ -208,17 +262,18 @@ def nearest_join(
     located = places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(place_id, lat, lon)
     located = top_k(located, [lat, lon], [F.col(place_id).asc()], k)
     targets = _search_radius(points.select(key, "query_lat", "query_lon"), located, k, key, lat, lon)
-    covered = targets.withColumn(
+    covered = dealt(targets).withColumn(
         "_cell", F.explode(circle_cells(F.col("query_lat"), F.col("query_lon"), F.col("radius"), F.col("edge")))
     )
     wanted = covered.select("level", "_cell").distinct()
     leveled = (
         located.withColumn("_l", F.explode(_levels(SEARCH_EDGES_KM)))
         .select(place_id, lat, lon, F.col("_l.level").alias("level"), cell_of(F.col(lat), F.col(lon), F.col("_l.edge")).alias("_cell"))
+        .hint("merge")
         .join(wanted, ["level", "_cell"], "left_semi")
     )
     pairs = (
-        covered.join(leveled, ["level", "_cell"])
+        join_cells(covered, leveled, ["level", "_cell"])
         .withColumn(distance, haversine_km("query_lat", "query_lon", lat, lon))
         .where(F.col(distance) <= F.col("radius"))
         .select(key, place_id, distance)
@@ -227,6 +282,77 @@ def nearest_join(
     return points.join(found, key).join(places, place_id).select(*points.columns, *places.columns, distance)
 
 
+def radius_extremes(
+    points: DataFrame,
+    places: DataFrame,
+    radius_km: float,
+    k: int,
+    value: Callable[[Column, Column], Column],
+    *,
+    highest: bool = False,
+    limits: DataFrame | None = None,
+    key: str = "query_id",
+    price: str = "price",
+    lat: str = "latitude",
+    lon: str = "longitude",
+    distance: str = "distance_km",
+) -> DataFrame:
+    """Of the pairs of ``radius_join``, those that may be among the ``k`` of lowest (highest) value per ``key``, ties included.
+
+    ``value(price, distance)`` must not fall as either grows. Each cell ranks its places by price in blocks of 1, 2, 4, ...
+    A cell that lies wholly inside the circle and holds ``k`` places proves a limit that the ``k``-th value cannot pass;
+    the best over all such cells says from which blocks places can still matter, and no others are joined. So a query
+    meets some multiple of ``k`` places, however many its circle holds. ``limits`` (``key``, ``_limit``) gives the limits
+    instead; a query without one meets its whole circle.
+    """
+    edge = F.lit(float(max(radius_km / 4, MIN_EDGE_KM)))
+    _suffix_free(points, [distance, "_cell", "_limit"])
+    block = lambda rank: F.floor(F.log2(rank)).cast("int")
+    first = Window.partitionBy("_cell").orderBy(F.col(price).desc() if highest else F.col(price).asc())
+    ranked = (
+        places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+        .withColumn("_cell", cell_of(F.col(lat), F.col(lon), edge))
+        .withColumn("_rank", F.row_number().over(first))
+        .withColumn("_block", block(F.col("_rank")))
+    )
+    leads = (F.col("_rank") == 1) | (block(F.col("_rank") - 1) < F.col("_block"))
+    cells = ranked.groupBy("_cell").agg(
+        *_box_of(lat, lon),
+        F.min(F.when(F.col("_rank") == k, F.col(price))).alias("_kth"),
+        F.collect_list(F.when(leads, F.struct(F.col("_block").alias("block"), F.col(price).alias("price")))).alias("_blocks"),
+    )
+    covered = dealt(points).withColumn(
+        "_cell", F.explode(circle_cells(F.col("query_lat"), F.col("query_lon"), F.lit(float(radius_km)), edge))
+    )
+    near, far = _box_km(F.col("query_lat"), F.col("query_lon"))
+    probes = (
+        join_cells(covered, cells)
+        .withColumns({"_near": near, "_far": far})
+        .where(F.col("_near") <= radius_km)
+        .drop("s", "t", "w", "e")
+    )
+    if limits is not None:
+        limited = probes.join(limits.select(key, "_limit"), key, "left")
+    else:
+        inside = F.when(F.col("_far") <= radius_km, value(F.col("_kth"), F.col("_near" if highest else "_far")))
+        limited = probes.withColumn("_limit", (F.max if highest else F.min)(inside).over(Window.partitionBy(key)))
+    within = lambda v: F.col("_limit").isNull() | (v >= F.col("_limit") if highest else v <= F.col("_limit"))
+    best_km = F.least(F.col("_far"), F.lit(float(radius_km))) if highest else F.col("_near")
+    wanted = limited.withColumn("_best_km", best_km).select(
+        *points.columns,
+        "_cell",
+        "_limit",
+        F.explode(F.filter("_blocks", lambda b: within(value(b["price"], F.col("_best_km"))))["block"]).alias("_block"),
+    )
+    return (
+        join_cells(wanted, ranked.drop("_rank"), ["_cell", "_block"], parts=True)
+        .where(F.abs(F.col(lat) - F.col("query_lat")) <= radius_km / KM_PER_DEGREE + SLACK_DEGREES)
+        .withColumn(distance, haversine_km("query_lat", "query_lon", lat, lon))
+        .where((F.col(distance) <= radius_km) & within(value(F.col(price), F.col(distance))))
+        .select(*points.columns, *places.columns, distance)
+    )
+
+
 # ------------------------------------------------------------------------------------------------- polygons
 
 
