@@ -201,9 +201,12 @@ def points(spark, sf_dir) -> DataFrame:
 ROAD_KM = "distance_km * (1.1 + (station_id % 5) * 0.05)"
 
 
+def routed_queries(points: DataFrame) -> DataFrame:
+    return points.where("query_id % 5 <> 0")
+
+
 def road_distances(pairs: DataFrame) -> DataFrame:
-    routed = pairs.where("query_id % 5 <> 0 AND station_id % 13 <> 0")
-    return routed.selectExpr("query_id", "station_id", f"{ROAD_KM} AS road_km")
+    return routed_queries(pairs).where("station_id % 13 <> 0").selectExpr("query_id", "station_id", f"{ROAD_KM} AS road_km")
 
 
 # ------------------------------------------------------------------ polygons (nations) around the stations

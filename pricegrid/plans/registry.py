@@ -1034,10 +1034,6 @@ def _priced(spark, sf_dir, **kw) -> DataFrame:
     return search.priced_stations(A.stations(spark, sf_dir), **(kw or {"fuel": "diesel_a_price"}))
 
 
-def _road(spark, sf_dir, reach_km: float) -> DataFrame:
-    return A.road_distances(search.within_radius(A.points(spark, sf_dir), _priced(spark, sf_dir), reach_km))
-
-
 _ZIP_OK = "regexp_full_match(zip_code, '\\d{5}') AND CAST(zip_code AS INT) BETWEEN 1000 AND 52999"
 
 
@@ -1145,8 +1141,8 @@ def _(spark, sf_dir):
     with_ctes(*_SEARCH_CTES, _ROADS, body=_top_sql("routed", "price, distance_km, station_id", 5, f"distance_km <= {RADIUS_KM}")),
 )
 def _(spark, sf_dir):
-    road = _road(spark, sf_dir, RADIUS_KM * search.ROAD_RADIUS_FACTOR)
-    found = search.cheapest_within_radius(A.points(spark, sf_dir), _priced(spark, sf_dir), RADIUS_KM, 5, road)
+    points = A.points(spark, sf_dir)
+    found = search.cheapest_within_radius(points, _priced(spark, sf_dir), RADIUS_KM, 5, A.road_distances, A.routed_queries(points))
     return rounded(found.select(*_SHOWN), distance_km=6, price=6)
 
 

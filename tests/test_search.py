@@ -222,3 +222,83 @@ def test_cells_inside_a_polygon_need_no_ray(spark):
     whole = [c.n for c in cells if c._whole]
     assert len(whole) > 50 and max(whole) == 0
     assert max(c.n for c in cells) < n / 4
+
+
+def exchanges(df):
+    """The plan as Spark starts out on it."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_covers_are_never_broadcast(spark, frame, globe, tmp_path):
+    """Small files of points, as estimated, make large covers; neither side of a join on cells may be broadcast."""
+    points, places = globe
+    frame(points, "query_id int, query_lat double, query_lon double").write.parquet(f"{tmp_path}/p")
+    frame(places, "station_id int, latitude double, longitude double").withColumn("price", F.lit(1.5)).write.parquet(f"{tmp_path}/s")
+    p, s = spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/s")
+    covers = spatial.circle_cells(F.col("query_lat"), F.col("query_lon"), F.lit(10.0), F.lit(5.0))
+    cells = s.withColumn("_cell", spatial.cell_of(F.col("latitude"), F.col("longitude"), F.lit(5.0)))
+    assert "Broadcast" not in exchanges(spatial.join_cells(p.withColumn("_cell", F.explode(covers)), cells))
+    joined = spatial.radius_join(p, s, 10)
+    assert "SortMergeJoin" in exchanges(joined)
+    nearest = exchanges(spatial._search_radius(p, s, 3, "query_id", "latitude", "longitude"))
+    assert nearest.count("SortMergeJoin") >= 1
+
+
+def test_pairs_are_dealt_over_all_partitions(spark, frame):
+    """One file of points and few bytes, yet many pairs: no task may get them all, not even those of one hot cell."""
+    rng = random.Random(2)
+    near = lambda n: [(i, 40 + rng.random() / 100, -3 + rng.random() / 100) for i in range(n)]
+    p = frame(near(40), "query_id int, query_lat double, query_lon double").coalesce(1)
+    s = frame(near(3 * spatial.HOT_CELL), "station_id int, latitude double, longitude double").coalesce(1)
+    found = spatial.radius_join(p, s, 40).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in found) == 120 * spatial.HOT_CELL
+    assert len(found) > 1 and max(r["count"] for r in found) < 120 * spatial.HOT_CELL
+
+
+@pytest.mark.parametrize("radius", [30.0, 2500.0])
+def test_cheapest_and_lowest_cost_match_brute_force(frame, globe, radius):
+    points, places = globe
+    rng = random.Random(6)
+    price = {s[0]: rng.choice([1.2, 1.3, 1.31, 1.4, round(rng.uniform(1, 2), 3)]) for s in places}
+    p = frame(points, "query_id int, query_lat double, query_lon double")
+    s = frame([(*x, price[x[0]]) for x in places], "station_id int, latitude double, longitude double, price double")
+    cheap = {(r.query_id, r.station_id) for r in search.cheapest_within_radius(p, s, radius, 3).collect()}
+    best = {}
+    for r in search.best_total_cost(p, s, radius, 3).collect():
+        best.setdefault(r.query_id, []).append((r.estimated_total_cost, r.score))
+    for q in points:
+        near = [(brute_km(*q[1:], *x[1:]), x[0]) for x in places]
+        near = [(km, i) for km, i in near if km <= radius]
+        want = sorted((price[i], round(km, 6), i) for km, i in near)[:3]
+        assert sorted(price[i] for k, i in cheap if k == q[0]) == [w[0] for w in want]
+        costs = sorted(price[i] * (30 + 2 * km * 7 / 100) for km, i in near)
+        got = sorted(best.get(q[0], []))
+        assert [c for c, _ in got] == pytest.approx(costs[:3], abs=0.0051)
+        if got:
+            spread = costs[-1] - costs[0]
+            assert got[0][1] == 10.0 and got[-1][1] == pytest.approx(10 * (costs[-1] - costs[len(got) - 1]) / spread if spread > 0.01 else 10.0, abs=0.2)
+
+
+def test_few_stations_are_met_however_many_are_in_reach(frame):
+    rng = random.Random(8)
+    p = frame([(i, 40 + rng.random() / 10, -3 + rng.random() / 10) for i in range(5)], "query_id int, query_lat double, query_lon double")
+    rows = [(i, 40 + rng.uniform(-0.5, 0.5), -3 + rng.uniform(-0.5, 0.5), rng.uniform(1, 2)) for i in range(20_000)]
+    s = frame(rows, "station_id int, latitude double, longitude double, price double")
+    met = {r.query_id: r["count"] for r in spatial.radius_extremes(p, s, 40.0, 5, lambda price, km: price).groupBy("query_id").count().collect()}
+    assert met.keys() == set(range(5)) and 5 <= min(met.values()) and max(met.values()) < 1000
+
+
+def test_a_router_gives_what_a_table_of_roads_gives(frame):
+    rng = random.Random(7)
+    p = frame([(i, 40 + rng.random(), -3 + rng.random()) for i in range(1, 12)], "query_id int, query_lat double, query_lon double")
+    rows = [(i, 40 + rng.random(), -3 + rng.random(), round(rng.uniform(1, 2), 2)) for i in range(900)]
+    s = frame(rows, "station_id int, latitude double, longitude double, price double")
+
+    def router(pairs):
+        reachable = pairs.where("query_id % 5 <> 0 AND station_id % 3 <> 0")
+        return reachable.selectExpr("query_id", "station_id", "distance_km * (1.1 + station_id % 4 * 0.2) AS road_km")
+
+    table = router(search.within_radius(p, s, 20 * search.ROAD_RADIUS_FACTOR))
+    plain = lambda df: sorted(map(tuple, df.select("query_id", "station_id", "distance_km", "price").collect()))
+    asked = search.cheapest_within_radius(p, s, 20, 4, router, p.where("query_id % 5 <> 0"))
+    assert plain(asked) == plain(search.cheapest_within_radius(p, s, 20, 4, table))
