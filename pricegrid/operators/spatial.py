@@ -291,6 +291,7 @@ def radius_extremes(
     *,
     highest: bool = False,
     limits: DataFrame | None = None,
+    ties: str | None = None,
     key: str = "query_id",
     price: str = "price",
     lat: str = "latitude",
@@ -304,14 +305,20 @@ def radius_extremes(
     the best over all such cells says from which blocks places can still matter, and no others are joined. So a query
     meets some multiple of ``k`` places, however many its circle holds. ``limits`` (``key``, ``_limit``) gives the limits
     instead; a query without one meets its whole circle.
+
+    For the highest of all (``k`` 1), a cell proves the value of its dearest place too, if that is in the circle: the value
+    grows outward, where cells reach over the circle's edge. ``ties`` names the column whose lowest ``k`` win among
+    places of one coordinate and price; others there are left out, so a pile of copies costs ``k`` rows.
     """
     edge = F.lit(float(max(radius_km / 4, MIN_EDGE_KM)))
     _suffix_free(points, [distance, "_cell", "_limit"])
     block = lambda rank: F.floor(F.log2(rank)).cast("int")
     first = Window.partitionBy("_cell").orderBy(F.col(price).desc() if highest else F.col(price).asc())
+    located = places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    if ties:
+        located = top_k(located, [lat, lon, price], [F.col(ties).asc()], k)
     ranked = (
-        places.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-        .withColumn("_cell", cell_of(F.col(lat), F.col(lon), edge))
+        located.withColumn("_cell", cell_of(F.col(lat), F.col(lon), edge))
         .withColumn("_rank", F.row_number().over(first))
         .withColumn("_block", block(F.col("_rank")))
     )
@@ -319,6 +326,8 @@ def radius_extremes(
     cells = ranked.groupBy("_cell").agg(
         *_box_of(lat, lon),
         F.min(F.when(F.col("_rank") == k, F.col(price))).alias("_kth"),
+        (F.max if highest else F.min)(price).alias("_best"),
+        *[F.min(F.when(F.col("_rank") == 1, F.col(c))).alias(f"_top_{c}") for c in (lat, lon)],
         F.collect_list(F.when(leads, F.struct(F.col("_block").alias("block"), F.col(price).alias("price")))).alias("_blocks"),
     )
     covered = dealt(points).withColumn(
@@ -335,10 +344,14 @@ def radius_extremes(
         limited = probes.join(limits.select(key, "_limit"), key, "left")
     else:
         inside = F.when(F.col("_far") <= radius_km, value(F.col("_kth"), F.col("_near" if highest else "_far")))
+        if highest and k == 1:
+            top_km = haversine_km("query_lat", "query_lon", f"_top_{lat}", f"_top_{lon}")
+            inside = F.greatest(inside, F.when(top_km <= radius_km - 1e-6, value(F.col("_kth"), F.greatest(F.lit(0.0), top_km - 1e-6))))
         limited = probes.withColumn("_limit", (F.max if highest else F.min)(inside).over(Window.partitionBy(key)))
     within = lambda v: F.col("_limit").isNull() | (v >= F.col("_limit") if highest else v <= F.col("_limit"))
     best_km = F.least(F.col("_far"), F.lit(float(radius_km))) if highest else F.col("_near")
-    wanted = limited.withColumn("_best_km", best_km).select(
+    # The cell's best price alone rules out most cells, before any look at blocks.
+    wanted = limited.withColumn("_best_km", best_km).where(within(value(F.col("_best"), F.col("_best_km")))).select(
         *points.columns,
         "_cell",
         "_limit",

@@ -302,3 +302,30 @@ def test_a_router_gives_what_a_table_of_roads_gives(frame):
     plain = lambda df: sorted(map(tuple, df.select("query_id", "station_id", "distance_km", "price").collect()))
     asked = search.cheapest_within_radius(p, s, 20, 4, router, p.where("query_id % 5 <> 0"))
     assert plain(asked) == plain(search.cheapest_within_radius(p, s, 20, 4, table))
+
+
+def test_a_pile_of_copies_costs_k_stations(frame):
+    """Very many stations of one place and price: the lowest ids win, and no query meets the others."""
+    p = frame([(i, 40 + i / 100, -3.0) for i in range(4)], "query_id int, query_lat double, query_lon double")
+    rows = [(i, 40.1, -3.0, 1.1) for i in range(900)] + [(1000 + i, 40.0, -3.0 + i / 50, 1.2 + i / 10) for i in range(5)]
+    s = frame(rows[::-1], "station_id int, latitude double, longitude double, price double")
+    price = lambda price, km: price
+    met = spatial.radius_extremes(p, s, 40.0, 3, price, ties="station_id").groupBy("query_id").count().collect()
+    assert len(met) == 4 and max(r["count"] for r in met) <= 8
+    for found in (search.cheapest_within_radius(p, s, 40.0, 3), search.best_total_cost(p, s, 40.0, 3)):
+        assert sorted((r.query_id, r.station_id) for r in found.collect()) == [(q, i) for q in range(4) for i in range(3)]
+
+
+def test_the_dearest_is_found_among_few(frame):
+    """Cost grows outward, where no cell lies inside the circle: a cell's dearest station itself proves a limit there."""
+    rng = random.Random(3)
+    p = frame([(i, 40 + rng.random() / 10, -3 + rng.random() / 10) for i in range(5)], "query_id int, query_lat double, query_lon double")
+    rows = [(i, 40 + rng.uniform(-0.5, 0.5), -3 + rng.uniform(-0.5, 0.5), rng.uniform(1, 2)) for i in range(20_000)]
+    s = frame(rows, "station_id int, latitude double, longitude double, price double")
+    cost = lambda price, km: price * (40 + 0.14 * km)
+    met = spatial.radius_extremes(p, s, 40.0, 1, cost, highest=True, ties="station_id").withColumn("cost", cost(F.col("price"), F.col("distance_km")))
+    got = {r.query_id: r for r in met.groupBy("query_id").agg(F.max("cost").alias("cost"), F.count("*").alias("n")).collect()}
+    for q in p.collect():
+        near = [(brute_km(q.query_lat, q.query_lon, *x[1:3]), x[3]) for x in rows]
+        assert got[q.query_id].cost == pytest.approx(max(cost(price, km) for km, price in near if km <= 40.0), abs=1e-6)
+        assert got[q.query_id].n < 60
