@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -122,21 +122,26 @@ def stored_rollups(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
-def plan_trips(trips: DataFrame, priced: DataFrame, root: str) -> dict[str, DataFrame]:
+def plan_trips(
+    trips: DataFrame, priced: DataFrame, root: str, tables: Sequence[str] = ("candidates", "stops", "summary")
+) -> dict[str, DataFrame]:
     """Candidates, stops and summaries of all trips as written tables.
 
-    Stops are planned in Python once; summaries and fuel curves then read the table instead of planning again.
+    Stops are planned in Python once; summaries and fuel curves then read the table instead of planning again. Stops and
+    medians reduce the candidates where they are found and need no table of them, which grows with the product of trips
+    and stations: without "candidates" in ``tables`` they come back as a table that is not written.
     """
     spark = trips.sparkSession
 
     def stored(name: str, df: DataFrame) -> DataFrame:
+        if name not in tables:
+            return df
         sinks.overwrite(df, f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    candidates = stored("candidates", planner.trip_candidates(trips, priced))
-    stops = stored("stops", planner.refuelling_stops(trips, candidates))
-    summary = stored("summary", planner.trip_summary(trips, stops, candidates))
-    return {"candidates": candidates, "stops": stops, "summary": summary}
+    candidates = planner.trip_candidates(trips, priced)
+    found = {"candidates": stored("candidates", candidates), "stops": stored("stops", planner.refuelling_stops(trips, candidates))}
+    return found | {"summary": stored("summary", planner.trip_summary(trips, found["stops"], candidates))}
 
 
 def brand_tables(market: DataFrame, wins: DataFrame, as_of) -> dict[str, DataFrame]:
